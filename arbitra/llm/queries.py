@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bytebpe, chat, media, packing, pii, simhash, urlfilter
 from .common import read
 
 
@@ -16,13 +18,66 @@ def vocabulary(name: str) -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
-    return pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(read(spark, sf_dir, "documents"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(read(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(read(spark, sf_dir, "pages"))
+
+
+#: A conversation whose texts hold what looks like template markers.
+PLANTED = r"\### Assistant: </turn> ok"
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
+    turns = stored.unionByName(planted).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
+    return chat.digests(chat.format_chat(turns))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_spans(read(spark, sf_dir, "documents")))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.round_trip_digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_media_columns": op5_media_columns,
+    "op6_url_filters": op6_url_filters,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_pii": op9_pii,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+_CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+ g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(length('<turn ' || role || '>' || chr(10)) + length(replace(replace(text, '\', '\s'), '<', '\l')) + length('</turn>' || chr(10))) AS chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g"""
+
+ORACLES: dict[str, str] = {
+    "op6_url_filters": urlfilter.ORACLE,
+    "op8_chat_formatting": _CHAT_SQL,
+}

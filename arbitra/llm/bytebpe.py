@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import ready, text_of
 from .packing import UNSAFE_CUT
 
-KEPT_PIECES, KEPT_LENGTH = 300_000, 48
+KEPT_PIECES, KEPT_LENGTH = 500_000, 48
 #: Unicode's White_Space, which \s means to the library that the rank files belong to.
 WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, media, packing, pii, simhash, urlfilter
+from . import bytebpe, chat, media, mtree, packing, pii, simhash, urlfilter
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(read(spark, sf_dir, "embeddings"))
+
+
 #: A conversation whose texts hold what looks like template markers.
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_media_columns": op5_media_columns,
     "op6_url_filters": op6_url_filters,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
@@ -77,7 +82,18 @@ WITH t AS (
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g"""
 
+_TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
 ORACLES: dict[str, str] = {
+    "op7_exact_top_k": _TOP_K_SQL,
     "op6_url_filters": urlfilter.ORACLE,
     "op8_chat_formatting": _CHAT_SQL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, media, mtree, packing, pii, quality, simhash, urlfilter
+from . import bytebpe, chat, lm, media, mtree, packing, pii, quality, simhash, urlfilter
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(read(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(read(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_media_columns": op5_media_columns,
     "op6_url_filters": op6_url_filters,
     "op7_exact_top_k": op7_exact_top_k,

@@ -230,3 +230,20 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
     least = of_code.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = of_code.join(least, "root").select("fp", "component_id")
     return rows.join(labelled, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of ``docs`` without those that a near duplicate of smaller doc_id stands for; all columns stay.
+
+    Groups are those of components(). Rows that repeat a doc_id with the same text stay once; rows without doc_id can't be told
+    apart and stay. Only ids travel to find what goes; whole rows meet them once, by doc_id.
+    """
+    groups = cut(components(docs, shingle, radius, blocks).select("doc_id", "component_id"))
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    own = F.col("doc_id").cast("long")
+    kept = docs.join(gone, own == F.col("_gone"), "left_anti")
+    repeated = cut(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, own == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, own == F.col("_again"), "left_anti").unionByName(once)

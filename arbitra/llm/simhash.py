@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ready, text_of
+from .lm import vocabulary
 
 RADIUS, BLOCKS, SHINGLE = 2, 6, 3
 SEED = 42
@@ -49,13 +50,21 @@ def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.nd
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
-def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """64-bit SimHash of each text; zero where it has no word. Works in slices of bounded size."""
+def content_hashes(text: str, common: frozenset[str], seed: int = SEED) -> np.ndarray:
+    """XXH64 of each word that isn't common, repeats included; of every word where all are common."""
+    words = text.lower().split()
+    words = [w for w in words if w not in common] or words
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)
+
+
+def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED, common: frozenset[str] | None = None) -> np.ndarray:
+    """64-bit SimHash of each text, of its shingles or (with ``common``) its content words; zero where it has no word. Works in slices of bounded size."""
     out = np.zeros(len(texts), np.uint64)
     held: list[np.ndarray] = []
     first, rows = 0, 0
     for i, text in enumerate(texts):
-        held.append(shingle_hashes(text, shingle, seed))
+        held.append(shingle_hashes(text, shingle, seed) if common is None else content_hashes(text, common, seed))
         rows += len(held[-1])
         if rows >= 50_000 or len(held) == 256 or i == len(texts) - 1:
             out[first : i + 1] = _majority(held)
@@ -145,13 +154,14 @@ def forest(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[left], codes[right]
 
 
-def fingerprint_rows(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def fingerprint_rows(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", common: list[str] | None = None) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) for every row of ``docs``."""
     ready(docs.sparkSession)
+    dropped = None if common is None else frozenset(common)
 
     def run(batches):
         for batch in batches:
-            codes = fingerprints(batch.column(1).to_pylist(), shingle, seed)
+            codes = fingerprints(batch.column(1).to_pylist(), shingle, seed, dropped)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -215,7 +225,7 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, id_column: str = "doc_id", text_column: str = "text", common: list[str] | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``.
 
     component_id is the smallest doc_id among all that links of ``radius`` or fewer differing bits reach.
@@ -223,7 +233,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
     with null doc_id is fingerprinted and links others, but is never the smallest; a group of
     only such rows has a null component_id. Repeated rows each get a row. No rows: no rows. Other columns are ignored.
     """
-    rows = cut(fingerprint_rows(docs, shingle, SEED, id_column, text_column))
+    rows = cut(fingerprint_rows(docs, shingle, SEED, id_column, text_column, common))
     codes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected(links(codes.select("fp"), radius, blocks))
     of_code = codes.join(linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct()), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -232,17 +242,105 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
     return rows.join(labelled, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """The rows of ``docs`` without those that a near duplicate of smaller doc_id stands for; all columns stay.
+#: Near copies share five-word shingles at a similarity of 0.8: about one word in forty is changed, which moves a fingerprint
+#: of content words by two or three bits, but one of shingles by ten.
+COMMON, COPY_RADIUS, COPY_BLOCKS = 256, 3, 6
+COPY_SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 256
+#: Members of a component that are compared with each other in one task; a larger one is thinned against its first member before.
+TOGETHER = 256
+
+
+def sketch(text: str) -> np.ndarray:
+    """The SKETCH smallest distinct hashes of a text's five-word shingles: all of them where it has no more."""
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    return np.unique(shingle_hashes(b" ".join(words).decode("utf-8", "surrogatepass"), COPY_SHINGLE))[:SKETCH]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two texts by their sketches; exact where neither was cut."""
+    union = np.union1d(a, b)[:SKETCH]
+    return 1.0 if not len(union) else float((np.isin(union, a) & np.isin(union, b)).mean())
+
+
+def _copies(frame: pd.DataFrame) -> pd.DataFrame:
+    """The members of one component that a smaller one stands for, by links of enough similarity."""
+    frame = frame.sort_values("rep", ignore_index=True)
+    sketches = [np.asarray(x, np.int64) for x in frame["sketch"]]
+    kind = list(range(len(frame)))
+    for a in range(len(frame)):
+        for b in range(a + 1, len(frame)):
+            if kind[a] != kind[b] and similarity(sketches[a], sketches[b]) >= SIMILARITY:
+                low, high = sorted((kind[a], kind[b]))
+                kind = [low if k == high else k for k in kind]
+    return pd.DataFrame({"rep": [r for i, r in enumerate(frame["rep"]) if kind[i] != i]}, dtype="int64")
+
+
+def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS, blocks: int = COPY_BLOCKS) -> DataFrame:
+    """doc_id of every document that another of smaller doc_id stands for: exact copies, and near ones by five-word shingles.
+
+    Exact copies are found by a 128-bit hash and count once from there on. Fingerprints of content words, all words but
+    the ``n_common`` most frequent of the corpus, find the candidates: components at ``radius`` bits. Their members alone
+    are sketched and compared: up to TOGETHER with each other; a larger component is thinned against its first member, round by round, until it isn't larger.
+    """
+    common = frozenset(vocabulary(docs, n_common))
+    ready(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+
+    def mark(batches):
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(own, common=common).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "fp", "key"])
+
+    rows = cut(texts.where("doc_id is not null").mapInArrow(mark, "doc_id long, fp long, key binary"))
+    reps = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
+    linked = connected(links(reps.select("fp").distinct(), radius, blocks))
+    linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    placed = reps.join(linked, F.col("fp") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "fp").alias("root"))
+    several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    members = cut(placed.join(several, "root"))
+
+    def draw(batches):
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own], pa.binary()), pa.array([sketch(t).view(np.int64).tolist() for t in own], pa.list_(pa.int64()))], names=["_key", "sketch"])
+
+    wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    sketches = wanted.mapInArrow(draw, "_key binary, sketch array<long>").dropDuplicates(["_key"])
+    state = cut(members.join(sketches, F.col("key") == F.col("_key")).select("root", "rep", "sketch"))
+    gone = [rows.join(reps.select("key", "rep"), "key").where("doc_id != rep").select("doc_id")]
+
+    def thin(batches):
+        for batch in batches:
+            close = [similarity(np.asarray(a.values, np.int64), np.asarray(b.values, np.int64)) >= SIMILARITY for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(close, pa.bool_())], names=["root", "rep", "sketch", "close"])
+
+    while True:
+        sizes = state.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by("sketch", "rep").alias("first"), F.min("rep").alias("least"))
+        sizes = cut(sizes)
+        gone.append(state.join(sizes.where(F.col("n") <= TOGETHER).select("root"), "root").groupBy("root").applyInPandas(_copies, "rep long").select(F.col("rep").alias("doc_id")))
+        large = sizes.where(F.col("n") > TOGETHER).drop("n")
+        if large.isEmpty():
+            break
+        compared = cut(state.join(large, "root").where("rep != least").select("root", "rep", "sketch", "first").mapInArrow(thin, "root long, rep long, sketch array<long>, close boolean"))
+        gone.append(compared.where("close").select(F.col("rep").alias("doc_id")))
+        state = compared.where("NOT close").drop("close")
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def keep_one(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS, blocks: int = COPY_BLOCKS) -> DataFrame:
+    """The rows of ``docs`` without near_copies(); all columns stay.
 
-    Groups are those of components(). Rows that repeat a doc_id with the same text stay once; rows without doc_id can't be told
-    apart and stay. Only ids travel to find what goes; whole rows meet them once, by doc_id.
+    Null text is empty text; all empty texts are copies of one another. Rows that repeat a doc_id with the same text stay once;
+    rows without doc_id can't be told apart and stay. Only ids travel to find what goes; whole rows meet them once, by doc_id.
     """
-    groups = cut(components(docs, shingle, radius, blocks).select("doc_id", "component_id"))
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut(near_copies(docs, n_common, radius, blocks)).withColumnRenamed("doc_id", "_gone")
     own = F.col("doc_id").cast("long")
     kept = docs.join(gone, own == F.col("_gone"), "left_anti")
-    repeated = cut(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
+    repeated = cut(docs.where("doc_id is not null").groupBy(own.alias("_again")).count().where("count > 1").select("_again"))
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, own == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])

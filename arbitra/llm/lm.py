@@ -215,7 +215,7 @@ def train(docs: DataFrame, frequent: list[str], text_column: str = "text") -> np
     copies = texts.mapInArrow(run, schema)
     left = texts.rdd.getNumPartitions()
     while left > 1:
-        copies = cut(copies.groupBy("part", F.floor(F.col("copy") / FAN)).applyInPandas(lambda *a: average(a[-1]), schema))
+        copies = cut(copies.groupBy("part", F.floor(F.col("copy") / FAN)).applyInPandas(average, schema))
         left = -(-left // FAN)
     got = {r.part: np.frombuffer(bytes(r.moved), "<f2") for r in copies.collect()}
     start = WindowNetwork().flat

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbitra.functions.probability import argmax, expectation, total
+from arbitra.sources.shared import materialise
 
 BINS = 15
 FLOOR = 1e-300
@@ -110,7 +111,7 @@ def auroc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFr
     range-partitioned blocks and the blocks' totals, so no single task sees all values.
     """
     values = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    blocks = values.repartitionByRange(score).withColumn("_block", F.spark_partition_id())
+    blocks = materialise(values.repartitionByRange(score).withColumn("_block", F.spark_partition_id()))
     below = blocks.groupBy("_block").agg(F.sum("neg").alias("_neg"))
     before = below.alias("l").join(F.broadcast(below.alias("r")), F.col("r._block") < F.col("l._block"), "left").groupBy("l._block").agg(F.coalesce(F.sum("r._neg"), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy("_block").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

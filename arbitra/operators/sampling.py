@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbitra.functions.text import seeded_hash
+from arbitra.sources.shared import materialise
 
 
 def hash_sample(rows: DataFrame, groups: list[str], limit: Column | int, seed: int = 42, id_column: str = "id") -> DataFrame:
@@ -39,7 +40,7 @@ def chunk(ordinal: Column, size: int) -> Column:
 
 def ordinals(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """A gapless ordinal from 0 in global order, by range partitions and their sizes instead of one task for all rows."""
-    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    laid = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     sizes = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.alias("l").join(F.broadcast(sizes.alias("r")), F.col("r._part") < F.col("l._part"), "left").groupBy("l._part").agg(F.coalesce(F.sum("r._n"), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

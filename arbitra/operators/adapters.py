@@ -16,13 +16,18 @@ from arbitra.functions.probability import all_finite, one_hot, total
 from arbitra.functions.text import excluded_task, group_id, is_blank, native_row_id, row_id, strip
 from arbitra.schema import NLI, RATINGS, SENTIMENT
 
-#: Instruct tasks that are used, with their scale, kind and question.
+#: What each kind of source asks, its answers where they aren't in the rows, and how instruct inputs begin.
+RELATION = "What is the relationship between the premise and hypothesis?"
+ENTAILS, ENTAILS_ANSWERS = "Does the premise entail the hypothesis?", ["entailment", "not_entailment"]
+UPDATES, UPDATES_ANSWERS = "Does the update make the hypothesis more or less likely?", ["strengthener", "weakener"]
+CONTINUES = "Choose the most plausible continuation of the passage."
+READS, READS_ANSWERS = "Answer the question using the passage.", ["No", "Yes"]
+CHOOSES = "Choose the best answer to the question."
+INSTRUCT_PREFIX = "With no explanation, label the following with either "
 INSTRUCT = {
     "yelp_review_full/yelp_review_full": (RATINGS, "score", "How many stars did the reviewer give?"),
     "tweet_eval/sentiment": (SENTIMENT, "score", "Rate the sentiment of the text."),
 }
-#: Fixed value: how instruct inputs begin.
-INSTRUCT_PREFIX = "With no explanation, label the following with either "
 
 FIELDS = ("state", "instructions", "candidates", "target", "kind", "source", "task", "original_split", "group_id")
 
@@ -65,7 +70,7 @@ def label_target(raw: DataFrame, name: str, values: list[str], checks: Checks) -
     return one_hot(index, F.lit(len(values)))
 
 
-def _nli(raw: DataFrame, config: str, checks: Checks, label: str = "label", values: list[str] = NLI, question: str = "What is the relationship between the premise and hypothesis?", family_check: bool = False) -> dict[str, Column]:
+def _nli(raw: DataFrame, config: str, checks: Checks, label: str = "label", values: list[str] = NLI, question: str = RELATION, family_check: bool = False) -> dict[str, Column]:
     premise, hypothesis = checks.text("premise"), checks.text("hypothesis")
     out = {}
     if family_check:
@@ -82,20 +87,19 @@ def _zero_shot(raw, config, checks):
 
 
 def _doc_nli(raw, config, checks):
-    return _nli(raw, config, checks, values=["entailment", "not_entailment"], question="Does the premise entail the hypothesis?")
+    return _nli(raw, config, checks, values=ENTAILS_ANSWERS, question=ENTAILS)
 
 
 def _defeasible(raw, config, checks):
     hypothesis, update = checks.text("Hypothesis"), checks.text("Update")
     premise = F.lit("") if config == "social" else checks.text("Premise")
     lead = F.lit("") if config == "social" else F.concat(F.lit("Premise: "), premise, F.lit("\n"))
-    values = ["strengthener", "weakener"]
     return {
         "state": F.concat(lead, F.lit("Hypothesis: "), hypothesis, F.lit("\nUpdate: "), update),
         "group": F.concat(F.lit("Premise: "), premise, F.lit("\nHypothesis: "), hypothesis),
-        "instructions": F.lit("Does the update make the hypothesis more or less likely?"),
-        "candidates": strings(values),
-        "target": label_target(raw, "UpdateType", values, checks),
+        "instructions": F.lit(UPDATES),
+        "candidates": strings(UPDATES_ANSWERS),
+        "target": label_target(raw, "UpdateType", UPDATES_ANSWERS, checks),
     }
 
 
@@ -104,7 +108,7 @@ def _hellaswag(raw, config, checks):
     label, endings = F.col("label").cast("string"), F.col("endings")
     checks.skip(~label.isin("0", "1", "2", "3") | (F.size(endings) != 4) if isinstance(raw.schema["label"].dataType, T.StringType) else F.lit(True), "unlabeled_or_invalid_hellaswag")
     group = F.coalesce(F.nullif(F.col("source_id").cast("string"), F.lit("")), state) if "source_id" in raw.columns else state
-    return {"state": state, "group": group, "instructions": F.lit("Choose the most plausible continuation of the passage."), "candidates": endings, "target": one_hot(F.expr("try_cast(label AS int)"), F.lit(4))}
+    return {"state": state, "group": group, "instructions": F.lit(CONTINUES), "candidates": endings, "target": one_hot(F.expr("try_cast(label AS int)"), F.lit(4))}
 
 
 def _boolq(raw, config, checks):
@@ -114,7 +118,7 @@ def _boolq(raw, config, checks):
     answer = F.col("answer") if real else F.lit(None).cast("boolean")
     return {
         "state": F.concat(F.lit("Passage: "), passage, F.lit("\nQuestion: "), question), "group": passage, "kind": F.lit("noul"),
-        "instructions": F.lit("Answer the question using the passage."), "candidates": strings(["No", "Yes"]),
+        "instructions": F.lit(READS), "candidates": strings(READS_ANSWERS),
         "target": F.when(answer, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))),
     }
 
@@ -147,7 +151,7 @@ def _bigbench(raw, config, checks):
     checks.skip((F.size(candidates) != F.size(scores)) | (F.size(scores) < 2), "invalid_bigbench_scores")
     checks.skip(~all_finite(scores) | F.exists(scores, lambda s: s < 0), "invalid_bigbench_scores")
     checks.skip((total(scores) <= 0) | (F.size(F.array_distinct(scores)) == 1), "uninformative_bigbench_scores")
-    return {"state": state, "group": state, "instructions": F.lit("Choose the best answer to the question."), "candidates": candidates, "target": F.transform(scores, lambda s: F.try_divide(s, total(scores)))}
+    return {"state": state, "group": state, "instructions": F.lit(CHOOSES), "candidates": candidates, "target": F.transform(scores, lambda s: F.try_divide(s, total(scores)))}
 
 
 ADAPTERS: dict[str, Callable] = {"nli": _nli, "zero_shot": _zero_shot, "doc_nli": _doc_nli, "defeasible": _defeasible, "hellaswag": _hellaswag, "boolq": _boolq, "instruct": _instruct, "bigbench": _bigbench}

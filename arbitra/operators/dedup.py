@@ -38,14 +38,17 @@ def group_conflicts(rows: DataFrame, owners: DataFrame) -> DataFrame:
     return rows.join(own, "group_id", "left").withColumn("conflict", F.coalesce(F.col("_owner") > split_priority(F.col("split")), F.lit(False))).drop("_owner")
 
 
-def first_wins(rows: DataFrame, order: list[str | Column]) -> DataFrame:
+def first_wins(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``disposition``: the first row of a content that fits is written; what follows it is a duplicate; overlength rows before it are overlength.
 
-    ``rows`` has content_key and overlength, without conflicts.
+    ``rows`` has content_key and overlength, without conflicts; ``order`` tells all rows apart. The first is a minimum with partial
+    aggregates, joined back: a content of any frequency is never sorted in one task.
     """
-    by = Window.partitionBy("content_key").orderBy(*order)
-    earlier = F.coalesce(F.max(~F.col("overlength")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    return rows.withColumn("disposition", F.when(earlier, "duplicate_content").when(F.col("overlength"), "overlength").otherwise(WRITTEN))
+    place = F.struct(*order)
+    firsts = rows.where("NOT overlength").groupBy("content_key").agg(F.min(place).alias("_first"))
+    joined = rows.join(firsts, "content_key", "left")
+    later = F.coalesce(place > F.col("_first"), F.lit(False))
+    return joined.withColumn("disposition", F.when(later, "duplicate_content").when(F.col("overlength"), "overlength").otherwise(WRITTEN)).drop("_first")
 
 
 def task_cap(rows: DataFrame, cap: int, order: list[str]) -> DataFrame:

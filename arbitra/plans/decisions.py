@@ -58,6 +58,15 @@ def event_mix(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
     return counts.withColumn("target", soft_target(F.col("scores")))
 
 
+def dialogues(spark: SparkSession, sf_dir: str, span: int = 32) -> DataFrame:
+    """conv_id, n, state: a conversation's turns in order. Turns meet first in spans of turn numbers, so a long conversation never meets row by row."""
+    turns = table(spark, sf_dir, "conversations")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), t["text"]))
+    spans = turns.groupBy("conv_id", F.floor(F.col("turn") / span).alias("span")).agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "\n").alias("part"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("span", "part"))), lambda s: s["part"])
+    return spans.groupBy("conv_id").agg(F.sum("n").alias("n"), F.array_join(whole, "\n").alias("state"))
+
+
 def scored(rows: DataFrame, size: int, temperature: float = 1.0) -> DataFrame:
     """With stand-in logits and their probabilities."""
     return rows.withColumn("logits", hash_logits(F.col("id"), F.lit(size))).withColumn("probabilities", softmax(F.col("logits"), temperature))

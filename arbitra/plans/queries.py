@@ -404,9 +404,7 @@ def q_vector_choice(spark, d):
 
 @query("""SELECT conv_id, count(*) AS n, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS state_sha FROM conversations GROUP BY conv_id""")
 def q_dialogue_states(spark, d):
-    turns = D.table(spark, d, "conversations")
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), t["text"]))
-    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), X.digest(F.array_join(lines, "\n")).alias("state_sha"))
+    return D.dialogues(spark, d).select("conv_id", "n", X.digest(F.col("state")).alias("state_sha"))
 
 
 # --- metrics
@@ -606,12 +604,17 @@ def q_row_ids(spark, d):
     return rows.select("doc_id", X.row_id(F.struct(*(c for c in rows.columns if c != "doc_id"))).alias("row_id"))
 
 
-@query("SELECT source, sha256(string_agg(line, '' ORDER BY doc_id)) AS sha256, sum(strlen(line))::BIGINT AS bytes, count(*) AS lines FROM (SELECT source, doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}' || chr(10) AS line FROM documents) GROUP BY source")
-def q_bundle_checksums(spark, d):
+@query("SELECT doc_id, sha256(line) AS sha256, strlen(line)::BIGINT AS bytes FROM (SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}' || chr(10) AS line FROM documents)")
+def q_line_checksums(spark, d):
+    """Checksums of rendered lines; whole files are hashed where they lie (sources.files.file_info)."""
     line = F.concat(F.to_json(F.struct("doc_id", "lang")), F.lit("\n"))
-    gathered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", line.alias("line")))), lambda x: x["line"]), "")
-    whole = D.table(spark, d, "documents").groupBy("source").agg(gathered.alias("content"), F.count(F.lit(1)).alias("lines"))
-    return whole.select("source", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"), "lines")
+    return D.table(spark, d, "documents").select("doc_id", F.sha2(line, 256).alias("sha256"), F.octet_length(line).cast("long").alias("bytes"))
+
+
+@query("SELECT source, count(*) AS lines, sum(strlen('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}') + 1)::BIGINT AS bytes FROM documents GROUP BY source")
+def q_bundle_sizes(spark, d):
+    line = F.to_json(F.struct("doc_id", "lang"))
+    return D.table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length(line) + 1).cast("long").alias("bytes"))
 
 
 @query("SELECT * FROM (VALUES (1, NULL), (2, 'count'), (3, 'length'), (4, 'token'), (5, 'mask_length'), (6, 'mask')) AS v(k, reason)")

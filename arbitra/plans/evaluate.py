@@ -56,7 +56,8 @@ def report_document(table: DataFrame) -> dict:
     """A metrics table as nested JSON: key, then metric."""
     out = {}
     for r in table.collect():
-        name = {"overall": "overall", "source": f"source/{r['source']}", "kind": f"kind/{r['kind']}", "source/task": f"task/{r['source']}/{r['task']}"}[r["report_key"]]
+        columns = [] if r["report_key"] == "overall" else r["report_key"].split("/")
+        name = "/".join([columns[-1], *(r[c] for c in columns)]) if columns else "overall"
         out[name] = {k: r[k] for k in ("count", "accuracy", "log_loss", "brier_score", "ece_15", "ordinal_mae", "ordinal_count")}
     return out
 

@@ -18,6 +18,7 @@ large-star and small-star rounds on distinct fingerprints.
 from __future__ import annotations
 
 import itertools
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -246,41 +247,66 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
 #: of content words by two or three bits, but one of shingles by ten.
 COMMON, COPY_RADIUS, COPY_BLOCKS = 256, 3, 6
 COPY_SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 256
-#: Members of a component that are compared with each other in one task; a larger one is thinned against its first member before.
+#: Members of a component that are compared with each other in one task.
 TOGETHER = 256
 
 
-def sketch(text: str) -> np.ndarray:
-    """The SKETCH smallest distinct hashes of a text's five-word shingles: all of them where it has no more."""
-    words = text.lower().encode("utf-8", "surrogatepass").split()
-    return np.unique(shingle_hashes(b" ".join(words).decode("utf-8", "surrogatepass"), COPY_SHINGLE))[:SKETCH]
+def sketch(text: str) -> list[int]:
+    """The SKETCH smallest distinct hashes (63 bits) of a text's five-word shingles: all of them where it has no more."""
+    return np.unique(shingle_hashes(text.lower(), COPY_SHINGLE) >> np.uint64(1))[:SKETCH].tolist()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two texts by their sketches; exact where neither was cut."""
-    union = np.union1d(a, b)[:SKETCH]
-    return 1.0 if not len(union) else float((np.isin(union, a) & np.isin(union, b)).mean())
+class Sketch:
+    def __init__(self, hashes: list[int]):
+        self.hashes, self.set = hashes, frozenset(hashes)
+        self.most = hashes[-1] if len(hashes) == SKETCH else None
+
+    def similarity(self, other: Sketch) -> float:
+        """Jaccard similarity below the smaller largest hash, where both sketches are whole; exact if neither was cut."""
+        if not self.hashes and not other.hashes:
+            return 1.0
+        shared = len(self.set & other.set)
+        limits = [m for m in (self.most, other.most) if m is not None]
+        if not limits:
+            return shared / (len(self.hashes) + len(other.hashes) - shared)
+        limit = min(limits)
+        return shared / (bisect_right(self.hashes, limit) + bisect_right(other.hashes, limit) - shared)
+
+    def like(self, other: Sketch) -> bool:
+        return self.similarity(other) >= SIMILARITY
 
 
 def _copies(frame: pd.DataFrame) -> pd.DataFrame:
     """The members of one component that a smaller one stands for, by links of enough similarity."""
     frame = frame.sort_values("rep", ignore_index=True)
-    sketches = [np.asarray(x, np.int64) for x in frame["sketch"]]
+    sketches = [Sketch(list(x)) for x in frame["sketch"]]
     kind = list(range(len(frame)))
     for a in range(len(frame)):
         for b in range(a + 1, len(frame)):
-            if kind[a] != kind[b] and similarity(sketches[a], sketches[b]) >= SIMILARITY:
+            if kind[a] != kind[b] and sketches[a].like(sketches[b]):
                 low, high = sorted((kind[a], kind[b]))
                 kind = [low if k == high else k for k in kind]
-    return pd.DataFrame({"rep": [r for i, r in enumerate(frame["rep"]) if kind[i] != i]}, dtype="int64")
+    return pd.DataFrame({"rep": [rep for i, rep in enumerate(frame["rep"]) if kind[i] != i]}, dtype="int64")
+
+
+def _placed(reps: DataFrame, fp: str, radius: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Members (root, n and the columns of ``reps``) of components of several texts: up to TOGETHER of them, and more."""
+    linked = connected(links(reps.select(F.col(fp).alias("fp")).distinct(), radius, blocks))
+    linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    placed = reps.join(linked, F.col(fp) == F.col("node"), "left").withColumn("root", F.coalesce("root", fp)).drop("node")
+    several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(placed.join(several, "root"))
+    return members.where(F.col("n") <= TOGETHER), members.where(F.col("n") > TOGETHER)
 
 
 def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS, blocks: int = COPY_BLOCKS) -> DataFrame:
     """doc_id of every document that another of smaller doc_id stands for: exact copies, and near ones by five-word shingles.
 
     Exact copies are found by a 128-bit hash and count once from there on. Fingerprints of content words, all words but
-    the ``n_common`` most frequent of the corpus, find the candidates: components at ``radius`` bits. Their members alone
-    are sketched and compared: up to TOGETHER with each other; a larger component is thinned against its first member, round by round, until it isn't larger.
+    the ``n_common`` most frequent of the corpus, find the candidates: components at ``radius`` bits. The members of one are
+    sketched and compared with each other. A component of more than TOGETHER texts is divided first by fingerprints of three-word
+    shingles at RADIUS bits; where such a part is still as large, it is one group as it stands. What its parts keep is compared
+    once more, unless that is still as many.
     """
     common = frozenset(vocabulary(docs, n_common))
     ready(docs.sparkSession)
@@ -290,45 +316,33 @@ def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADI
         for batch in batches:
             own = batch.column(1).to_pylist()
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(own, common=common).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "fp", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(own, common=common).view(np.int64)), pa.array(fingerprints(own).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "words", "shingles", "key"])
 
-    rows = cut(texts.where("doc_id is not null").mapInArrow(mark, "doc_id long, fp long, key binary"))
-    reps = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
-    linked = connected(links(reps.select("fp").distinct(), radius, blocks))
-    linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
-    placed = reps.join(linked, F.col("fp") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "fp").alias("root"))
-    several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    members = cut(placed.join(several, "root"))
+    rows = cut(texts.where("doc_id is not null").mapInArrow(mark, "doc_id long, words long, shingles long, key binary"))
+    reps = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("words").alias("words"), F.min("shingles").alias("shingles")))
+    few, many = _placed(reps, "words", radius, blocks)
+    parts, large = _placed(many.select("key", "rep", "shingles"), "shingles", RADIUS, BLOCKS)
+    members = few.select("key", "rep").unionByName(many.select("key", "rep"))
 
     def draw(batches):
         for batch in batches:
             own = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own], pa.binary()), pa.array([sketch(t).view(np.int64).tolist() for t in own], pa.list_(pa.int64()))], names=["_key", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own], pa.binary()), pa.array([sketch(t) for t in own], pa.list_(pa.int64()))], names=["_key", "sketch"])
 
     wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sketches = wanted.mapInArrow(draw, "_key binary, sketch array<long>").dropDuplicates(["_key"])
-    state = cut(members.join(sketches, F.col("key") == F.col("_key")).select("root", "rep", "sketch"))
-    gone = [rows.join(reps.select("key", "rep"), "key").where("doc_id != rep").select("doc_id")]
-
-    def thin(batches):
-        for batch in batches:
-            close = [similarity(np.asarray(a.values, np.int64), np.asarray(b.values, np.int64)) >= SIMILARITY for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(close, pa.bool_())], names=["root", "rep", "sketch", "close"])
-
-    while True:
-        sizes = state.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min_by("sketch", "rep").alias("first"), F.min("rep").alias("least"))
-        sizes = cut(sizes)
-        gone.append(state.join(sizes.where(F.col("n") <= TOGETHER).select("root"), "root").groupBy("root").applyInPandas(_copies, "rep long").select(F.col("rep").alias("doc_id")))
-        large = sizes.where(F.col("n") > TOGETHER).drop("n")
-        if large.isEmpty():
-            break
-        compared = cut(state.join(large, "root").where("rep != least").select("root", "rep", "sketch", "first").mapInArrow(thin, "root long, rep long, sketch array<long>, close boolean"))
-        gone.append(compared.where("close").select(F.col("rep").alias("doc_id")))
-        state = compared.where("NOT close").drop("close")
-    out = gone[0]
-    for more in gone[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    sketches = cut(wanted.mapInArrow(draw, "_key binary, sketch array<long>").dropDuplicates(["_key"]))
+
+    def compared(groups: DataFrame) -> DataFrame:
+        met = groups.select("key", "rep", "root").join(sketches, F.col("key") == F.col("_key")).select("root", "rep", "sketch")
+        return met.groupBy("root").applyInPandas(_copies, "rep long")
+
+    least = large.groupBy("root").agg(F.min("rep").alias("least"))
+    divided = cut(compared(parts).unionByName(large.join(least, "root").where("rep != least").select("rep")))
+    kept = many.join(divided, "rep", "left_anti").drop("n")
+    open_groups = kept.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= TOGETHER)).select("root")
+    exact = rows.join(reps.select("key", "rep"), "key").where("doc_id != rep").select("doc_id")
+    near = compared(few).unionByName(divided).unionByName(compared(kept.join(open_groups, "root")))
+    return exact.unionByName(near.select(F.col("rep").alias("doc_id"))).distinct()
 
 
 def keep_one(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS, blocks: int = COPY_BLOCKS) -> DataFrame:

@@ -29,7 +29,9 @@ CLASSES, MEMBERS = 32, 32
 #: Ids: 0 pads, then HASHED buckets for words without an id of their own, then the most frequent words.
 HASHED = 128
 VOCABULARY = CLASSES * MEMBERS - HASHED - 1
-BATCH, RATE = 16384, 0.08
+BATCH, RATE = 8192, 0.08
+#: Characters that a copy should train on at least; smaller partitions are read together, without a shuffle.
+CHARS_PER_COPY = 4_000_000
 #: Weights travel in so many parts, and so many copies meet in one group of the averaging tree.
 PARTS, FAN = 16, 32
 KEPT_WORDS = 600_000
@@ -188,6 +190,8 @@ def train(docs: DataFrame, frequent: list[str], text_column: str = "text") -> np
     """Weights of the network after every partition has trained on all its documents and the copies are averaged."""
     spark = ready(docs.sparkSession).sparkContext
     texts = docs.select(text_of(text_column).alias("text"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = texts.coalesce(max(1, min(texts.rdd.getNumPartitions(), chars // CHARS_PER_COPY)))
     shared = spark.broadcast(frequent)
 
     def run(batches):

@@ -106,6 +106,15 @@ def test_language_model_scores(spark, odd, empty):
     assert lm.score_corpus(empty).count() == 0
 
 
+def test_copies_are_averaged_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHARS_PER_COPY", 10_000)
+    monkeypatch.setattr(lm, "FAN", 3)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(12, "doc_id")
+    weights = lm.train(docs, lm.vocabulary(docs))
+    start = lm.WindowNetwork().flat
+    assert weights.shape == start.shape and np.isfinite(weights).all() and np.abs(weights - start).max() > 0.01
+
+
 def test_word_counts_cover_everything(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     expected = Counter(w for r in docs.collect() for w in r.text.lower().split())

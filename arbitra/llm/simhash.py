@@ -18,7 +18,6 @@ large-star and small-star rounds on distinct fingerprints.
 from __future__ import annotations
 
 import itertools
-from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -246,44 +245,30 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
 #: Near copies share five-word shingles at a similarity of 0.8: about one word in forty is changed, which moves a fingerprint
 #: of content words by two or three bits, but one of shingles by ten.
 COMMON, COPY_RADIUS, COPY_BLOCKS = 256, 3, 6
-COPY_SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 256
+COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Members of a component that are compared with each other in one task.
 TOGETHER = 256
 
 
-def sketch(text: str) -> list[int]:
-    """The SKETCH smallest distinct hashes (63 bits) of a text's five-word shingles: all of them where it has no more."""
-    return np.unique(shingle_hashes(text.lower(), COPY_SHINGLE) >> np.uint64(1))[:SKETCH].tolist()
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of all five-word shingles of a text, in order."""
+    return np.unique(shingle_hashes(text.lower(), COPY_SHINGLE).view(np.int64))
 
 
-class Sketch:
-    def __init__(self, hashes: list[int]):
-        self.hashes, self.set = hashes, frozenset(hashes)
-        self.most = hashes[-1] if len(hashes) == SKETCH else None
-
-    def similarity(self, other: Sketch) -> float:
-        """Jaccard similarity below the smaller largest hash, where both sketches are whole; exact if neither was cut."""
-        if not self.hashes and not other.hashes:
-            return 1.0
-        shared = len(self.set & other.set)
-        limits = [m for m in (self.most, other.most) if m is not None]
-        if not limits:
-            return shared / (len(self.hashes) + len(other.hashes) - shared)
-        limit = min(limits)
-        return shared / (bisect_right(self.hashes, limit) + bisect_right(other.hashes, limit) - shared)
-
-    def like(self, other: Sketch) -> bool:
-        return self.similarity(other) >= SIMILARITY
+def alike(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two whole sets is SIMILARITY or more; two empty ones are alike."""
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    return shared >= SIMILARITY * (len(one) + len(other) - shared)
 
 
 def _copies(frame: pd.DataFrame) -> pd.DataFrame:
     """The members of one component that a smaller one stands for, by links of enough similarity."""
     frame = frame.sort_values("rep", ignore_index=True)
-    sketches = [Sketch(list(x)) for x in frame["sketch"]]
+    sets = [np.asarray(x, np.int64) for x in frame["shingles"]]
     kind = list(range(len(frame)))
     for a in range(len(frame)):
         for b in range(a + 1, len(frame)):
-            if kind[a] != kind[b] and sketches[a].like(sketches[b]):
+            if kind[a] != kind[b] and alike(sets[a], sets[b]):
                 low, high = sorted((kind[a], kind[b]))
                 kind = [low if k == high else k for k in kind]
     return pd.DataFrame({"rep": [rep for i, rep in enumerate(frame["rep"]) if kind[i] != i]}, dtype="int64")
@@ -304,7 +289,7 @@ def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADI
 
     Exact copies are found by a 128-bit hash and count once from there on. Fingerprints of content words, all words but
     the ``n_common`` most frequent of the corpus, find the candidates: components at ``radius`` bits. The members of one are
-    sketched and compared with each other. A component of more than TOGETHER texts is divided first by fingerprints of three-word
+    compared with each other by all their shingles. A component of more than TOGETHER texts is divided first by fingerprints of three-word
     shingles at RADIUS bits; where such a part is still as large, it is one group as it stands. What its parts keep is compared
     once more, unless that is still as many.
     """
@@ -327,13 +312,13 @@ def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADI
     def draw(batches):
         for batch in batches:
             own = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own], pa.binary()), pa.array([sketch(t) for t in own], pa.list_(pa.int64()))], names=["_key", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own], pa.binary()), pa.array([shingle_set(t) for t in own], pa.list_(pa.int64()))], names=["_key", "shingles"])
 
     wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sketches = cut(wanted.mapInArrow(draw, "_key binary, sketch array<long>").dropDuplicates(["_key"]))
+    sets = cut(wanted.mapInArrow(draw, "_key binary, shingles array<long>").dropDuplicates(["_key"]))
 
     def compared(groups: DataFrame) -> DataFrame:
-        met = groups.select("key", "rep", "root").join(sketches, F.col("key") == F.col("_key")).select("root", "rep", "sketch")
+        met = groups.select("key", "rep", "root").join(sets, F.col("key") == F.col("_key")).select("root", "rep", "shingles")
         return met.groupBy("root").applyInPandas(_copies, "rep long")
 
     least = large.groupBy("root").agg(F.min("rep").alias("least"))

@@ -36,3 +36,16 @@ def test_large_components_are_thinned(spark, monkeypatch):
     rows = [(i, " ".join([*base[:60], f"new{i}", *base[61:]])) for i in range(30)] + [(100 + i, " ".join(f"other{i}x{j}" for j in range(50))) for i in range(5)] + [(200, " ".join(base))] * 2
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), n_common=0)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 100, 101, 102, 103, 104]
+
+
+def test_long_texts_are_decided_by_all_their_shingles(spark):
+    # one word said over and over gives all texts one fingerprint; of 1000 other words, 106 to 117 differ: similarity about 0.8
+    said, rows = " zz" * 3000, []
+    for k in range(24):
+        base = [f"w{k}x{i}" for i in range(1000)]
+        rows += [(10 * k, " ".join(base) + said), (10 * k + 1, " ".join([*(f"n{k}y{i}" for i in range(106 + k // 2)), *base[106 + k // 2 :]]) + said)]
+    texts = {i: shingles(t) for i, t in rows}
+    should = {b for a, b in ((10 * k, 10 * k + 1) for k in range(24)) if len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])}
+    assert 5 < len(should) < 20
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), n_common=0).select("doc_id").collect()}
+    assert set(texts) - kept == should

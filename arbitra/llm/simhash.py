@@ -246,7 +246,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
 #: of content words by two or three bits, but one of shingles by ten.
 COMMON, COPY_RADIUS, COPY_BLOCKS = 256, 3, 6
 COPY_SHINGLE, SIMILARITY = 5, 0.8
-#: Members of a component that are compared with each other in one task.
+#: Texts of one block; blocks of a larger group are compared pair by pair of blocks.
 TOGETHER = 256
 
 
@@ -255,43 +255,82 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text.lower(), COPY_SHINGLE).view(np.int64))
 
 
-def alike(one: np.ndarray, other: np.ndarray) -> bool:
-    """Whether the Jaccard similarity of two whole sets is SIMILARITY or more; two empty ones are alike."""
-    shared = len(np.intersect1d(one, other, assume_unique=True))
-    return shared >= SIMILARITY * (len(one) + len(other) - shared)
+def _similar(shared, one, other):
+    """Whether sets of these sizes are alike; two empty ones are. For numbers, arrays and columns."""
+    return shared >= SIMILARITY * (one + other - shared)
 
 
-def _copies(frame: pd.DataFrame) -> pd.DataFrame:
-    """The members of one component that a smaller one stands for, by links of enough similarity."""
+def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """a < b: checked links that join what is alike in one pair of blocks of a group and isn't joined (by ``root``) yet."""
     frame = frame.sort_values("rep", ignore_index=True)
+    reps, side = frame["rep"].to_numpy(), frame["own"].to_numpy()
+    crossed = len(np.unique(side)) > 1
     sets = [np.asarray(x, np.int64) for x in frame["shingles"]]
-    kind = list(range(len(frame)))
-    for a in range(len(frame)):
-        for b in range(a + 1, len(frame)):
-            if kind[a] != kind[b] and alike(sets[a], sets[b]):
-                low, high = sorted((kind[a], kind[b]))
-                kind = [low if k == high else k for k in kind]
-    return pd.DataFrame({"rep": [rep for i, rep in enumerate(frame["rep"]) if kind[i] != i]}, dtype="int64")
-
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    held = np.bincount(ids) if len(ids) else np.empty(0, np.int64)
+    first, at = np.cumsum(held) - held, np.cumsum(sizes) - sizes
+    kind = np.unique(frame["root"].to_numpy(), return_inverse=True)[1]
+    left, right = [], []
+    for i in range(len(sets)):
+        own = ids[at[i] : at[i] + sizes[i]]
+        n = held[own]
+        places = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(owner[places], minlength=len(sets))
+        near = _similar(shared, sizes[i], sizes) & (kind != kind[i])
+        near[: i + 1] = False
+        if crossed:
+            near &= side != side[i]
+        for j in np.flatnonzero(near).tolist():
+            if kind[i] != kind[j]:
+                kind[kind == kind[j]] = kind[i]
+                left.append(reps[i])
+                right.append(reps[j])
+    return pd.DataFrame({"a": left, "b": right}, dtype="int64")
+
+
+def _near(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, root: every text that checked links join to one of smaller id, and the smallest that they reach.
+
+    ``members(bucket, rep)`` are groups of candidates. First all of a group are compared with its smallest, which settles groups of
+    copies of one text in as many steps as they have members. Groups that aren't joined then are compared pair by
+    pair, in blocks of about TOGETHER. No text is joined to another without the similarity of two texts that was checked.
+    """
+    groups = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark")).where("n > 1")
+    # groups of the same members count once
+    groups = groups.groupBy("n", "least", "mark").agg(F.min("bucket").alias("bucket")).drop("mark")
+    placed = cut(members.join(groups, "bucket"))
 
-def _placed(reps: DataFrame, fp: str, radius: int, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Members (root, n and the columns of ``reps``) of components of several texts: up to TOGETHER of them, and more."""
-    linked = connected(links(reps.select(F.col(fp).alias("fp")).distinct(), radius, blocks))
-    linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
-    placed = reps.join(linked, F.col(fp) == F.col("node"), "left").withColumn("root", F.coalesce("root", fp)).drop("node")
-    several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(placed.join(several, "root"))
-    return members.where(F.col("n") <= TOGETHER), members.where(F.col("n") > TOGETHER)
+    def draw(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+    wanted = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = cut(wanted.mapInArrow(draw, "rep long, shingles array<long>").dropDuplicates())
+    pairs = placed.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    of = lambda side: sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"{side}_set"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    checked = cut(pairs.join(of("b"), "b").join(of("a"), "a").where(_similar(shared, F.size("a_set"), F.size("b_set"))).select("a", "b").distinct())
+    linked = cut(connected(checked))
+    rooted = placed.join(linked, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    # a group of two was compared in full
+    open_groups = rooted.where("n > 2").groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    parts = F.ceil(F.col("n") / TOGETHER)
+    split = rooted.join(open_groups, "bucket").withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    blocks = split.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "root").join(sets, "rep")
+    more = cut(blocks.groupBy("bucket", "low", "high").applyInPandas(_block_links, "a long, b long").where("a != b").distinct())
+    if more.isEmpty():
+        return linked
+    return connected(more.unionByName(linked.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
 def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS, blocks: int = COPY_BLOCKS) -> DataFrame:
     """doc_id of every document that another of smaller doc_id stands for: exact copies, and near ones by five-word shingles.
 
     Exact copies are found by a 128-bit hash and count once from there on. Fingerprints of content words, all words but
-    the ``n_common`` most frequent of the corpus, find the candidates: components at ``radius`` bits. The members of one are
-    compared with each other by all their shingles. A component of more than TOGETHER texts is divided first by fingerprints of three-word
-    shingles at RADIUS bits; where such a part is still as large, it is one group as it stands. What its parts keep is compared
-    once more, unless that is still as many.
+    the ``n_common`` most frequent of the corpus, find the candidates: components at ``radius`` bits, of any size. Links between
+    their members are checked by all their shingles; what checked links join is one group.
     """
     common = frozenset(vocabulary(docs, n_common))
     ready(docs.sparkSession)
@@ -301,33 +340,15 @@ def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADI
         for batch in batches:
             own = batch.column(1).to_pylist()
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(own, common=common).view(np.int64)), pa.array(fingerprints(own).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "words", "shingles", "key"])
-
-    rows = cut(texts.where("doc_id is not null").mapInArrow(mark, "doc_id long, words long, shingles long, key binary"))
-    reps = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("words").alias("words"), F.min("shingles").alias("shingles")))
-    few, many = _placed(reps, "words", radius, blocks)
-    parts, large = _placed(many.select("key", "rep", "shingles"), "shingles", RADIUS, BLOCKS)
-    members = few.select("key", "rep").unionByName(many.select("key", "rep"))
-
-    def draw(batches):
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own], pa.binary()), pa.array([shingle_set(t) for t in own], pa.list_(pa.int64()))], names=["_key", "shingles"])
-
-    wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sets = cut(wanted.mapInArrow(draw, "_key binary, shingles array<long>").dropDuplicates(["_key"]))
-
-    def compared(groups: DataFrame) -> DataFrame:
-        met = groups.select("key", "rep", "root").join(sets, F.col("key") == F.col("_key")).select("root", "rep", "shingles")
-        return met.groupBy("root").applyInPandas(_copies, "rep long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(own, common=common).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "words", "key"])
 
-    least = large.groupBy("root").agg(F.min("rep").alias("least"))
-    divided = cut(compared(parts).unionByName(large.join(least, "root").where("rep != least").select("rep")))
-    kept = many.join(divided, "rep", "left_anti").drop("n")
-    open_groups = kept.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= TOGETHER)).select("root")
+    rows = cut(texts.where("doc_id is not null").mapInArrow(mark, "doc_id long, words long, key binary"))
+    reps = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("words").alias("words")))
+    linked = connected(links(reps.select(F.col("words").alias("fp")).distinct(), radius, blocks))
+    members = reps.join(linked, F.col("words") == F.col("node"), "left").select(F.coalesce("root", "words").alias("bucket"), "rep").distinct()
     exact = rows.join(reps.select("key", "rep"), "key").where("doc_id != rep").select("doc_id")
-    near = compared(few).unionByName(divided).unionByName(compared(kept.join(open_groups, "root")))
-    return exact.unionByName(near.select(F.col("rep").alias("doc_id"))).distinct()
+    near = _near(members, texts)
+    return exact.unionByName(near.select(F.col("node").alias("doc_id"))).distinct()
 
 
 def keep_one(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS, blocks: int = COPY_BLOCKS) -> DataFrame:

@@ -49,3 +49,14 @@ def test_long_texts_are_decided_by_all_their_shingles(spark):
     assert 5 < len(should) < 20
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), n_common=0).select("doc_id").collect()}
     assert set(texts) - kept == should
+
+
+def test_large_groups_lose_only_what_is_alike(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TOGETHER", 16)
+    said = " ".join(f"said{i % 12}" for i in range(2000))
+    # one repeated passage gives all texts one fingerprint, but their own words differ
+    own = [(i, said + " " + " ".join(f"own{i}x{j}" for j in range(40))) for i in range(60)]
+    # versions that drift: each is alike to the next only, and the smallest id is in the middle
+    drift = [(1000 + (i + 20) % 40, said + " " + " ".join(f"step{j}" for j in range(12 * i, 12 * i + 200))) for i in range(40)]
+    kept = simhash.keep_one(spark.createDataFrame(own + drift, "doc_id long, text string"), n_common=0)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(60), 1000]

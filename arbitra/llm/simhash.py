@@ -246,6 +246,10 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
 #: of content words by two or three bits, but one of shingles by ten.
 COMMON, COPY_RADIUS, COPY_BLOCKS = 256, 3, 6
 COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Bands of so many minimum hashes: a pair at a similarity of 0.8 shares none with a probability of (1 - 0.8^4)^20, 3 in 100,000.
+BANDS, BAND = 20, 4
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND, 1), np.uint64)
+FACTORS, MASKS = _MIX[0] * np.uint64(2) + np.uint64(1), _MIX[1] * np.uint64(2)
 #: Texts of one block; blocks of a larger group are compared pair by pair of blocks.
 TOGETHER = 256
 
@@ -255,6 +259,15 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text.lower(), COPY_SHINGLE).view(np.int64))
 
 
+def bands(shingles: np.ndarray) -> list[int]:
+    """A hash of each band of minimum hashes of a set. Sets of any size, in slices of bounded size; empty sets share all bands."""
+    least = np.full(BANDS * BAND, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    own = shingles.view(np.uint64)
+    for at in range(0, len(own), 16_384):
+        least = np.minimum(least, ((own[at : at + 16_384] ^ MASKS) * FACTORS).min(1))
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, BAND))]
+
+
 def _similar(shared, one, other):
     """Whether sets of these sizes are alike; two empty ones are. For numbers, arrays and columns."""
     return shared >= SIMILARITY * (one + other - shared)
@@ -290,10 +303,10 @@ def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": left, "b": right}, dtype="int64")
 
 
-def _near(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _near(members: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """node, root: every text that checked links join to one of smaller id, and the smallest that they reach.
 
-    ``members(bucket, rep)`` are groups of candidates. First all of a group are compared with its smallest, which settles groups of
+    ``members(bucket, rep)`` are groups of candidates, ``pairs(a, b)`` single ones (a < b). First all of a group are compared with its smallest, which settles groups of
     copies of one text in as many steps as they have members. Groups that aren't joined then are compared pair by
     pair, in blocks of about TOGETHER. No text is joined to another without the similarity of two texts that was checked.
     """
@@ -306,9 +319,10 @@ def _near(members: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    wanted = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    pairs = cut(placed.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).unionByName(pairs).distinct())
+    candidates = placed.select("rep").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("rep"))).distinct()
+    wanted = texts.join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     sets = cut(wanted.mapInArrow(draw, "rep long, shingles array<long>").dropDuplicates())
-    pairs = placed.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     of = lambda side: sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"{side}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     checked = cut(pairs.join(of("b"), "b").join(of("a"), "a").where(_similar(shared, F.size("a_set"), F.size("b_set"))).select("a", "b").distinct())
@@ -328,9 +342,9 @@ def _near(members: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS, blocks: int = COPY_BLOCKS) -> DataFrame:
     """doc_id of every document that another of smaller doc_id stands for: exact copies, and near ones by five-word shingles.
 
-    Exact copies are found by a 128-bit hash and count once from there on. Fingerprints of content words, all words but
-    the ``n_common`` most frequent of the corpus, find the candidates: components at ``radius`` bits, of any size. Links between
-    their members are checked by all their shingles; what checked links join is one group.
+    Exact copies are found by a 128-bit hash and count once from there on. Candidates are all that share a band of minimum
+    hashes of their shingles, and what the SimHash index links at ``radius`` bits: fingerprints of content words, all words but the
+    ``n_common`` most frequent of the corpus. Links are checked by all shingles; what checked links join is one group.
     """
     common = frozenset(vocabulary(docs, n_common))
     ready(docs.sparkSession)
@@ -340,14 +354,20 @@ def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADI
         for batch in batches:
             own = batch.column(1).to_pylist()
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(own, common=common).view(np.int64)), pa.array(keys, pa.binary())], names=["doc_id", "words", "key"])
-
-    rows = cut(texts.where("doc_id is not null").mapInArrow(mark, "doc_id long, words long, key binary"))
-    reps = cut(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("words").alias("words")))
-    linked = connected(links(reps.select(F.col("words").alias("fp")).distinct(), radius, blocks))
-    members = reps.join(linked, F.col("words") == F.col("node"), "left").select(F.coalesce("root", "words").alias("bucket"), "rep").distinct()
+            held = pa.array([bands(shingle_set(t)) for t in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(own, common=common).view(np.int64)), pa.array(keys, pa.binary()), held], names=["doc_id", "words", "key", "bands"])
+
+    marked = cut(texts.where("doc_id is not null").mapInArrow(mark, "doc_id long, words long, key binary, bands array<long>"))
+    rows = marked.select("doc_id", "key")
+    reps = cut(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("words").alias("words"), F.first("bands").alias("bands")))
+    members = reps.select(F.explode("bands").alias("bucket"), "rep").distinct()
+    of_code = cut(reps.groupBy(F.col("words").alias("fp")).agg(F.min("rep").alias("first")))
+    same = reps.join(of_code, F.col("words") == F.col("fp")).select(F.col("first").alias("x"), F.col("rep").alias("y"))
+    code = lambda side, name: of_code.select(F.col("fp").alias(side), F.col("first").alias(name))
+    linked = links(of_code.select("fp"), radius, blocks).join(code("a", "x"), "a").join(code("b", "y"), "b").select("x", "y")
+    pairs = same.unionByName(linked).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     exact = rows.join(reps.select("key", "rep"), "key").where("doc_id != rep").select("doc_id")
-    near = _near(members, texts)
+    near = _near(members, texts, pairs)
     return exact.unionByName(near.select(F.col("node").alias("doc_id"))).distinct()
 
 

@@ -60,3 +60,13 @@ def test_large_groups_lose_only_what_is_alike(spark, monkeypatch):
     drift = [(1000 + (i + 20) % 40, said + " " + " ".join(f"step{j}" for j in range(12 * i, 12 * i + 200))) for i in range(40)]
     kept = simhash.keep_one(spark.createDataFrame(own + drift, "doc_id long, text string"), n_common=0)
     assert sorted(r.doc_id for r in kept.collect()) == [*range(60), 1000]
+
+
+def test_copies_with_another_end_are_found(spark):
+    # an added end of a tenth moves fingerprints by many bits, at a similarity of 0.91
+    rows = []
+    for k in range(100):
+        base = [f"w{k}x{i}" for i in range(200)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base, *(f"end{k}y{i}" for i in range(20))]))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), n_common=0)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [2 * k for k in range(100)]

@@ -2,10 +2,10 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each value found is a protected
 entity. A word that stands next to entities discloses their kind by its pointwise mutual information with it:
-with n(t, k) distinct values of kind k that term t stands next to, and n(t) documents of the whole corpus that hold t,
+with n(t, k) distinct values of kind k that term t stands next to, and n(t) distinct texts of the whole corpus that hold t,
 ``log(n(t, k) / n(t) / p(k)) / log(1 / p(k))`` is 1 where t never occurs without such an entity and 0 where it is
 independent. Terms with enough support at or above the threshold get spans of their own next to entities.
-Values are counted once however often their document is copied.
+Values and texts are counted once however often a document is copied.
 """
 
 from __future__ import annotations
@@ -103,8 +103,13 @@ def _found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text")).withColumn("spans", base_spans(F.col("text")))
 
 
+def distinct_texts(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """text: each once."""
+    return docs.select(text_of(text_column).alias("text")).distinct()
+
+
 def document_counts(texts: DataFrame) -> DataFrame:
-    """term, n_docs over every document: a word count with partial sums, each document's repeats counted once."""
+    """term, n_docs over every row of ``texts``: a word count with partial sums, each text's repeats counted once."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))
     terms = F.filter(words, lambda w: F.length(w) >= 3)
     return texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -113,7 +118,8 @@ def document_counts(texts: DataFrame) -> DataFrame:
 def disclosing_terms(entities: DataFrame, counts: DataFrame, n_docs: int, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
     """kind, term, disclosure of the terms at or above ``threshold``, from ``entities(kind, entity, term)``.
 
-    ``entities`` also holds a row with null term for every entity, so that each kind's share of documents is known.
+    ``entities`` also holds a row with null term for every entity, so that each kind's share of texts is known.
+    ``counts`` and ``n_docs`` are of distinct texts, as entities are of distinct values.
     """
     values = entities.groupBy("kind", "term", "entity").agg(F.lit(1).alias("one"))
     near = values.where("term is not null").groupBy("kind", "term").agg(F.count(F.lit(1)).alias("near")).where(F.col("near") >= support)
@@ -130,8 +136,9 @@ def _term_spans(found: DataFrame, docs: DataFrame, text_column: str, support: in
     near = held.select("doc_key", F.explode("near").alias("c")).select("doc_key", "c.*")
     whole = held.select(F.explode("spans").alias("s")).select(F.col("s.kind").alias("kind"), F.col("s.value").alias("entity"), F.lit(None).cast("string").alias("term"))
     entities = whole.unionByName(near.select("kind", "entity", "term"))
-    texts = docs.select(text_of(text_column).alias("text"))
-    terms = disclosing_terms(entities, document_counts(texts), found.count(), support, threshold)
+    texts = distinct_texts(docs, text_column)
+    n_texts = found.select("doc_key.hash", "doc_key.size").distinct().count()
+    terms = disclosing_terms(entities, document_counts(texts), n_texts, support, threshold)
     span = F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"))
     hit = near.join(terms, ["kind", "term"]).groupBy("doc_key", "start", "end", "term").agg(F.lit(1).alias("one"))
     return hit.groupBy("doc_key").agg(F.sort_array(F.collect_set(span)).alias("terms"))
@@ -145,8 +152,8 @@ def _key(id_column: str = "doc_id") -> Column:
 def find_spans(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, spans (base, SPAN), terms (SPAN): one row per row of ``docs``.
 
-    Null text is empty text, without spans. Null doc_id stays null. Repeated rows each get a row and count as documents,
-    but their entities count once. No rows: no rows. Other columns are ignored. Texts are never cut.
+    Null text is empty text, without spans. Null doc_id stays null. Repeated rows each get a row, but their
+    texts and entities count once. No rows: no rows. Other columns are ignored. Texts are never cut.
     """
     found = _found(docs, id_column, text_column)
     small = cut(found.select("doc_id", _key().alias("doc_key"), "spans", F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"))).alias("near")))

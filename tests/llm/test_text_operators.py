@@ -267,6 +267,17 @@ def test_pii_disclosing_terms(spark):
     assert clean[0] == "[TERM] [TERM] [EMAIL] the day" and clean[100] == "the day was long"
 
 
+def test_copies_hide_no_disclosing_term(spark):
+    beside = "acmecorp " + " acmecorp ".join(f"user{i}x@host{i}.org" for i in range(4))
+    docs = [(0, beside)] + [(100 + i, f"the day was long {i}") for i in range(40)]
+    copied = docs + [(1000 + i, beside) for i in range(300)]
+    terms = []
+    for rows in (docs, copied):
+        found = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        terms.append([(t.value, t.start) for t in found[0].terms])
+    assert terms[0] == terms[1] and {t for t, _ in terms[0]} == {"acmecorp"}
+
+
 def test_sanitise_odd_rows(odd):
     clean = pii.sanitise(odd)
     assert clean.columns == odd.columns and clean.count() == len(ROWS)

@@ -4,7 +4,7 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. E
 entity. A word that stands next to entities discloses their kind by its pointwise mutual information with it:
 with n(t, k) distinct values of kind k that term t stands next to, and n(t) distinct texts of the whole corpus that hold t,
 ``log(n(t, k) / n(t) / p(k)) / log(1 / p(k))`` is 1 where t never occurs without such an entity and 0 where it is
-independent. Terms with enough support at or above the threshold get spans of their own next to entities.
+independent. Terms with enough support at or above the threshold get spans of their own wherever they stand, in any document.
 Values and texts are counted once however often a document is copied.
 """
 
@@ -21,6 +21,9 @@ GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]
 #: Code points on each side of an entity whose words are its context, distinct values that a term must stand next to, and the threshold.
 CONTEXT, SUPPORT, DISCLOSURE = 32, 4, 0.9
 
+#: So many disclosing terms are looked up in each text as one literal; more meet the words of all texts in a join.
+LOOKED_UP = 2000
+
 #: The kinds' patterns, anchored so that the engine doesn't try again inside a run that has failed: a run of local
 #: characters or digits is tried where it begins (or where the last match ended), and never given back.
 PATTERNS = {
@@ -36,10 +39,11 @@ WORD = r"\p{L}{3,}+"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
-def located(text: Column, pattern: str, kind: str, shift: Column | int = 0) -> Column:
+def located(text: Column, pattern: str | Column, kind: str, shift: Column | int = 0) -> Column:
     """SPAN of the pattern's matches in ``text``, in code points: matches and the gaps between them, summed up."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    found = F.regexp_extract_all(text, pattern, 0)
     long = lambda c: c.cast("long")
     first = F.struct(long(F.lit(0)).alias("at"), F.array().cast(SPAN).alias("spans"))
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(long(F.length(g)).alias("gap"), m.alias("value"), long(F.length(m)).alias("size")))
@@ -130,18 +134,41 @@ def disclosing_terms(entities: DataFrame, counts: DataFrame, n_docs: int, suppor
     return near.join(counts, "term").join(share, "kind").select("kind", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def _term_spans(found: DataFrame, docs: DataFrame, text_column: str, support: int, threshold: float) -> DataFrame:
-    """doc_key, terms (SPAN) of the documents that get spans of disclosing terms; ``found(doc_key, spans, near)``."""
+def found_terms(found: DataFrame, docs: DataFrame, text_column: str, support: int, threshold: float) -> DataFrame:
+    """term: what discloses an entity of any kind; ``found(doc_key, spans, near)``."""
     held = found.where(F.size("spans") > 0)
-    near = held.select("doc_key", F.explode("near").alias("c")).select("doc_key", "c.*")
+    near = held.select(F.explode("near").alias("c")).select("c.*")
     whole = held.select(F.explode("spans").alias("s")).select(F.col("s.kind").alias("kind"), F.col("s.value").alias("entity"), F.lit(None).cast("string").alias("term"))
     entities = whole.unionByName(near.select("kind", "entity", "term"))
     texts = distinct_texts(docs, text_column)
     n_texts = found.select("doc_key.hash", "doc_key.size").distinct().count()
-    terms = disclosing_terms(entities, document_counts(texts), n_texts, support, threshold)
-    span = F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"))
-    hit = near.join(terms, ["kind", "term"]).groupBy("doc_key", "start", "end", "term").agg(F.lit(1).alias("one"))
-    return hit.groupBy("doc_key").agg(F.sort_array(F.collect_set(span)).alias("terms"))
+    return cut(disclosing_terms(entities, document_counts(texts), n_texts, support, threshold).select("term").distinct())
+
+
+def _forms(text: Column) -> Column:
+    """The distinct words of a text as they are written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), 0))
+
+
+def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows(doc_key, text, spans, ...)`` with ``terms``: SPAN of every occurrence of one of ``terms`` that overlaps no span."""
+    known = [r.term for r in terms.limit(LOOKED_UP + 1).collect()]
+    if len(known) <= LOOKED_UP:
+        listed = F.array(*map(F.lit, sorted(known))).cast("array<string>")
+        forms = _forms(F.col("text"))
+        hit = F.array_intersect(F.transform(forms, F.lower), listed)
+        marked = rows.withColumn("_hit", hit if known else F.array().cast("array<string>"))
+        marked = marked.withColumn("_forms", F.when(F.size("_hit") > 0, F.filter(forms, lambda w: F.array_contains(F.col("_hit"), F.lower(w))))).drop("_hit")
+    else:
+        words = rows.select("doc_key", F.explode(_forms(F.col("text"))).alias("form"))
+        hits = words.join(terms.hint("shuffle_hash"), F.lower("form") == F.col("term")).groupBy("doc_key").agg(F.collect_set("form").alias("_forms"))
+        marked = rows.join(hits, "doc_key", "left")
+    # a form is letters only, so it needs no escape
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("_forms", "|"), F.lit(r")(?!\p{L})"))
+    apart = lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    named = lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value"))
+    spans = F.transform(F.filter(located(F.col("text"), pattern, "term"), apart), named)
+    return marked.withColumn("terms", F.when(F.col("_forms").isNotNull(), spans).otherwise(F.array().cast(SPAN))).drop("_forms")
 
 
 def _key(id_column: str = "doc_id") -> Column:
@@ -149,16 +176,20 @@ def _key(id_column: str = "doc_id") -> Column:
     return F.struct(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"), F.length("text").alias("size"))
 
 
+def _beside(found: DataFrame) -> DataFrame:
+    """doc_key, spans, near (contexts) of ``found``."""
+    return found.select("doc_key", "spans", F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"))).alias("near"))
+
+
 def find_spans(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, spans (base, SPAN), terms (SPAN): one row per row of ``docs``.
 
     Null text is empty text, without spans. Null doc_id stays null. Repeated rows each get a row, but their
     texts and entities count once. No rows: no rows. Other columns are ignored. Texts are never cut.
     """
-    found = _found(docs, id_column, text_column)
-    small = cut(found.select("doc_id", _key().alias("doc_key"), "spans", F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"))).alias("near")))
-    terms = _term_spans(small, docs, text_column, support, threshold)
-    return small.join(terms, "doc_key", "left").select("doc_id", "spans", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
+    found = _found(docs, id_column, text_column).withColumn("doc_key", _key())
+    terms = found_terms(cut(_beside(found)), docs, text_column, support, threshold)
+    return term_spans(found, terms).select("doc_id", "spans", "terms")
 
 
 def joined_spans(spans: Column) -> Column:
@@ -188,15 +219,13 @@ def redact(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with every span replaced in ``text_column``; other columns stay. Null text stays null.
 
-    Documents without an entity are passed on as they are; only the others meet the disclosing terms.
+    Rows without a span are passed on as they are.
     """
     names = docs.columns
-    marked = docs.withColumn("_spans", F.coalesce(base_spans(F.col(text_column).cast("string")), F.array().cast(SPAN)))
-    small = cut(_found(docs, id_column, text_column).select(_key().alias("doc_key"), "spans", F.when(F.size("spans") > 0, contexts(F.col("text"), F.col("spans"))).alias("near")))
-    terms = _term_spans(small, docs, text_column, support, threshold)
-    held = marked.where(F.size("_spans") > 0)
-    key = F.struct(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), F.xxhash64(text_column).alias("hash"), F.length(text_column).alias("size"))
-    clean = held.withColumn("doc_key", key).join(terms.withColumnRenamed("terms", "_terms"), "doc_key", "left")
-    every = F.concat("_spans", F.coalesce("_terms", F.array().cast(SPAN)))
-    clean = clean.withColumn(text_column, redact(F.col(text_column), every)).select(names)
-    return marked.where(F.size("_spans") == 0).select(names).unionByName(clean)
+    found = _found(docs, id_column, text_column).withColumn("doc_key", _key())
+    terms = found_terms(cut(_beside(found)), docs, text_column, support, threshold)
+    own = F.struct(*(F.col(c) for c in names))
+    rows = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"), own.alias("_row")).withColumn("doc_key", _key()).withColumn("spans", base_spans(F.col("text")))
+    marked = term_spans(rows, terms).withColumn("_every", F.concat("spans", "terms"))
+    clean = F.when(F.size("_every") > 0, redact(F.col("text"), F.col("_every"))).otherwise(F.col(f"_row.`{text_column}`"))
+    return marked.select(*(clean.alias(c) if c == text_column else F.col(f"_row.`{c}`").alias(c) for c in names))

@@ -267,6 +267,20 @@ def test_pii_disclosing_terms(spark):
     assert clean[0] == "[TERM] [TERM] [EMAIL] the day" and clean[100] == "the day was long"
 
 
+def test_disclosing_terms_are_found_everywhere(spark, monkeypatch):
+    docs = [(i, f"write Zorgmail user{i}x@host{i}.org the day") for i in range(8)] + [(100 + i, f"the day was long {i}") for i in range(200)]
+    apart = "zorgmail@x.org said that zorgmail, ZORGMAIL and not zorgmailer, with many words between them, are zorgmail"
+    docs += [(500, apart), (501, "nothing but 😀Zorgmail here"), (501, "nothing but 😀Zorgmail here")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for at_once in (2000, 0):
+        monkeypatch.setattr(pii, "LOOKED_UP", at_once)
+        found = {r.doc_id: [(t.value, t.start, t.end) for t in r.terms] for r in pii.find_spans(frame, threshold=0.6).collect()}
+        places = [m.span() for m in re.finditer(r"(?i)\bzorgmail\b", apart)][1:]
+        assert found[500] == [("zorgmail", *p) for p in places] and found[501] == [("zorgmail", 13, 21)] and not found[100]
+        clean = pii.sanitise(frame, threshold=0.6).where("doc_id = 501").collect()
+        assert [r.text for r in clean] == ["nothing but 😀[TERM] here"] * 2
+
+
 def test_copies_hide_no_disclosing_term(spark):
     beside = "acmecorp " + " acmecorp ".join(f"user{i}x@host{i}.org" for i in range(4))
     docs = [(0, beside)] + [(100 + i, f"the day was long {i}") for i in range(40)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -11,8 +12,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from arbitra.llm import bytebpe, media, packing, pii, queries, simhash
@@ -258,38 +261,88 @@ def test_pii_patterns_on_random_runs(spark):
     check_pii(found, docs)
 
 
-def test_pii_disclosing_terms(spark):
-    docs = [(i, f"write zorgmail user{i}x@host{i}.org the day") for i in range(8)] + [(100 + i, "the day was long") for i in range(200)]
+def plain_terms(texts, threshold=pii.DISCLOSURE, error=pii.ERROR):
+    """Plain words, entities and statistics of distinct texts: {(term, kind): (n, near)} of the disclosing ones, and a function that finds their places."""
+
+    def words(text):
+        own = list(text)
+        for _, a, b in plain_spans(text):
+            own[a:b] = " " * (b - a)
+        return [(m[0], *m.span()) for m in regex.finditer(r"[\p{L}\p{N}]{3,}", "".join(own))]
+
+    def term(word):
+        return word.lower() if not regex.search(r"\p{N}", word) else ("#x" if regex.search(r"\p{L}", word) else "#d") + str(len(word))
+
+    units, kinds = defaultdict(set), defaultdict(set)
+    for text in set(texts):
+        found = sorted({(k, text[a:b]) for k, a, b in plain_spans(text)})
+        unit = tuple(found) or text
+        units[unit] |= {term(w) for w, _, _ in words(text)}
+        kinds[unit] = {k for k, _ in found}
+    n, near = Counter(), Counter()
+    for unit, terms in units.items():
+        n.update(terms)
+        near.update((t, k) for t in terms for k in kinds[unit])
+    share = {k: sum(k in held for held in kinds.values()) / len(units) for k in PLAIN} if units else {}
+    proof = math.log(max(len(n), 1) * len(PLAIN) / error)
+    out = {}
+    for (t, k), together in near.items():
+        a, p = together / n[t], share[k]
+        if p < 1 and a > p and n[t] * (a * math.log(a / p) + ((1 - a) * math.log((1 - a) / (1 - p)) if a < 1 else 0)) > proof and 1 - math.log(a) / math.log(p) >= threshold:
+            out[t, k] = n[t], together
+    known = {t for t, _ in out}
+    return out, lambda text: [(w.lower(), a, b) for w, a, b in words(text) if term(w) in known]
+
+
+def check_terms(frame, **settings):
+    texts = [r.text or "" for r in frame.collect()]
+    known, places = plain_terms(texts, **settings)
+    assert {(r.term, r.kind): (r.n, r.near) for r in pii.disclosing_terms(frame, **settings).collect()} == known
+    found = pii.find_spans(frame, **settings).join(frame.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert all([(t.value, t.start, t.end) for t in r.terms] == places(r.text or "") for r in found)
+    return known
+
+
+def test_disclosing_terms_of_the_corpus(spark):
+    known = check_terms(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert known
+
+
+@pytest.mark.parametrize("at_once", [2000, 0])
+def test_disclosing_terms_stand_anywhere(spark, monkeypatch, at_once):
+    monkeypatch.setattr(pii, "LOOKED_UP", at_once)
+    docs = [(i, f"write Zorgmail user{i}x@host{i}.org the day, id 77-{i % 10}{'ab12' * 5}") for i in range(20)] + [(100 + i, f"the day was long {i}") for i in range(300)]
+    docs += [(500, "zorgmail@x.org said that zorgmail, ZORGMAIL and not zorgmailer are zorgmail"), (501, "nothing but 😀Zorgmail here"), (501, "nothing but 😀Zorgmail here"), (502, None)]
+    # near copies hold one value, so they are one unit, and their own words prove nothing
+    docs += [(600 + i, f"special offer {i} by anna@shop.org") for i in range(50)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    found = {r.doc_id: r for r in pii.find_spans(frame).collect()}
-    assert {t.value for t in found[0].terms} == {"write", "zorgmail"} and not found[100].terms
+    known = check_terms(frame)
+    assert {t for t, _ in known} == {"write", "zorgmail", "#x21"}
     clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
-    assert clean[0] == "[TERM] [TERM] [EMAIL] the day" and clean[100] == "the day was long"
+    assert clean[501] == "nothing but 😀[TERM] here" and clean[0] == "[TERM] [TERM] [EMAIL] the day, id 77-[TERM]" and clean[100] == "the day was long 0" and clean[502] is None
 
 
-def test_disclosing_terms_are_found_everywhere(spark, monkeypatch):
-    docs = [(i, f"write Zorgmail user{i}x@host{i}.org the day") for i in range(8)] + [(100 + i, f"the day was long {i}") for i in range(200)]
-    apart = "zorgmail@x.org said that zorgmail, ZORGMAIL and not zorgmailer, with many words between them, are zorgmail"
-    docs += [(500, apart), (501, "nothing but 😀Zorgmail here"), (501, "nothing but 😀Zorgmail here")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    for at_once in (2000, 0):
-        monkeypatch.setattr(pii, "LOOKED_UP", at_once)
-        found = {r.doc_id: [(t.value, t.start, t.end) for t in r.terms] for r in pii.find_spans(frame, threshold=0.6).collect()}
-        places = [m.span() for m in re.finditer(r"(?i)\bzorgmail\b", apart)][1:]
-        assert found[500] == [("zorgmail", *p) for p in places] and found[501] == [("zorgmail", 13, 21)] and not found[100]
-        clean = pii.sanitise(frame, threshold=0.6).where("doc_id = 501").collect()
-        assert [r.text for r in clean] == ["nothing but 😀[TERM] here"] * 2
-
-
-def test_copies_hide_no_disclosing_term(spark):
-    beside = "acmecorp " + " acmecorp ".join(f"user{i}x@host{i}.org" for i in range(4))
-    docs = [(0, beside)] + [(100 + i, f"the day was long {i}") for i in range(40)]
-    copied = docs + [(1000 + i, beside) for i in range(300)]
-    terms = []
-    for rows in (docs, copied):
-        found = {r.doc_id: r for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        terms.append([(t.value, t.start) for t in found[0].terms])
-    assert terms[0] == terms[1] and {t for t, _ in terms[0]} == {"acmecorp"}
+def test_copies_change_no_disclosing_term(spark):
+    docs = [(i, f"acmecorp user{i}x@host{i}.org") for i in range(12)] + [(100 + i, f"the day was long {i}") for i in range(90)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    copied = docs + [(1000 + i, docs[0][1]) for i in range(300)] + [(2000 + i, docs[20][1]) for i in range(300)]
+    once, again = check_terms(frame(docs)), check_terms(frame(copied))
+    assert once == again and {t for t, _ in once} == {"acmecorp"}
+
+
+def test_pii_long_texts_and_clashing_names(spark):
+    text = " ".join(f"Ü user{i}@a.org 10.0.0.{i % 256}" for i in range(30_000))
+    names = ["doc_id", "text", "doc_key", "spans", "terms", "forms", "left", "row"]
+    clean = pii.sanitise(spark.createDataFrame([(1, text, "k", "s", "t", "f", "l", "r")], names))
+    assert clean.columns == names and [tuple(r) for r in clean.collect()] == [(1, " ".join(["Ü [EMAIL] [IP]"] * 30_000), "k", "s", "t", "f", "l", "r")]
+    check_pii(pii.digests(pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect(), [(1, text)])
+
+
+def test_spans_that_overlap_are_replaced_once(spark):
+    spans = [("a", 1, 4), ("b", 2, 3), ("c", 3, 6), ("d", 6, 7), ("e", 8, 8)]
+    frame = spark.createDataFrame([("é123456789", [(k, a, b, "") for k, a, b in spans])], f"text string, spans {pii.SPAN}")
+    row = frame.select(pii._replaced(F.col("text"), F.col("spans"), lambda kind, size: F.concat(F.lit("<"), F.coalesce(kind, F.lit("")), size.cast("string"), F.lit(">"))).alias("t"), pii.blanked(F.col("text"), F.col("spans")).alias("b")).first()
+    assert row.t == "é<a3><0><2><d1>7<e0>89" and row.b == "é      789"
 
 
 def test_sanitise_odd_rows(odd):

@@ -156,6 +156,39 @@ def test_templates_learn_from_labels(spark):
     assert found[1001].template == "/bad/*" and found[1001].verdict == "block" and found[0].template == "/good/*" and found[0].verdict == "allow"
 
 
+def plain_templates(paths):
+    """Level by level: (parent, template) of each (host, path), repeats counted."""
+    rows = [[h, [x for x in p.split("/") if x], "", ""] for h, p in paths]
+    for level in range(max(len(r[1]) for r in rows)):
+        at = [r for r in rows if len(r[1]) > level]
+        through, node = Counter((r[0], r[3], r[1][level]) for r in at), Counter((r[0], r[3]) for r in at)
+        for r in at:
+            n = through[r[0], r[3], r[1][level]]
+            often = n >= urlfilter.SUPPORT and n >= urlfilter.SHARE * node[r[0], r[3]]
+            r.append(r[1][level] if often else "*")
+        for r in at:
+            r[2:] = [r[3], f"{r[3]}/{r[4]}"]
+    return {(h, p, r[2], r[3]) for (h, p), r in zip(paths, rows, strict=True)}
+
+
+def test_templates_equal_the_plain_tree(spark):
+    random.seed(8)
+    paths = [(random.choice("ab"), "/" + "/".join(random.choice(["x", "y", "long", f"id{random.randint(0, 40)}"]) for _ in range(random.randint(0, 6)))) for _ in range(1500)]
+    paths += [("c", "/deep" * 200 + f"/{i % 3}") for i in range(12)] + [("d", "/" + "/".join(map(str, range(300))))] + [("", "")]
+    counted = [(h, p, n) for (h, p), n in Counter(paths).items()]
+    found = urlfilter.templates(spark.createDataFrame(counted, "host string, path string, n long")).collect()
+    assert {(r.host, r.path, r.parent, r.template) for r in found} == plain_templates(paths) and len(found) == len(counted)
+
+
+def test_hosts_without_labels_follow_templates_elsewhere(spark):
+    urls = [f"http://{h}/{kind}/{i}" for h in ("a.test", "b.test", "c.free") for kind in ("bad", "good") for i in range(20)]
+    rules = [("block", "test", "/bad/"), ("allow", "test", "/good/")]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = urlfilter.filter_urls(frame, rules).where("host = 'c.free'").collect()
+    assert {(r.template, r.verdict) for r in found} == {("/bad/*", "block"), ("/good/*", "allow")}
+    assert urlfilter.filter_urls(frame, []).where("verdict = 'block'").count() == 0
+
+
 # --- top-k
 
 

@@ -1,16 +1,17 @@
 """Exact top-k inner products by best-first search of paged M-trees.
 
-Vectors become integer vectors, ``floor(scale * x)``, so scores are exact. They are routed to pivots (fitted on a bounded sample;
-every vector is indexed) and range-partitioned by pivot and a hash, which splits a pivot or a vector of any frequency evenly.
-Each run of up to TREE vectors of a partition becomes one M-tree: pages of PAGE entries, each entry with its centre,
+Vectors become integer vectors, ``floor(scale * x)``, so scores are exact. Equal vectors are one entry with their smallest ids, as no other id of
+theirs can be among the best; equal query vectors are one question. Entries are routed to pivots (fitted on a bounded sample;
+every vector is indexed) and range-partitioned by pivot and a hash, which splits a pivot of any frequency evenly.
+Each run of up to TREE entries of a partition becomes one M-tree: pages of PAGE entries, each entry with its centre,
 covering radius, distance to its page's centre and smallest id. No tree grows with the data, only their number does.
 
 For a query q an entry with centre c and radius r holds no score above ``q.c + |q| r``. Where the parent's product is known, ``q.c <= q.p + |q| d(c, p)``
-bounds it before q.c is computed, so most entries are dropped by stored distances alone. Queries are searched in blocks:
+bounds it before q.c is computed, so an entry is dropped for a query by stored distances alone. Queries are searched in blocks:
 a page is opened for the queries whose k-th score it may still beat, best bound first.
 
-Queries are rows of the table themselves: while its tree is built each is answered there, which gives a first k-th score. Then
-query blocks go to the other trees, and each tree returns only what reaches that score. Ties are kept by smaller id.
+Queries are rows of the table themselves: while its tree is built each is answered there, which gives a first k-th score. A query then goes
+only to trees whose root may beat that score, and each tree returns only what does. Ties are kept by smaller id.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ PAGE, TREE = 64, 8192
 MOST_PARTS = 20_000
 #: Rows that the pivots are fitted on, and how many there are.
 SAMPLE, PIVOTS = 4096, 64
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 2048
+#: Roots are compared with queries before these are sent out, so many trees at a time (a few MB).
+ROOTS = 4096
+#: Share of a page's products below which only those that the stored distances leave are computed.
+FEW = 0.25
 #: Room for rounding in bounds that are computed in floating point; scores themselves are integers.
 ROOM = 1e-6
 #: A place that no vector has taken: below every score, after every id.
@@ -58,10 +63,14 @@ def _split(points: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 class MTree:
-    """levels[0] are the vectors; entries of level n+1 are pages of level n, whose entries stand together."""
+    """levels[0] are the entries; entries of level n+1 are pages of level n, whose entries stand together.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        points, least, radius = vectors.astype(np.float64), ids.astype(np.int64), np.zeros(len(ids))
+    Entry i of the leaves holds ``ids[edges[i]:edges[i + 1]]`` in order, each ``times`` often.
+    """
+
+    def __init__(self, vectors: np.ndarray, ids: list[np.ndarray], times: list[np.ndarray]):
+        points, radius = vectors.astype(np.float64), np.zeros(len(vectors))
+        least = np.array([own[0] for own in ids], np.int64)
         self.levels: list[dict[str, np.ndarray]] = []
         while True:
             pages = _split(points, PAGE)
@@ -76,15 +85,24 @@ class MTree:
                 break
             radius = np.maximum.reduceat(to_parent + radius, starts[:-1])
             points, least = centres, np.minimum.reduceat(least, starts[:-1])
+        leaves = self.levels[0]["order"]
+        self.edges = np.concatenate(([0], np.cumsum([len(ids[i]) for i in leaves])))
+        self.ids = np.concatenate([ids[i] for i in leaves]).astype(np.int64)
+        self.times = np.concatenate([times[i] for i in leaves]).astype(np.int64)
+        self._finish()
+
+    def _finish(self) -> None:
         # the page that each entry of an upper level stands for, after that level was put in order
         self.child = [None, *(level["order"] for level in self.levels[1:])]
-        self.ids = self.levels[0]["least"]
-        self.centre = self.levels[-1]["centre"][0]
-        self.radius = float((self.levels[-1]["to_parent"] + self.levels[-1]["radius"]).max())
+        top = self.levels[-1]
+        self.centre = top["centre"][0]
+        self.radius = float((top["to_parent"] + top["radius"]).max())
+        self.least = int(top["least"].min())
+        #: Products computed, and those of all entries of opened pages.
         self.count = [0, 0]
 
-    def search(self, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, floor_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, id, score) of each query's best ``k`` here, leaving out its ``own`` id.
+    def search(self, queries: np.ndarray, floor: np.ndarray, floor_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, times, score) of each query's best ``k`` ids here, by query row, score and id.
 
         Only what comes before score ``floor`` with id ``floor_id`` counts, both given or none (NONE). Pages are opened
         best bound first; an open page is worked off for all queries that it may still serve.
@@ -92,9 +110,8 @@ class MTree:
         q = queries.astype(np.float64)
         norm = np.sqrt((q * q).sum(1))
         wide = norm.max(initial=0) * np.sqrt((self.levels[0]["points"] ** 2).sum(1).max()) >= 2.0**52
-        scores, names = np.full((len(q), k), NONE), np.full((len(q), k), LAST)
+        scores, names, entry_of = np.full((len(q), k), NONE), np.full((len(q), k), LAST), np.full((len(q), k), -1)
         scores[:, -1], names[:, -1] = floor, floor_id
-        given = floor != NONE
         product = q @ self.centre
         bound = product + norm * self.radius
         room = ROOM * (1 + np.abs(bound).max(initial=0))
@@ -104,7 +121,7 @@ class MTree:
             most, last = np.floor(bound + room), scores[rows, k - 1]
             return (most > last) | ((most == last) & (least < names[rows, k - 1]))
 
-        heap = [(-float(bound.max(initial=0)), 0, len(self.levels) - 1, 0, np.arange(len(q)), product, bound, int(self.ids.min()))]
+        heap = [(-float(bound.max(initial=0)), 0, len(self.levels) - 1, 0, np.arange(len(q)), product, bound, self.least)]
         made = 1
         while heap:
             _, _, level, page, rows, product, bound, least = heapq.heappop(heap)
@@ -115,43 +132,63 @@ class MTree:
             node = self.levels[level]
             a, b = node["starts"][page], node["starts"][page + 1]
             reach = node["to_parent"][a:b] + node["radius"][a:b]
-            # what stored distances leave of the page, for any of its queries
-            may = (product[:, None] + norm[rows][:, None] * reach + room >= scores[rows, k - 1][:, None]).any(0)
-            entries = a + np.flatnonzero(may)
-            self.count[0] += len(entries) * len(rows)
-            self.count[1] += (b - a) * len(rows)
-            if not len(entries):
-                continue
+            # what stored distances leave of the page, for each query
+            may = product[:, None] + norm[rows][:, None] * reach + room >= scores[rows, k - 1][:, None]
+            self.count[1] += may.size
+            few = np.count_nonzero(may) < FEW * may.size
+            self.count[0] += np.count_nonzero(may) if few else may.size
+            points = node["points"][a:b]
+            if few:
+                values = np.full(may.shape, -np.inf)
+                i, j = np.nonzero(may)
+                values[i, j] = np.einsum("ij,ij->i", q[rows[i]], points[j])
+            else:
+                values = q[rows] @ points.T
             if level == 0:
-                values = queries[rows] @ node["points"][entries].astype(np.int64).T if wide else np.rint(q[rows] @ node["points"][entries].T).astype(np.int64)
-                self._merge(rows, values, self.ids[entries], own, scores, names, k)
+                exact = queries[rows] @ points.astype(np.int64).T if wide else np.where(np.isfinite(values), np.rint(values), float(NONE)).astype(np.int64)
+                self._merge(rows, exact, node["least"][a:b], np.arange(a, b), scores, names, entry_of, k)
                 continue
-            values = q[rows] @ node["points"][entries].T
-            bounds = values + norm[rows][:, None] * node["radius"][entries]
-            for j, entry in enumerate(entries.tolist()):
-                least = int(node["least"][entry])
+            bounds = values + norm[rows][:, None] * node["radius"][a:b]
+            for j in np.flatnonzero(may.any(0)).tolist():
+                least = int(node["least"][a + j])
                 kept = serves(rows, bounds[:, j], least)
                 if kept.any():
-                    heapq.heappush(heap, (-float(bounds[kept, j].max()), made, level - 1, int(self.child[level][entry]), rows[kept], values[kept, j], bounds[kept, j], least))
+                    heapq.heappush(heap, (-float(bounds[kept, j].max()), made, level - 1, int(self.child[level][a + j]), rows[kept], values[kept, j], bounds[kept, j], least))
                     made += 1
-        found = (names != LAST) & ~(given[:, None] & (scores == floor[:, None]) & (names == floor_id[:, None]))
-        row, place = np.nonzero(found)
-        return row, names[row, place], scores[row, place]
+        row, place = np.nonzero(entry_of >= 0)
+        return self._ids_of(row, entry_of[row, place], scores[row, place], floor, floor_id, k)
+
+    def _ids_of(self, row, entry, score, floor, floor_id, k):
+        """The best ``k`` ids of each query's entries that come before its floor."""
+        sizes = self.edges[entry + 1] - self.edges[entry]
+        at = np.repeat(self.edges[entry] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        row, score, name = np.repeat(row, sizes), np.repeat(score, sizes), self.ids[at]
+        before = (score > floor[row]) | ((score == floor[row]) & (name < floor_id[row]))
+        row, score, name, at = row[before], score[before], name[before], at[before]
+        order = np.lexsort((name, ~score, row))
+        row, score, name, at = row[order], score[order], name[order], at[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[kept], name[kept], self.times[at[kept]], score[kept]
 
     @staticmethod
-    def _merge(rows, values, ids, own, scores, names, k):
-        """Puts a page's scores into the running best ``k`` of its queries, ties by smaller id."""
-        ids = np.broadcast_to(ids, values.shape)
-        out = ids == own[rows][:, None]
-        all_scores = np.concatenate([scores[rows], np.where(out, NONE, values)], axis=1)
-        all_names = np.concatenate([names[rows], np.where(out, LAST, ids)], axis=1)
+    def _merge(rows, values, least, entries, scores, names, entry_of, k):
+        """Puts a page's scores into the running best ``k`` entries of its queries, ties by smaller id. Most pages have nothing for most queries."""
+        last, last_id = scores[rows, k - 1][:, None], names[rows, k - 1][:, None]
+        better = ((values > last) | ((values == last) & (least < last_id))).any(1)
+        if not better.any():
+            return
+        rows, values = rows[better], values[better]
+        all_scores = np.concatenate([scores[rows], values], axis=1)
+        all_names = np.concatenate([names[rows], np.broadcast_to(least, values.shape)], axis=1)
+        all_entries = np.concatenate([entry_of[rows], np.broadcast_to(entries, values.shape)], axis=1)
         best = np.lexsort((all_names, ~all_scores))[:, :k]
         scores[rows] = np.take_along_axis(all_scores, best, 1)
         names[rows] = np.take_along_axis(all_names, best, 1)
+        entry_of[rows] = np.take_along_axis(all_entries, best, 1)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, depth=len(self.levels), **{f"{n}_{k}": v for n, level in enumerate(self.levels) for k, v in level.items()})
+        np.savez(out, depth=len(self.levels), ids=self.ids, times=self.times, edges=self.edges, **{f"{n}_{k}": v for n, level in enumerate(self.levels) for k, v in level.items()})
         return out.getvalue()
 
     @classmethod
@@ -159,11 +196,8 @@ class MTree:
         tree = cls.__new__(cls)
         with np.load(io.BytesIO(data), allow_pickle=False) as saved:
             tree.levels = [{k: saved[f"{n}_{k}"] for k in ("points", "least", "radius", "to_parent", "starts", "order", "centre")} for n in range(int(saved["depth"]))]
-        tree.child = [None, *(level["order"] for level in tree.levels[1:])]
-        tree.ids = tree.levels[0]["least"]
-        tree.centre = tree.levels[-1]["centre"][0]
-        tree.radius = float((tree.levels[-1]["to_parent"] + tree.levels[-1]["radius"]).max())
-        tree.count = [0, 0]
+            tree.ids, tree.times, tree.edges = saved["ids"], saved["times"], saved["edges"]
+        tree._finish()
         return tree
 
 
@@ -179,12 +213,31 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.int64)
 
 
+BUILT = "tree long, ask long, data binary, centre array<double>, radius double, v array<long>, floor long, floor_id long, names array<long>, times array<long>, scores array<long>"
+
+
+def built_rows(n: int, **given) -> pd.DataFrame:
+    """``n`` rows of BUILT; what isn't given is null."""
+    return pd.DataFrame({c: given.get(c, [None] * n) for c in (f.split()[0] for f in BUILT.split(", "))})
+
+
+def _entries(vectors: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """v, ids, times, ask: each distinct vector with its ``k`` smallest ids, how often each occurs, and its question if it is one.
+
+    Counting and ranking have partial sums and limits, so a vector of any frequency sends at most ``k`` rows from each task.
+    """
+    counted = vectors.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counted.withColumn("_row", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_row") <= k)
+    held = ranked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("own"))
+    return held.join(asks, "v", "left").select("v", F.transform("own", lambda x: x["vec_id"]).alias("ids"), F.transform("own", lambda x: x["n"]).alias("times"), "ask")
+
+
 def top_k(rows: DataFrame, k: int = TOP, every: int = 20, scale: int = SCALE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the ``k`` best others by integer inner product.
 
     Ties go to the smaller id. Fewer than ``k`` others: all of them. Rows with a null id, or whose vector is null, empty or
     holds a null or non-finite component, take no part. A shorter vector counts as filled with zeros. Rows with the query's own id
-    are left out; another id's repeated rows are candidates each; a repeated query id is answered once, for one of its rows.
+    are left out; another id's repeated rows are candidates each; a repeated query id is answered once, for its smallest vector.
     No rows: no rows. Other columns are ignored. Scores must stay below 2**63.
     """
     ready(rows.sparkSession)
@@ -193,7 +246,15 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = 20, scale: int = SCALE, id
     if not total:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
     padded = vectors.select("vec_id", F.when(F.size("v") < width, F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))).otherwise(F.col("v")).alias("v"))
-    sample = [r.v for r in padded.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE).collect()]
+    # the query's own id is found too, once for each of its different vectors, and goes at the end
+    kinds = padded.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.lit(1).alias("one")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("kinds"), F.min("v").alias("v"))
+    queries = cut(kinds.select(F.col("vec_id").alias("query_id"), "v", "kinds"))
+    most = k + (queries.agg(F.max("kinds")).first()[0] or 0)
+    # a question has the smallest id among the queries of its vector
+    asks = cut(queries.groupBy("v").agg(F.min("query_id").alias("ask")))
+    entries = cut(_entries(padded, asks, most))
+    distinct = entries.count()
+    sample = [r.v for r in entries.orderBy(F.xxhash64("v"), "v").select("v").limit(SAMPLE).collect()]
     pivots = np.array(sample[:: max(1, len(sample) // PIVOTS)][:PIVOTS], np.float64)
     half = (pivots**2).sum(1) / 2
 
@@ -201,35 +262,33 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = 20, scale: int = SCALE, id
         for frame in frames:
             if len(frame):
                 nearest = np.argmax(_matrix(frame["v"]) @ pivots.T - half, axis=1)
-                yield pd.DataFrame({"pivot": nearest.astype(np.int32), "vec_id": frame["vec_id"], "v": frame["v"]})
+                yield frame.assign(pivot=nearest.astype(np.int32))
 
     half_tree = TREE // 2
-    parts = -(-total // (half_tree * max(1, total // (half_tree * MOST_PARTS))))
-    laid = padded.mapInPandas(route, "pivot int, vec_id long, v array<long>").repartitionByRange(parts, "pivot", F.xxhash64("vec_id"), "vec_id").sortWithinPartitions("pivot", "vec_id")
-    laid = cut(laid)
+    parts = -(-distinct // (half_tree * max(1, distinct // (half_tree * MOST_PARTS))))
+    routed = entries.mapInPandas(route, "v array<long>, ids array<long>, times array<long>, ask long, pivot int")
+    laid = cut(routed.repartitionByRange(parts, "pivot", F.xxhash64("v"), "v").sortWithinPartitions("pivot", "v"))
 
     def build(frames):
-        """Trees, and the answers that their own queries find in them."""
+        """Trees, and the answers that their own questions find in them."""
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def trees(frame):
-            ids, values = frame["vec_id"].to_numpy(np.int64), _matrix(frame["v"])
-            tree = MTree(ids, values)
-            asks = np.flatnonzero(ids % every == 0)
-            none = np.full(len(asks), NONE)
-            row, name, score = tree.search(values[asks], ids[asks], none, np.full(len(asks), LAST), k)
-            order = np.lexsort((name, ~score, row))
-            row, name, score = row[order], name[order], score[order]
-            begin = np.searchsorted(row, np.arange(len(asks) + 1))
-            full = np.diff(begin) == k
-            last = np.maximum(begin[1:] - 1, 0)
+            values = _matrix(frame["v"])
+            tree = MTree(values, [np.asarray(x, np.int64) for x in frame["ids"]], [np.asarray(x, np.int64) for x in frame["times"]])
             key = part << 32 | number
-            yield pd.DataFrame({"tree": [key], "query_id": [None], "data": [tree.to_bytes()], "v": [None], "floor": [None], "floor_id": [None], "names": [None], "scores": [None]})
-            if len(asks):
-                parted = list(zip(begin[:-1], begin[1:], strict=True))
-                kth = np.where(full, score[last], NONE) if len(score) else none
-                kth_id = np.where(full, name[last], LAST) if len(score) else none
-                yield pd.DataFrame({"tree": key, "query_id": ids[asks], "data": None, "v": [values[i] for i in asks], "floor": kth, "floor_id": kth_id, "names": [name[b:e] for b, e in parted], "scores": [score[b:e] for b, e in parted]})
+            yield built_rows(1, tree=[key], data=[tree.to_bytes()], centre=[tree.centre], radius=[tree.radius])
+            asked = np.flatnonzero(frame["ask"].notna().to_numpy())
+            for at in range(0, len(asked), QUERY_BLOCK):
+                own = asked[at : at + QUERY_BLOCK]
+                row, name, times, score = tree.search(values[own], np.full(len(own), NONE), np.full(len(own), LAST), most)
+                edges = np.searchsorted(row, np.arange(len(own) + 1))
+                full, last = np.diff(edges) == most, np.maximum(edges[1:] - 1, 0)
+                parted = lambda x: [x[b:e] for b, e in zip(edges[:-1], edges[1:], strict=True)]  # noqa: B023, E731
+                yield built_rows(
+                    len(own), tree=[key] * len(own), ask=frame["ask"].to_numpy()[own].astype(np.int64), v=list(values[own]), floor=np.where(full, score[last], NONE) if len(score) else NONE,
+                    floor_id=np.where(full, name[last], LAST) if len(score) else LAST, names=parted(name), times=parted(times), scores=parted(score),
+                )
 
         for frame in frames:
             while len(frame):
@@ -242,27 +301,60 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = 20, scale: int = SCALE, id
         if held:
             yield from trees(pd.concat(held))
 
-    built = cut(laid.select("vec_id", "v").mapInPandas(build, "tree long, query_id long, data binary, v array<long>, floor long, floor_id long, names array<long>, scores array<long>"))
-    one_row = Window.partitionBy("query_id").orderBy(F.col("floor").desc(), "tree")
-    asks = built.where("query_id is not null").drop("data").withColumn("_row", F.row_number().over(one_row)).where("_row = 1")
-    asks = cut(asks.select(F.col("tree").alias("home"), "query_id", "v", "floor", "floor_id", "names", "scores"))
-    blocks = max(1, -(-asks.count() // QUERY_BLOCK))
-    # a tree is copied for each block of queries, and a block for each tree, so that either side of a task is bounded
-    trees = built.where("data is not null").select("tree", "data").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    blocked = asks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    copies = blocked.select("home", "query_id", "v", "floor", "floor_id", "block").join(trees.select(F.col("tree").alias("there"), "block"), "block").where("home != there")
-
-    def answer(queries, tree):
-        if not len(tree) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        queries = queries.sort_values("query_id", ignore_index=True)
-        own = queries["query_id"].to_numpy(np.int64)
-        row, name, score = MTree.from_bytes(tree["data"].iloc[0]).search(_matrix(queries["v"]), own, queries["floor"].to_numpy(np.int64), queries["floor_id"].to_numpy(np.int64), k)
-        return pd.DataFrame({"query_id": own[row], "vec_id": name, "score": score})
-
-    held = trees.select(F.col("tree").alias("tree_no"), F.col("block").alias("block_no"), "data")
-    elsewhere = copies.groupBy("there", F.col("block").alias("part")).cogroup(held.groupBy("tree_no", "block_no")).applyInPandas(answer, "query_id long, vec_id long, score long")
-    here = asks.select("query_id", F.explode(F.arrays_zip("names", "scores")).alias("z")).select("query_id", F.col("z.names").alias("vec_id"), F.col("z.scores").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = here.unionByName(elsewhere).withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    built = cut(laid.select("v", "ids", "times", "ask").mapInPandas(build, BUILT))
+    asked = built.where("ask is not null").select(F.col("tree").alias("home"), "ask", "v", "floor", "floor_id", "names", "times", "scores")
+    trees = built.where("data is not null").select("tree", "data")
+    sent = _sent(asked, built.where("data is not null").select("tree", "centre", "radius"))
+    # a tree is copied for each block of questions that it may serve, so that either side of a task is bounded
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    sent = sent.withColumn("block", F.pmod(F.xxhash64("ask"), F.lit(blocks)).cast("int"))
+    held = sent.select(F.col("there").alias("tree"), "block").distinct().join(trees, "tree")
+
+    def answer(questions, tree):
+        if not len(tree) or not len(questions):
+            return pd.DataFrame({"ask": [], "vec_id": [], "times": [], "score": []}).astype("int64")
+        questions = questions.sort_values("ask", ignore_index=True)
+        row, name, times, score = MTree.from_bytes(tree["data"].iloc[0]).search(_matrix(questions["v"]), questions["floor"].to_numpy(np.int64), questions["floor_id"].to_numpy(np.int64), most)
+        return pd.DataFrame({"ask": questions["ask"].to_numpy(np.int64)[row], "vec_id": name, "times": times, "score": score})
+
+    held = held.select(F.col("tree").alias("tree_no"), F.col("block").alias("block_no"), "data")
+    elsewhere = sent.groupBy("there", "block").cogroup(held.groupBy("tree_no", "block_no")).applyInPandas(answer, "ask long, vec_id long, times long, score long")
+    here = asked.select("ask", F.explode(F.arrays_zip("names", "times", "scores")).alias("z")).select("ask", F.col("z.names").alias("vec_id"), F.col("z.times").alias("times"), F.col("z.scores").alias("score"))
+    best = Window.partitionBy("ask").orderBy(F.col("score").desc(), "vec_id")
+    ranked = here.unionByName(elsewhere).withColumn("_row", F.row_number().over(best)).where(F.col("_row") <= most)
+    answers = ranked.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("_"), "vec_id", "times", "score"))).alias("best"))
+    others = F.filter("best", lambda x: x["vec_id"] != F.col("query_id"))
+    each = F.flatten(F.transform(others, lambda x: F.array_repeat(x, F.least(x["times"], F.lit(k)).cast("int"))))
+    mine = queries.join(asks, "v").select("query_id", "ask").join(answers, "ask")
+    placed = mine.select("query_id", F.posexplode(F.slice(each, 1, k)).alias("place", "x"))
+    return placed.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+
+
+def _sent(asked: DataFrame, roots: DataFrame) -> DataFrame:
+    """ask, v, floor, floor_id, there: each question with every other tree whose root may hold what comes before its floor.
+
+    Roots are read ROOTS at a time, so that what a task holds is bounded whatever the number of trees.
+    """
+    numbers = sorted(r.tree for r in roots.select("tree").collect())
+    schema = "ask long, v array<long>, floor long, floor_id long, there long"
+    out = None
+    for at in range(0, len(numbers), ROOTS):
+        chosen = roots.where(F.col("tree").between(numbers[at], numbers[min(at + ROOTS, len(numbers)) - 1])).orderBy("tree").collect()
+        tree = np.array([r.tree for r in chosen], np.int64)
+        centre, radius = np.array([r.centre for r in chosen]), np.array([r.radius for r in chosen])
+
+        def send(frames, tree=tree, centre=centre, radius=radius):
+            for frame in frames:
+                for begin in range(0, len(frame), 256):
+                    piece = frame.iloc[begin : begin + 256]
+                    q = _matrix(piece["v"]).astype(np.float64)
+                    bound = q @ centre.T + np.sqrt((q * q).sum(1))[:, None] * radius
+                    room = ROOM * (1 + np.abs(bound).max(initial=0))
+                    row, there = np.nonzero((bound + room >= piece["floor"].to_numpy(np.float64)[:, None]) & (piece["home"].to_numpy()[:, None] != tree))
+                    if len(row):
+                        found = piece.iloc[row]
+                        yield pd.DataFrame({"ask": found["ask"].to_numpy(), "v": found["v"].to_numpy(), "floor": found["floor"].to_numpy(), "floor_id": found["floor_id"].to_numpy(), "there": tree[there]})
+
+        part = asked.select("home", "ask", "v", "floor", "floor_id").mapInPandas(send, schema)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -217,14 +217,32 @@ def test_search_prunes_and_is_exact():
     rng = np.random.default_rng(2)
     centres = 40 * rng.standard_normal((30, 16))
     vectors = np.floor(centres[rng.integers(30, size=4000)] + 4 * rng.standard_normal((4000, 16))).astype(np.int64)
-    tree = mtree.MTree.from_bytes(mtree.MTree(np.arange(4000), vectors).to_bytes())
+    one = [np.array([1])] * 4000
+    tree = mtree.MTree.from_bytes(mtree.MTree(vectors, [np.array([i]) for i in range(4000)], one).to_bytes())
     asks = np.arange(0, 4000, 100)
-    row, name, score = tree.search(vectors[asks], asks, np.full(40, mtree.NONE), np.full(40, mtree.LAST), 5)
+    row, name, _, score = tree.search(vectors[asks], np.full(40, mtree.NONE), np.full(40, mtree.LAST), 5)
     for q in range(40):
         products = vectors @ vectors[asks[q]]
-        expected = sorted((-int(p), j) for j, p in enumerate(products) if j != asks[q])[:5]
-        assert sorted(zip((-score[row == q]).tolist(), name[row == q].tolist(), strict=True)) == expected
-    assert tree.count[0] < 4000 * 40 / 2
+        expected = sorted((-int(p), j) for j, p in enumerate(products))[:5]
+        assert list(zip((-score[row == q]).tolist(), name[row == q].tolist(), strict=True)) == expected
+    assert tree.count[0] < 4000 * 40 / 3
+
+
+def test_top_k_with_repeated_ids_and_vectors(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE", 64)
+    monkeypatch.setattr(mtree, "ROOTS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 3)]) for i in rng.integers(0, 300, 900)]
+    own = {}
+    for i, v in rows:
+        own[i] = min(own.get(i, v), v)
+    found = {tuple(r) for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)).collect()}
+    expected = set()
+    for i, q in own.items():
+        if i % 20 == 0:
+            best = sorted((-int(np.floor(np.array(q) * 64) @ np.floor(np.array(v) * 64)), j) for j, v in rows if j != i)[:20]
+            expected |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    assert found == expected
 
 
 def test_top_k_odd_rows(spark):

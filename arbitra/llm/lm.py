@@ -1,13 +1,21 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network trained in numpy.
 
-1. Words are counted over all documents; the most frequent get ids of their own, the others share hashed ones.
-2. The network predicts every token from WINDOW tokens on both sides. Each partition trains a copy on all its
-   documents in one streamed pass, from one common start.
+1. Words are counted over all documents. The most frequent have network ids of their own, the others share hashed ones.
+2. The network predicts every token from WINDOW tokens on both sides. Documents are dealt into shards by a hash of id and text; each shard
+   trains a copy, in order of that hash, from one common start, so that weights don't depend on how the input is partitioned.
 3. The copies are averaged, weighted by their tokens, in a tree of bounded groups.
 4. A document's score is the sum of its tokens' conditional log-probabilities, over its whole text.
 
-The output layer is a softmax over CLASSES classes, then one over a class's MEMBERS words, so that a probability costs
-CLASSES + MEMBERS products instead of one for each word, and is still normalised over all.
+The network's output layer is a softmax over CLASSES classes, then one over a class's MEMBERS ids, so that a probability costs
+CLASSES + MEMBERS products instead of one for each id, and is still normalised over all.
+
+An id that words share leads to one level more, so every word of the corpus has a probability of its own:
+``p(word | id) = (n(word) - own + a c(word)) / (n(id) - n_own(id) + a)``, where ``own`` is what the document itself
+holds (a document isn't its own evidence), ``a`` is the number of the id's words that occur once, and ``c`` spells a word by
+the corpus' byte frequencies. The counts of the KNOWN most frequent words travel to the workers; rarer words, of which there may be as many as
+the corpus likes, meet their counts in a join.
+
+Words are runs between ASCII white space with A-Z in lower case.
 """
 
 from __future__ import annotations
@@ -18,7 +26,6 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,59 +33,151 @@ from .common import cut, ready, text_of
 
 WINDOW, WIDTH = 2, 24
 CLASSES, MEMBERS = 32, 32
-#: Ids: 0 pads, then HASHED buckets for words without an id of their own, then the most frequent words.
+#: Network ids: 0 pads, then HASHED buckets for words without an id of their own, then the most frequent words.
 HASHED = 128
 VOCABULARY = CLASSES * MEMBERS - HASHED - 1
+#: Words whose counts the workers hold.
+KNOWN = 200_000
 BATCH, RATE = 8192, 0.08
-#: Characters that a copy should train on at least; smaller partitions are read together, without a shuffle.
-CHARS_PER_COPY = 4_000_000
+#: Tokens that a copy trains on, about, and partitions that copies are trained in at most; beyond it a partition trains several.
+TOKENS_PER_COPY, MOST_PARTS = 1_250_000, 20_000
 #: Weights travel in so many parts, and so many copies meet in one group of the averaging tree.
 PARTS, FAN = 16, 32
 KEPT_WORDS = 600_000
+#: What stands before a byte's number among the counted words; no word holds a blank.
+BYTE = " "
 
 
-class Words(dict):
-    """Ids by word; hashed ids are kept too, up to KEPT_WORDS."""
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
-    def __init__(self, frequent: list[str]):
-        super().__init__((w, HASHED + 1 + i) for i, w in enumerate(frequent))
 
-    def __missing__(self, word: str) -> int:
-        own = 1 + zlib.crc32(word.encode("utf-8", "surrogatepass")) % HASHED
-        if len(self) < KEPT_WORDS:
-            self[word] = own
-        return own
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def bucket_of(word: bytes) -> int:
+    return 1 + zlib.crc32(word) % HASHED
 
 
 def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """word, n over every document; each slice of a partition sends a word once."""
+    """word (binary), n over every document; each slice of a partition sends a word once. Byte values are counted as words that begin with BYTE."""
     ready(docs.sparkSession)
 
     def run(batches):
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
+        spelled = np.zeros(256, np.int64)
 
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        def out(more: dict):
+            batch = pa.RecordBatch.from_arrays([pa.array([*counts, *more], pa.binary()), pa.array([*counts.values(), *more.values()], pa.int64())], names=["word", "n"])
             counts.clear()
             return batch
 
         for batch in batches:
             for text in batch.column(0):
-                counts.update(text.as_py().lower().split())
+                words = words_of(text.as_py())
+                counts.update(words)
+                spelled += np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256)
                 if len(counts) > KEPT_WORDS:
-                    yield out()
-        yield out()
+                    yield out({})
+        yield out({f"{BYTE}{i}".encode(): int(n) for i, n in enumerate(spelled) if n})
+
+    return docs.select(text_of(text_column).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _words(counts: DataFrame) -> DataFrame:
+    return counts.where(~F.startswith("word", F.lit(BYTE.encode())))
+
+
+def most_frequent(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
+    """The ``size`` most frequent words with their counts, ties in order of the words."""
+    return [(bytes(r.word), r.n) for r in _words(counts).orderBy(F.col("n").desc(), "word").limit(size).collect()]
+
+
+def known_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Words above the lowest count that no more than ``most`` reach, by frequency, then in order of the words.
+
+    Counts are compared by the 64th parts of their logarithm to base two, so the search is one aggregate of a few thousand rows.
+    """
+    step = F.floor(F.log2("n") * 64)
+    total, least = 0, None
+    for r in _words(counts).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("step").desc()).collect():
+        total += r.words
+        if total > most:
+            break
+        least = r.step
+    if least is None:
+        return []
+    return sorted(((bytes(r.word), r.n) for r in _words(counts).where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, text_column: str = "text") -> list[bytes]:
+    """The ``size`` most frequent words of all documents."""
+    return [w for w, _ in most_frequent(word_counts(docs, text_column), size)]
+
+
+class Lexicon:
+    """What workers need of the corpus: the known words in order of frequency, each bucket's totals and the cost of a byte."""
+
+    def __init__(self, known: list[tuple[bytes, int]], buckets: list[tuple[int, int, int]], spelled: dict[int, int], tokens: int):
+        self.words = [w for w, _ in known]
+        self.counts = np.array([n for _, n in known], np.int64)
+        self.tokens = tokens
+        #: By bucket: occurrences of its words, and how many of its words occur once.
+        self.total, self.prior = np.zeros(HASHED + 1), np.ones(HASHED + 1)
+        for bucket, n, once in buckets:
+            self.total[bucket], self.prior[bucket] = n, max(once, 1)
+        every = np.array([spelled.get(i, 0) for i in range(256)], np.float64)
+        #: Natural logarithms of each byte's share, an unseen byte counting once, and of a word's end.
+        self.byte_cost = np.log(np.maximum(every, 1) / (every.sum() + tokens + 1))
+        self.end_cost = float(np.log((tokens + 1) / (every.sum() + tokens + 1)))
+        #: Network ids and spellings of the known words.
+        self.ids = np.array([HASHED + 1 + i if i < VOCABULARY else bucket_of(w) for i, w in enumerate(self.words)], np.int64)
+        self.spelled = np.array(list(map(self.spelling, self.words)))
+
+    def spelling(self, word: bytes) -> float:
+        """ln c(word)."""
+        return float(self.byte_cost[np.frombuffer(word, np.uint8)].sum()) + self.end_cost
+
+    @classmethod
+    def of(cls, counts: DataFrame) -> Lexicon:
+        known = known_words(counts, KNOWN)
+        # words with network ids of their own belong to no bucket
+        named = [F.lit(w) for w, _ in known[:VOCABULARY]]
+        rest = _words(counts).where(~F.col("word").isin(named)) if named else _words(counts)
+        bucket = (F.lit(1) + F.crc32("word") % HASHED).cast("int").alias("bucket")
+        buckets = [(r.bucket, r.n, r.once) for r in rest.groupBy(bucket).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).collect()]
+        spelled = {int(bytes(r.word).decode()[1:]): r.n for r in counts.where(F.startswith("word", F.lit(BYTE.encode()))).collect()}
+        tokens = _words(counts).agg(F.sum("n")).first()[0] or 0
+        return cls(known, buckets, spelled, tokens)
 
-    return docs.select(text_of(text_column).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+class Words(dict):
+    """Numbers of words: known ones in order of frequency, then others as they come, up to KEPT_WORDS of them at a time."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__((w, i) for i, w in enumerate(lexicon.words))
+        self.known = len(lexicon.words)
+        self.new: list[bytes] = []
+        #: Network ids by number.
+        self.ids = np.concatenate([lexicon.ids, np.zeros(1024, np.int64)])
+
+    def __missing__(self, word: bytes) -> int:
+        number = self.known + len(self.new)
+        if number == len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int64)])
+        self.ids[number] = bucket_of(word)
+        self.new.append(word)
+        self[word] = number
+        return number
+
+    def numbers(self, text: str) -> np.ndarray:
+        """The number of each word of a text; they hold until forget()."""
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, text_column: str = "text") -> list[str]:
-    """The ``size`` most frequent words of all documents, ties in order of the words."""
-    return [r.word for r in word_counts(docs, text_column).orderBy(F.col("n").desc(), "word").limit(size).collect()]
+    def forget(self) -> None:
+        """Lets go of the words that came up, if they are too many."""
+        if len(self.new) > KEPT_WORDS:
+            for word in self.new:
+                del self[word]
+            self.new.clear()
 
 
 def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,45 +215,48 @@ class WindowNetwork:
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities, and the logarithm of each row's sum, both after subtracting the maximum (done in place)."""
-        logits -= logits.max(1, keepdims=True)
+        """Probabilities, and the logarithm of each column's sum, both after subtracting the maximum (done in place). Classes are rows, so all steps run along the tokens."""
+        logits -= logits.max(0)
         e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        return e / total, np.log(total)[:, 0]
+        total = e.sum(0)
+        e /= total
+        return e, np.log(total)
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray, learn: float = 0.0) -> np.ndarray:
         """Conditional log-probability of each target. With ``learn``, also one step of AdaGrad at that rate."""
-        group, member = target % CLASSES, target // CLASSES
-        order = np.argsort(group, kind="stable")
-        context, group, member = context[order], group[order], member[order]
+        group = target % CLASSES
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        context, group, member = context[order], group[order], (target // CLASSES)[order]
         h = self._hidden(context)
         line = np.arange(len(order))
-        logits = h @ self.C.T + self.cb
+        logits = self.C @ h.T
+        logits += self.cb[:, None]
         p, total = self._softmax(logits)
-        out = logits[line, group] - total
+        out = logits[group, line] - total
         if learn:
-            p[line, group] -= 1
-            dh = p @ self.C
-            grads = {"C": p.T @ h, "cb": p.sum(0)}
+            p[group, line] -= 1
+            dh = p.T @ self.C
+            grads = {"C": p @ h, "cb": p.sum(1)}
             gW, gwb = np.zeros_like(self.W), np.zeros_like(self.wb)
         edges = np.searchsorted(group, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             a, b = edges[c], edges[c + 1]
             if a == b:
                 continue
-            logits = h[a:b] @ self.W[c].T + self.wb[c]
+            logits = self.W[c] @ h[a:b].T
+            logits += self.wb[c][:, None]
             q, total = self._softmax(logits)
-            own = np.arange(b - a)
-            out[a:b] += logits[own, member[a:b]] - total
+            own = line[: b - a]
+            out[a:b] += logits[member[a:b], own] - total
             if learn:
-                q[own, member[a:b]] -= 1
-                gW[c], gwb[c] = q.T @ h[a:b], q.sum(0)
-                dh[a:b] += q @ self.W[c]
+                q[member[a:b], own] -= 1
+                gW[c], gwb[c] = q @ h[a:b], q.sum(1)
+                dh[a:b] += q.T @ self.W[c]
         if learn:
             dh *= 1 - h * h
             grads |= {"W": gW, "wb": gwb, "b": dh.sum(0)}
-            for p_ in range(context.shape[1]):
-                self._learn_rows(p_, context[:, p_], dh, learn)
+            for place in range(context.shape[1]):
+                self._learn_rows(place, context[:, place], dh, learn)
             for name, grad in grads.items():
                 seen = self.seen.setdefault(name, np.full_like(grad, 1e-6))
                 seen += grad * grad
@@ -164,7 +266,7 @@ class WindowNetwork:
         return back
 
     def _learn_rows(self, place: int, ids: np.ndarray, dh: np.ndarray, learn: float) -> None:
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
         ids = ids[order]
         starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         grad, rows = np.add.reduceat(dh[order], starts, axis=0), ids[starts]
@@ -174,40 +276,67 @@ class WindowNetwork:
 
 
 def _batches(texts, words: Words):
-    """Rows of ids until about BATCH tokens; a long text is one batch of its own, worked off in steps."""
+    """Rows of word numbers until about BATCH tokens; a long text is one batch of its own, worked off in steps."""
     held, size = [], 0
     for text in texts:
-        held.append(words.ids(text))
+        held.append(words.numbers(text))
         size += len(held[-1])
         if size >= BATCH:
             yield held
+            words.forget()
             held, size = [], 0
     if held:
         yield held
 
 
-def train(docs: DataFrame, frequent: list[str], text_column: str = "text") -> np.ndarray:
-    """Weights of the network after every partition has trained on all its documents and the copies are averaged."""
+def train(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
+    """Weights of the network after every shard has trained a copy on all its documents and the copies are averaged.
+
+    Rows that are equal in id and text go to the same shard.
+    """
     spark = ready(docs.sparkSession).sparkContext
-    texts = docs.select(text_of(text_column).alias("text"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    texts = texts.coalesce(max(1, min(texts.rdd.getNumPartitions(), chars // CHARS_PER_COPY)))
-    shared = spark.broadcast(frequent)
+    shards = max(1, lexicon.tokens // TOKENS_PER_COPY)
+    parts = min(shards, MOST_PARTS)
+    place = F.xxhash64(F.col(id_column).cast("string"), "text")
+    dealt = docs.select(text_of(text_column).alias("text"), F.col(id_column)).select("text", place.alias("place")).withColumn("shard", F.pmod("place", F.lit(shards)))
+    dealt = dealt.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "place", "text").select("shard", "text")
+    shared = spark.broadcast(lexicon)
 
     def run(batches):
-        words, net, tokens = Words(shared.value), WindowNetwork(), 0
-        start = net.flat.copy()
+        words = Words(shared.value)
+        net, start, tokens, shard = WindowNetwork(), WindowNetwork().flat, 0, None
+
+        held: list[np.ndarray] = []
+        size = 0
+
+        def learn():
+            nonlocal tokens, size
+            context, target, _ = windows([words.ids[x] for x in held])
+            for at in range(0, len(target), BATCH):
+                net.log_probabilities(context[at : at + BATCH], target[at : at + BATCH], RATE)
+            tokens, size = tokens + len(target), 0
+            held.clear()
+            words.forget()
+
+        def out():
+            moved = np.clip(net.flat - start, -60_000, 60_000).astype("<f2")
+            pieces = [x.tobytes() for x in np.array_split(moved, PARTS)]
+            return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([shard] * PARTS, pa.int64()), pa.array([float(tokens)] * PARTS), pa.array(pieces, pa.binary())], names=["part", "copy", "weight", "moved"])
+
         for batch in batches:
-            for held in _batches((t.as_py() for t in batch.column(0)), words):
-                context, target, _ = windows(held)
-                for at in range(0, len(target), BATCH):
-                    net.log_probabilities(context[at : at + BATCH], target[at : at + BATCH], RATE)
-                tokens += len(target)
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != shard:
+                    learn()
+                    if tokens:
+                        yield out()
+                    net, tokens, shard = WindowNetwork(), 0, own
+                held.append(words.numbers(text.as_py()))
+                size += len(held[-1])
+                if size >= BATCH:
+                    learn()
+        learn()
         if tokens:
-            moved = np.clip(net.flat - start, -60_000, 60_000).astype("<f2")
-            own = TaskContext.get().partitionId()
-            for part, values in enumerate(np.array_split(moved, PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own], pa.int64()), pa.array([float(tokens)]), pa.array([values.tobytes()], pa.binary())], names=["part", "copy", "weight", "moved"])
+            yield out()
 
     def average(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("copy")
@@ -216,40 +345,99 @@ def train(docs: DataFrame, frequent: list[str], text_column: str = "text") -> np
         return pd.DataFrame({"part": [frame["part"].iloc[0]], "copy": [frame["copy"].iloc[0] // FAN], "weight": [weight.sum()], "moved": [(total / weight.sum()).astype("<f2").tobytes()]})
 
     schema = "part int, copy long, weight double, moved binary"
-    copies = texts.mapInArrow(run, schema)
-    left = texts.rdd.getNumPartitions()
-    while left > 1:
+    copies = dealt.mapInArrow(run, schema)
+    while shards > 1:
         copies = cut(copies.groupBy("part", F.floor(F.col("copy") / FAN)).applyInPandas(average, schema))
-        left = -(-left // FAN)
+        shards = -(-shards // FAN)
     got = {r.part: np.frombuffer(bytes(r.moved), "<f2") for r in copies.collect()}
     start = WindowNetwork().flat
     return start + np.concatenate([got[i] for i in range(PARTS)]).astype(np.float32) if got else start
 
 
-def score(docs: DataFrame, frequent: list[str], weights: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_probability of every row: the sum over all tokens of its text."""
-    shared = ready(docs.sparkSession).sparkContext.broadcast((frequent, weights.astype(np.float32)))
+class Shared:
+    """The last level for a worker's documents: what words that share an id cost beside the network."""
+
+    def __init__(self, lexicon: Lexicon, words: Words):
+        self.lexicon, self.words = lexicon, words
+
+    def cost(self, held: list[np.ndarray]) -> tuple[np.ndarray, list[list[tuple[bytes, int, float]]]]:
+        """For each document the sum over its words that share an id, and (word, own, cost as counted) of those that aren't known.
+
+        A word that isn't known counts as if no other document held it; correction() mends that.
+        """
+        lex, n_known = self.lexicon, len(self.lexicon.words)
+        row = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        number = np.concatenate(held) if held else np.empty(0, np.int64)
+        shared = number >= VOCABULARY
+        row, number = row[shared], number[shared]
+        width = n_known + len(self.words.new) + 1
+        pair, own = np.unique(row * width + number, return_counts=True)
+        row, number = pair // width, pair % width
+        bucket = self.words.ids[number]
+        prior = lex.prior[bucket]
+        spelled, others = np.empty(len(number)), np.zeros(len(number), np.int64)
+        known = number < n_known
+        spelled[known] = lex.spelled[number[known]]
+        others[known] = lex.counts[number[known]] - own[known]
+        new = [[] for _ in held]
+        for i in np.flatnonzero(~known).tolist():
+            word = self.words.new[number[i] - n_known]
+            spelled[i] = lex.spelling(word)
+            new[row[i]].append((word, int(own[i]), float(np.log(prior[i]) + spelled[i])))
+        seen = np.log(others, out=np.full(len(others), -np.inf), where=others > 0)
+        sums = np.bincount(row, own * np.logaddexp(seen, np.log(prior) + spelled), len(held))
+        place, at = np.unique(row * (HASHED + 1) + bucket, return_inverse=True)
+        held_by = np.bincount(at, own, len(place)) if len(place) else np.empty(0)
+        bucket = place % (HASHED + 1)
+        sums -= np.bincount(place // (HASHED + 1), held_by * np.log(lex.total[bucket] - held_by + lex.prior[bucket]), len(held))
+        return sums, new
+
+
+SCORED = "doc_id long, n_tokens long, log_probability double, rare array<struct<word:binary,own:bigint,cost:double>>"
+
+
+def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """SCORED of every row: the sum over all tokens of its text, with words that aren't known counted as the document's alone."""
+    shared = ready(docs.sparkSession).sparkContext.broadcast((lexicon, weights.astype(np.float32)))
+    kind = pa.list_(pa.struct([("word", pa.binary()), ("own", pa.int64()), ("cost", pa.float64())]))
 
     def run(batches):
         words, net = Words(shared.value[0]), WindowNetwork(shared.value[1])
+        level = Shared(shared.value[0], words)
         for batch in batches:
-            counts, sums = [], []
+            counts, sums, rare = [], [], []
             for held in _batches(batch.column(1).to_pylist(), words):
-                context, target, row = windows(held)
+                context, target, row = windows([words.ids[x] for x in held])
                 found = [net.log_probabilities(context[at : at + BATCH], target[at : at + BATCH]) for at in range(0, len(target), BATCH)]
-                sums.append(np.bincount(row, np.concatenate(found), len(held)) if found else np.zeros(len(held)))
+                cost, new = level.cost(held)
+                sums.append(cost + (np.bincount(row, np.concatenate(found), len(held)) if found else 0.0))
                 counts += map(len, held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(np.concatenate(sums) if sums else np.empty(0))], names=["doc_id", "n_tokens", "log_probability"])
+                rare += [[{"word": w, "own": n, "cost": c} for w, n, c in own] for own in new]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(np.concatenate(sums) if sums else np.empty(0)), pa.array(rare, kind)], names=["doc_id", "n_tokens", "log_probability", "rare"])
+
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, SCORED)
+
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_probability double")
+def correction(scored: DataFrame, counts: DataFrame) -> DataFrame:
+    """key, more: what the rare words of ``scored(key, rare)`` gain by the documents that hold them beside the own one."""
+    pairs = scored.select("key", F.explode("rare").alias("_")).select("key", "_.*")
+    met = pairs.join(counts.where("n > 1"), "word").where(F.col("n") > F.col("own"))
+    gain = F.col("own") * (F.log(F.col("n") - F.col("own") + F.exp("cost")) - F.col("cost"))
+    return met.groupBy("key").agg(F.sum(gain).alias("more"))
 
 
 def score_corpus(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_probability, per_token of every row of ``docs``, by a network trained on all of them.
 
     Null text is empty text; without a token the sum is 0 and per_token null. Null doc_id stays null. Repeated rows each
-    train and each get a row. No rows: no rows. Other columns are ignored. Texts are never cut short.
+    train, count and get a row, and are evidence for one another. No rows: no rows. Other columns are ignored. Texts are never cut short.
+    Scores don't depend on partitions but for rounding in single precision.
     """
-    frequent = vocabulary(docs, text_column=text_column)
-    scored = score(docs, frequent, train(docs, frequent, text_column), id_column, text_column)
-    return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))
+    counts = cut(word_counts(docs, text_column))
+    lexicon = Lexicon.of(counts)
+    weights = train(docs, lexicon, id_column, text_column)
+    scored = cut(score(docs, lexicon, weights, id_column, text_column).withColumn("key", F.monotonically_increasing_id()))
+    gained = correction(scored.where(F.size("rare") > 0).select("key", "rare"), counts)
+    total = F.col("log_probability") + F.coalesce("more", F.lit(0.0))
+    whole = scored.drop("rare").join(gained, "key", "left").select("doc_id", "n_tokens", total.alias("log_probability"))
+    return whole.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ready, text_of
-from .lm import vocabulary
+from .lm import vocabulary, words_of
 
 RADIUS, BLOCKS, SHINGLE = 2, 6, 3
 SEED = 42
@@ -50,15 +50,15 @@ def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.nd
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
-def content_hashes(text: str, common: frozenset[str], seed: int = SEED) -> np.ndarray:
+def content_hashes(text: str, common: frozenset[bytes], seed: int = SEED) -> np.ndarray:
     """XXH64 of each word that isn't common, repeats included; of every word where all are common."""
-    words = text.lower().split()
+    words = words_of(text)
     words = [w for w in words if w not in common] or words
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)
+    return np.array([digest(w, seed) for w in words], np.uint64)
 
 
-def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED, common: frozenset[str] | None = None) -> np.ndarray:
+def fingerprints(texts: list[str], shingle: int = SHINGLE, seed: int = SEED, common: frozenset[bytes] | None = None) -> np.ndarray:
     """64-bit SimHash of each text, of its shingles or (with ``common``) its content words; zero where it has no word. Works in slices of bounded size."""
     out = np.zeros(len(texts), np.uint64)
     held: list[np.ndarray] = []
@@ -154,7 +154,7 @@ def forest(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[left], codes[right]
 
 
-def fingerprint_rows(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", common: list[str] | None = None) -> DataFrame:
+def fingerprint_rows(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", common: list[bytes] | None = None) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) for every row of ``docs``."""
     ready(docs.sparkSession)
     dropped = None if common is None else frozenset(common)
@@ -225,7 +225,7 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, id_column: str = "doc_id", text_column: str = "text", common: list[str] | None = None) -> DataFrame:
+def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, id_column: str = "doc_id", text_column: str = "text", common: list[bytes] | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``.
 
     component_id is the smallest doc_id among all that links of ``radius`` or fewer differing bits reach.

@@ -1,7 +1,9 @@
 """Quality, language model, URL filters, top-k, chat and the pipeline."""
 
 import hashlib
+import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -22,8 +24,6 @@ def auc(scores, labels):
 
 
 def test_quality_on_held_out_documents(spark):
-    import zlib
-
     found = {r.doc_id: r for r in queries.op2_quality_classifier(spark, MEDIUM).collect()}
     assert len(found) == 1000
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for d, r in found.items())
@@ -93,33 +93,85 @@ def test_training_step_lowers_loss():
     assert net.log_probabilities(context, target).mean() > before + 3
 
 
-def test_language_model_scores(spark, odd, empty):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(40, "doc_id")
-    rows = {r.doc_id: r for r in lm.score_corpus(docs).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert all(r.n_tokens == len(texts[d].lower().split()) and r.log_probability <= 0 for d, r in rows.items()) and len(rows) == len(texts)
-    untrained = -np.log(lm.CLASSES * lm.MEMBERS)
-    assert np.mean([r.per_token for r in rows.values() if r.n_tokens]) > untrained + 0.5
+def plain_words(text):
+    return (text or "").encode().lower().split()
+
+
+def plain_scores(texts, weights, known=lm.KNOWN):
+    """n_tokens and log-probability of each text, token by token, from counts of all of them."""
+    counts = Counter(w for t in texts for w in plain_words(t))
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    ids = {w: lm.HASHED + 1 + i if i < lm.VOCABULARY else 1 + zlib.crc32(w) % lm.HASHED for i, w in enumerate(ranked)}
+    spelled, tokens = Counter(c for w, n in counts.items() for c in w * n), sum(counts.values())
+    every = sum(spelled.values()) + tokens + 1
+    spelling = lambda w: sum(math.log(max(spelled[c], 1) / every) for c in w) + math.log((tokens + 1) / every)
+    net = lm.WindowNetwork(weights)
+
+    def log_softmax(x):
+        x = x.astype(np.float64)
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    for text in texts:
+        words = plain_words(text)
+        line = [0, 0, *(ids[w] for w in words), 0, 0]
+        own, total = Counter(words), 0.0
+        for i, w in enumerate(words):
+            around = [line[i], line[i + 1], line[i + 3], line[i + 4]]
+            h = np.tanh(net.b + sum(net.E[p][c] for p, c in enumerate(around)))
+            group, member = ids[w] % lm.CLASSES, ids[w] // lm.CLASSES
+            total += log_softmax(net.C @ h + net.cb)[group] + log_softmax(net.W[group] @ h + net.wb[group])[member]
+            if ids[w] <= lm.HASHED:
+                peers = [x for x in ranked if ids[x] == ids[w]]
+                a = max(1, sum(counts[x] == 1 for x in peers))
+                rest = sum(counts[x] - own[x] for x in peers)
+                total += math.log((counts[w] - own[w] + a * math.exp(spelling(w))) / (rest + a))
+        yield len(words), total
+
+
+@pytest.mark.parametrize("known", [lm.KNOWN, 1200])
+def test_scores_equal_the_plain_sum(spark, monkeypatch, known):
+    monkeypatch.setattr(lm, "KNOWN", known)
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    texts = [t[:1500] for t in texts] + [None, "", texts[3][:1500], "new words here here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    weights = lm.train(docs, lm.Lexicon.of(lm.word_counts(docs)))
+    found = {r.doc_id: r for r in lm.score_corpus(docs).collect()}
+    for i, (n, total) in enumerate(plain_scores(texts, weights)):
+        assert found[i].n_tokens == n and np.isclose(found[i].log_probability, total, rtol=1e-4, atol=1e-3)
+        assert (found[i].per_token is None) == (n == 0)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOKENS_PER_COPY", 10_000)
+    monkeypatch.setattr(lm, "FAN", 2)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    one, other = ({r.doc_id: r.log_probability for r in lm.score_corpus(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one.keys() == other.keys() and all(np.isclose(one[d], other[d], rtol=1e-5) for d in one)
+
+
+def test_what_occurs_twice_scores_higher(spark):
+    rows = spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()
+    seen = Counter(r.text for r in rows)
+    found = {r.doc_id: r.per_token for r in lm.score_corpus(spark.read.parquet(f"{MEDIUM}/documents.parquet")).collect()}
+    once, twice = ([found[r.doc_id] for r in rows if len(r.text.split()) >= 50 and (seen[r.text] > 1) == repeated] for repeated in (False, True))
+    assert len(twice) > 10 and np.mean(np.array(twice) > np.quantile(once, 0.9)) > 0.5
+
+
+def test_language_model_odd_rows(spark, odd, empty):
     found = lm.score_corpus(odd).collect()
     assert Counter(r.doc_id for r in found) == Counter(r[0] for r in ROWS)
-    assert all((r.per_token is None) == (r.n_tokens == 0) for r in found)
+    assert all((r.per_token is None) == (r.n_tokens == 0) and r.log_probability <= 0 for r in found)
     assert lm.score_corpus(empty).count() == 0
 
 
-def test_copies_are_averaged_in_a_tree(spark, monkeypatch):
-    monkeypatch.setattr(lm, "CHARS_PER_COPY", 10_000)
-    monkeypatch.setattr(lm, "FAN", 3)
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(12, "doc_id")
-    weights = lm.train(docs, lm.vocabulary(docs))
-    start = lm.WindowNetwork().flat
-    assert weights.shape == start.shape and np.isfinite(weights).all() and np.abs(weights - start).max() > 0.01
-
-
 def test_word_counts_cover_everything(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    expected = Counter(w for r in docs.collect() for w in r.text.lower().split())
-    assert {r.word: r.n for r in lm.word_counts(docs).collect()} == expected
+    expected = Counter(w for r in docs.collect() for w in plain_words(r.text))
+    counts = lm.word_counts(docs)
+    assert {bytes(r.word): r.n for r in lm._words(counts).collect()} == expected
     assert lm.vocabulary(docs, 50) == sorted(expected, key=lambda w: (-expected[w], w))[:50]
+    known = lm.known_words(counts, 3000)
+    assert 1500 < len(known) <= 3000 and known == [(w, expected[w]) for w in sorted(expected, key=lambda w: (-expected[w], w))[: len(known)]]
 
 
 # --- URL filters

@@ -50,8 +50,8 @@ class ChunkEncoder:
     The tokenizer's pre-tokens never cross a space that is followed by a visible character, so a text
     is cut before such spaces and each distinct chunk is encoded once. Where the file's merges rank as its
     ids do, new chunks of common characters are merged together by the rank library, which gives the same ids
-    several times faster; any others, and texts where the cut would be unsafe, go to the tokenizer itself.
-    Strings of special tokens count as ordinary text.
+    several times faster; any others, and texts where the cut would be unsafe, go to the tokenizer itself. So do texts
+    that spell one of its added tokens, which it recognises.
     """
 
     _made: dict[str, ChunkEncoder] = {}
@@ -60,7 +60,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) if added else r"(?!)")
         self.known: dict[str, bytes] = {}
         self.ranked, self.size_of = self._rank_library(path)
 
@@ -128,7 +129,7 @@ class ChunkEncoder:
             start = stop
 
     def _slice(self, texts: list[str]) -> Iterator[bytes]:
-        cuts = [None if UNSAFE_CUT.search(t) or "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        cuts = [None if UNSAFE_CUT.search(t) or self.added.search(t) or "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
         known = self.known
         new = list({c for chunks in cuts if chunks for c in chunks if c not in known})
         if len(known) + len(new) > KEPT_CHUNKS:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -19,8 +20,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make checkpoint() usable.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``; a folder of our own is set only
-    where neither that setting nor ``setCheckpointDir`` has named one (local sessions, tests).
+    A cluster names its shared folder in ``spark.checkpoint.dir``, or the caller by ``setCheckpointDir``; without either
+    a temporary folder serves local sessions, and anything else is an error.
     """
     context = spark.sparkContext
     path = context.environment.get("PYTHONPATH", "")
@@ -28,6 +29,8 @@ def ready(spark: SparkSession) -> SparkSession:
         context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its members share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="arbitra-checkpoint-"))
     return spark
 
@@ -38,6 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids up to which a join by id sends the ids to the rows (a hash table of some 32 MB) and not the rows to the ids.
+SENT_IDS = 1_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, condition, how: str) -> DataFrame:
+    """``rows`` semi- or anti-joined with ``ids``, a materialised table of one narrow column; few ids are broadcast, more are shuffled."""
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return rows.join(F.broadcast(ids) if few else ids, condition, how)
+
+
 def text_of(column: str = "text"):
     """The text column as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

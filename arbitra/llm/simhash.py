@@ -18,6 +18,7 @@ large-star and small-star rounds on distinct fingerprints.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready, text_of
-from .lm import vocabulary, words_of
+from .common import by_ids, cut, ready, text_of
+from .lm import words_of
 
 RADIUS, BLOCKS, SHINGLE = 2, 6, 3
 SEED = 42
@@ -254,6 +255,37 @@ FACTORS, MASKS = _MIX[0] * np.uint64(2) + np.uint64(1), _MIX[1] * np.uint64(2)
 TOGETHER = 256
 
 
+#: Words of a slice whose share of it is smaller aren't counted, so a word's share of the corpus is known to within this; the 256th has some 30 times as much.
+SHARE, SLICE = 1 / 65_536, 4_000_000
+
+
+def common_words(docs: DataFrame, size: int = COMMON, text_column: str = "text") -> list[bytes]:
+    """The ``size`` most frequent words of all documents by lossy counting (SHARE), ties in order of the words."""
+    ready(docs.sparkSession)
+
+    def run(batches):
+        counts: Counter[bytes] = Counter()
+        seen = 0
+
+        def out():
+            often = {w: n for w, n in counts.items() if n >= seen * SHARE}
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(often.keys(), pa.binary()), pa.array(often.values(), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                counts.update(words)
+                seen += len(words)
+                if seen > SLICE:
+                    yield out()
+                    seen = 0
+        yield out()
+
+    counts = docs.select(text_of(text_column).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect()]
+
+
 def shingle_set(text: str) -> np.ndarray:
     """The distinct hashes of all five-word shingles of a text, in order."""
     return np.unique(shingle_hashes(text.lower(), COPY_SHINGLE).view(np.int64))
@@ -303,26 +335,32 @@ def _block_links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": left, "b": right}, dtype="int64")
 
 
-def _near(members: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _near(reps: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """node, root: every text that checked links join to one of smaller id, and the smallest that they reach.
 
-    ``members(bucket, rep)`` are groups of candidates, ``pairs(a, b)`` single ones (a < b). First all of a group are compared with its smallest, which settles groups of
+    ``reps(rep, doc_id, hash, size, bands)`` are distinct texts, candidates by the bands they share; ``pairs(a, b)`` are single ones (a < b). First all of a group are compared with its smallest, which settles groups of
     copies of one text in as many steps as they have members. Groups that aren't joined then are compared pair by
     pair, in blocks of about TOGETHER. No text is joined to another without the similarity of two texts that was checked.
     """
-    groups = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark")).where("n > 1")
+    members = reps.select(F.explode(F.array_distinct("bands")).alias("bucket"), "rep", "size")
+    groups = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
     # groups of the same members count once
-    groups = groups.groupBy("n", "least", "mark").agg(F.min("bucket").alias("bucket")).drop("mark")
-    placed = cut(members.join(groups, "bucket"))
+    groups = cut(groups.groupBy("n", "least", "mark").agg(F.min("bucket").alias("bucket")).drop("mark"))
+    placed = cut(by_ids(members, groups, "bucket", "inner"))
 
     def draw(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    pairs = cut(placed.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).unionByName(pairs).distinct())
-    candidates = placed.select("rep").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("rep"))).distinct()
-    wanted = texts.join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = cut(wanted.mapInArrow(draw, "rep long, shingles array<long>").dropDuplicates())
+    sizes = lambda side: reps.select(F.col("rep").alias(side), F.col("size").alias(f"{side}_size"))
+    pairs = placed.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).unionByName(pairs).distinct()
+    # sets can't be alike whose sizes aren't
+    possible = _similar(F.least("a_size", "b_size"), F.col("a_size"), F.col("b_size"))
+    pairs = cut(pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(possible).select("a", "b"))
+    candidates = placed.where("n > 2").select("rep").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("rep"))).distinct()
+    candidates = cut(reps.join(candidates, "rep").select("rep", "doc_id", "hash"))
+    wanted = by_ids(texts, candidates, ["doc_id", "hash"], "inner").select("rep", "text")
+    sets = cut(wanted.mapInArrow(draw, "rep long, shingles array<long>").dropDuplicates(["rep"]))
     of = lambda side: sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"{side}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     checked = cut(pairs.join(of("b"), "b").join(of("a"), "a").where(_similar(shared, F.size("a_set"), F.size("b_set"))).select("a", "b").distinct())
@@ -340,48 +378,61 @@ def _near(members: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS, blocks: int = COPY_BLOCKS) -> DataFrame:
-    """doc_id of every document that another of smaller doc_id stands for: exact copies, and near ones by five-word shingles.
+    """doc_id, hash (of the text): every row that another text, or the same text with a smaller doc_id, stands for: exact copies, and near ones by five-word shingles.
 
-    Exact copies are found by a 128-bit hash and count once from there on. Candidates are all that share a band of minimum
+    Exact copies are found by a 128-bit hash and count once from there on; a text's place is its smallest doc_id, then its hash, so texts that
+    share a doc_id stay apart. Candidates are all that share a band of minimum
     hashes of their shingles, and what the SimHash index links at ``radius`` bits: fingerprints of content words, all words but the
     ``n_common`` most frequent of the corpus. Links are checked by all shingles; what checked links join is one group.
     """
-    common = frozenset(vocabulary(docs, n_common))
+    common = frozenset(common_words(docs, n_common))
     ready(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    texts = identified(docs.select("doc_id", text_of().alias("text"))).where("doc_id is not null")
 
     def mark(batches):
         for batch in batches:
-            own = batch.column(1).to_pylist()
+            own = batch.column(2).to_pylist()
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own]
-            held = pa.array([bands(shingle_set(t)) for t in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(own, common=common).view(np.int64)), pa.array(keys, pa.binary()), held], names=["doc_id", "words", "key", "bands"])
-
-    marked = cut(texts.where("doc_id is not null").mapInArrow(mark, "doc_id long, words long, key binary, bands array<long>"))
-    rows = marked.select("doc_id", "key")
-    reps = cut(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("words").alias("words"), F.first("bands").alias("bands")))
-    members = reps.select(F.explode("bands").alias("bucket"), "rep").distinct()
+            sets = [shingle_set(t) for t in own]
+            held = pa.array(list(map(bands, sets)), pa.list_(pa.int64()))
+            words = pa.array(fingerprints(own, common=common).view(np.int64))
+            columns = [batch.column(0), batch.column(1), words, pa.array(keys, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), held]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "words", "key", "size", "bands"])
+
+    marked = cut(texts.mapInArrow(mark, "doc_id long, hash long, words long, key binary, size long, bands array<long>"))
+    held = marked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("hash", "words", "size", "bands")))
+    # numbers in the order of doc_id, whatever repeats
+    reps = cut(held.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("rep", F.monotonically_increasing_id()))
     of_code = cut(reps.groupBy(F.col("words").alias("fp")).agg(F.min("rep").alias("first")))
     same = reps.join(of_code, F.col("words") == F.col("fp")).select(F.col("first").alias("x"), F.col("rep").alias("y"))
     code = lambda side, name: of_code.select(F.col("fp").alias(side), F.col("first").alias(name))
     linked = links(of_code.select("fp"), radius, blocks).join(code("a", "x"), "a").join(code("b", "y"), "b").select("x", "y")
     pairs = same.unionByName(linked).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    exact = rows.join(reps.select("key", "rep"), "key").where("doc_id != rep").select("doc_id")
-    near = _near(members, texts, pairs)
-    return exact.unionByName(near.select(F.col("node").alias("doc_id"))).distinct()
+    near = _near(reps.select("rep", "doc_id", "hash", "size", "bands"), texts, pairs)
+    decided = reps.join(near, F.col("rep") == F.col("node"), "left").select("key", F.col("doc_id").alias("least"), F.col("node").isNotNull().alias("near"))
+    return marked.select("doc_id", "hash", "key").join(decided, "key").where("near or doc_id != least").select("doc_id", "hash").distinct()
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """doc_id, hash and text of ``rows(doc_id, text)``."""
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
 
 
 def keep_one(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS, blocks: int = COPY_BLOCKS) -> DataFrame:
     """The rows of ``docs`` without near_copies(); all columns stay.
 
-    Null text is empty text; all empty texts are copies of one another. Rows that repeat a doc_id with the same text stay once;
-    rows without doc_id can't be told apart and stay. Only ids travel to find what goes; whole rows meet them once, by doc_id.
+    Null text is empty text; all empty texts are copies of one another. Rows that repeat a doc_id with the same text stay once, and with
+    another text are decided by their text; rows without doc_id can't be told apart and stay. Only ids and hashes travel to find
+    what goes.
     """
-    gone = cut(near_copies(docs, n_common, radius, blocks)).withColumnRenamed("doc_id", "_gone")
-    own = F.col("doc_id").cast("long")
-    kept = docs.join(gone, own == F.col("_gone"), "left_anti")
-    repeated = cut(docs.where("doc_id is not null").groupBy(own.alias("_again")).count().where("count > 1").select("_again"))
+    own, text = F.col("doc_id").cast("long"), F.xxhash64(text_of())
+    gone = cut(near_copies(docs, n_common, radius, blocks).select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_hash")))
+    is_gone = (own == F.col("_gone")) & (text == F.col("_hash"))
+    kept = by_ids(docs, gone, is_gone, "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy(own.alias("_again"), text.alias("_hash")).count().where("count > 1").select("_again", "_hash")
+    repeated = cut(repeated.join(gone, (F.col("_again") == F.col("_gone")) & (repeated["_hash"] == gone["_hash"]), "left_anti"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, own == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, own == F.col("_again"), "left_anti").unionByName(once)
+    again = (own == F.col("_again")) & (text == F.col("_hash"))
+    once = by_ids(kept, repeated, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return by_ids(kept, repeated, again, "left_anti").unionByName(once)

@@ -70,3 +70,18 @@ def test_copies_with_another_end_are_found(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base, *(f"end{k}y{i}" for i in range(20))]))]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), n_common=0)
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [2 * k for k in range(100)]
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    rows = [(1, "A a a"), (5, "A a a"), (5, "B b b"), (5, "B b b"), (7, "C c c"), (7, None), (8, ""), (None, "A a a"), (9, "B b b")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), n_common=0)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "A a a"), (1, "A a a"), (5, "B b b"), (7, ""), (7, "C c c")]
+
+
+def test_families_of_different_texts_stay_and_of_copies_go(spark):
+    line = " ".join(f"repeated{i}" for i in range(30))
+    family = lambda start, n: [(start + i, line + " " + " ".join(f"own{start + i}x{j}" for j in range(60))) for i in range(n)]
+    copies = [(50_000 + i, " ".join([*(f"same{j}" for j in range(100)), f"but{i}"])) for i in range(5000)]
+    rows = family(0, 200) + family(1000, 300) + family(10_000, 5000) + copies
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), n_common=0)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [*range(200), *range(1000, 1300), *range(10_000, 15_000), 50_000]

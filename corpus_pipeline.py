@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and what discloses it, by general terms; n_chars follows the text."""
     clean = pii.sanitise(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType))
+    return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents. Each result is written to the shared checkpoint folder and read again."""
+    """All stages on documents. Each result is written to the shared checkpoint folder and read again; what a stage has read goes once its own result stands."""
     ready(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            path = spark._jvm.org.apache.hadoop.fs.Path(last)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        last = f"{folder}/{name}"
     return docs

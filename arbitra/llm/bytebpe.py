@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, text_of
+from .common import ready, text_of, trimmed
 from .packing import UNSAFE_CUT
 
 KEPT_PIECES, KEPT_LENGTH = 500_000, 48
@@ -164,7 +164,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             ids = [array("i", bpe.encode(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(trimmed(run), ENCODED)
 
 
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -177,7 +177,7 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
             data = [None if ids is None else bpe.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, data binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(trimmed(run), "doc_id long, data binary")
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -197,4 +197,4 @@ def round_trip_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             counts, ids, data = zip(*bpe.digests(batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, DIGESTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(trimmed(run), DIGESTS)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready, text_of
+from .common import cut, ready, text_of, trimmed
 
 WINDOW, WIDTH = 2, 24
 CLASSES, MEMBERS = 32, 32
@@ -78,7 +78,7 @@ def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
                     yield out({})
         yield out({f"{BYTE}{i}".encode(): int(n) for i, n in enumerate(spelled) if n})
 
-    return docs.select(text_of(text_column).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_of(text_column).alias("text")).mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _words(counts: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def train(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_col
         return pd.DataFrame({"part": [frame["part"].iloc[0]], "copy": [frame["copy"].iloc[0] // FAN], "weight": [weight.sum()], "moved": [(total / weight.sum()).astype("<f2").tobytes()]})
 
     schema = "part int, copy long, weight double, moved binary"
-    copies = dealt.mapInArrow(run, schema)
+    copies = dealt.mapInArrow(trimmed(run), schema)
     while shards > 1:
         copies = cut(copies.groupBy("part", F.floor(F.col("copy") / FAN)).applyInPandas(average, schema))
         shards = -(-shards // FAN)
@@ -415,7 +415,7 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, id_column: str
                 rare += [[{"word": w, "own": n, "cost": c} for w, n, c in own] for own in new]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(np.concatenate(sums) if sums else np.empty(0)), pa.array(rare, kind)], names=["doc_id", "n_tokens", "log_probability", "rare"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, SCORED)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(trimmed(run), SCORED)
 
 
 def correction(scored: DataFrame, counts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, text_of
+from .common import ready, text_of, trimmed
 
 #: Width of a payload image: WIDTH RGB samples are 192 bytes.
 WIDTH = 64
@@ -172,7 +172,7 @@ def tiles(media: DataFrame, column: str = "media", id_column: str = "doc_id", he
 
     TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
     found = media.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("binary").alias("media"))
-    return found.mapInArrow(run, f"id long, {TILES}").withColumnRenamed("id", id_column)
+    return found.mapInArrow(trimmed(run), f"id long, {TILES}").withColumnRenamed("id", id_column)
 
 
 def payload_image(data: bytes) -> np.ndarray:
@@ -195,7 +195,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 data = text.as_py().encode()
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([encode_netpbm(payload_image(data))], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(trimmed(run), "doc_id long, n_bytes long, media binary")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -222,4 +222,4 @@ def media_features(docs: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, DIGESTS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(trimmed(run), DIGESTS)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready, text_of
+from .common import cut, ready, text_of, trimmed
 
 CAPACITY = 2048
 #: Items that one best-fit call may see; beyond it a partition or group is packed in blocks.
@@ -32,7 +32,7 @@ BLOCK = 1 << 16
 SLACK = 1 / 128
 ROUNDS = 8
 #: Distinct chunks whose ids a Python worker keeps, and the longest chunk that is kept.
-KEPT_CHUNKS, KEPT_LENGTH = 800_000, 48
+KEPT_CHUNKS, KEPT_LENGTH = 500_000, 48
 
 #: A space before more white space, or at the end: there a text can't be cut at its spaces without changing its tokens.
 UNSAFE_CUT = re.compile(r" (?:\s|\Z)")
@@ -202,7 +202,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     at, size, number = at + size, capacity, number + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(trimmed(run), PIECES)
 
 
 def _pack_locally(items: DataFrame, capacity: int) -> DataFrame:
@@ -227,7 +227,7 @@ def _pack_locally(items: DataFrame, capacity: int) -> DataFrame:
         if held:
             yield pack(pd.concat(held), first)[0]
 
-    return items.mapInPandas(run, PIECES + ", bin long, offset long, fill long")
+    return items.mapInPandas(trimmed(run), PIECES + ", bin long, offset long, fill long")
 
 
 def _merge_round(open_bins: DataFrame, groups: int, number: int, capacity: int) -> DataFrame:

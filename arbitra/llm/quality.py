@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready, text_of
+from .common import cut, ready, text_of, trimmed
 
 #: Bytes of a passage.
 PASSAGE = 1024
@@ -200,7 +200,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, la
                     begin, at = begin + size, at + 1
 
     # text repeats are one row; the running sum of passages, in hash order, bounds what is collected
-    rows = cut(sample.select("doc_id", "y", "text").mapInArrow(encode, "doc_id long, y int, size int, x binary"))
+    rows = cut(sample.select("doc_id", "y", "text").mapInArrow(trimmed(encode), "doc_id long, y int, size int, x binary"))
     order = sorted((r.doc_id, r.size) for r in rows.select("doc_id", "size").collect())
     kept, room = set(), SAMPLE_PASSAGES
     for doc_id, size in sorted(order, key=lambda r: zlib.crc32(b"%d" % r[0])):
@@ -234,7 +234,7 @@ def score_documents(docs: DataFrame, model: GatedAttention | None, threshold: fl
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), text_of().alias("text"))
-    return found.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return found.mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: GatedAttention | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -249,4 +249,4 @@ def keep_good(docs: DataFrame, model: GatedAttention | None, threshold: float =
             kept = [model.score(x, sizes) >= threshold for x, sizes in encode_texts([t or "" for t in text])]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.empty(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, cut, ready, text_of
+from .common import by_ids, cut, ready, text_of, trimmed
 from .lm import words_of
 
 RADIUS, BLOCKS, SHINGLE = 2, 6, 3
@@ -165,7 +165,7 @@ def fingerprint_rows(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED,
             codes = fingerprints(batch.column(1).to_pylist(), shingle, seed, dropped)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
@@ -191,7 +191,7 @@ def links(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataF
             a, b = np.concatenate(left), np.concatenate(right)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long").distinct()
+    return groups.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -256,7 +256,7 @@ TOGETHER = 256
 
 
 #: Words of a slice whose share of it is smaller aren't counted, so a word's share of the corpus is known to within this; the 256th has some 30 times as much.
-SHARE, SLICE = 1 / 65_536, 4_000_000
+SHARE, SLICE = 1 / 65_536, 1_000_000
 
 
 def common_words(docs: DataFrame, size: int = COMMON, text_column: str = "text") -> list[bytes]:
@@ -282,7 +282,7 @@ def common_words(docs: DataFrame, size: int = COMMON, text_column: str = "text")
                     seen = 0
         yield out()
 
-    counts = docs.select(text_of(text_column).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_of(text_column).alias("text")).mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r.word) for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect()]
 
 
@@ -360,7 +360,7 @@ def _near(reps: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     candidates = placed.where("n > 2").select("rep").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("rep"))).distinct()
     candidates = cut(reps.join(candidates, "rep").select("rep", "doc_id", "hash"))
     wanted = by_ids(texts, candidates, ["doc_id", "hash"], "inner").select("rep", "text")
-    sets = cut(wanted.mapInArrow(draw, "rep long, shingles array<long>").dropDuplicates(["rep"]))
+    sets = cut(wanted.mapInArrow(trimmed(draw), "rep long, shingles array<long>").dropDuplicates(["rep"]))
     of = lambda side: sets.select(F.col("rep").alias(side), F.col("shingles").alias(f"{side}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     checked = cut(pairs.join(of("b"), "b").join(of("a"), "a").where(_similar(shared, F.size("a_set"), F.size("b_set"))).select("a", "b").distinct())
@@ -393,13 +393,15 @@ def near_copies(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADI
         for batch in batches:
             own = batch.column(2).to_pylist()
             keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own]
-            sets = [shingle_set(t) for t in own]
-            held = pa.array(list(map(bands, sets)), pa.list_(pa.int64()))
+            sizes, held = [], []
+            for shingles in map(shingle_set, own):
+                sizes.append(len(shingles))
+                held.append(bands(shingles))
             words = pa.array(fingerprints(own, common=common).view(np.int64))
-            columns = [batch.column(0), batch.column(1), words, pa.array(keys, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), held]
+            columns = [batch.column(0), batch.column(1), words, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(held, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "words", "key", "size", "bands"])
 
-    marked = cut(texts.mapInArrow(mark, "doc_id long, hash long, words long, key binary, size long, bands array<long>"))
+    marked = cut(texts.mapInArrow(trimmed(mark), "doc_id long, hash long, words long, key binary, size long, bands array<long>"))
     held = marked.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("hash", "words", "size", "bands")))
     # numbers in the order of doc_id, whatever repeats
     reps = cut(held.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("rep", F.monotonically_increasing_id()))

@@ -188,7 +188,8 @@ def unit_counts(texts: DataFrame) -> DataFrame:
         F.array(*map(has, KINDS)).alias("kinds"),
         F.array_distinct(F.concat(F.array(F.lit("")), F.transform(words_of(blanked(F.col("text"), F.col("spans"))), term_of))).alias("terms"),
     )
-    by_unit = held.select(F.explode("terms").alias("term"), "unit", "kinds").groupBy("term", "unit", "kinds").agg(F.count(F.lit(1)).alias("texts"))
+    # an inner explode would have the optimiser find all terms before the distinct texts too, to filter rows by them
+    by_unit = held.select(F.explode_outer("terms").alias("term"), "unit", "kinds").groupBy("term", "unit", "kinds").agg(F.count(F.lit(1)).alias("texts"))
     one = F.when(F.col("unit").isNull(), F.col("texts")).otherwise(1)
     return by_unit.groupBy("term").agg(F.sum(one).alias("n"), *(F.count_if(F.get("kinds", F.lit(i))).alias(f"n_{k}") for i, k in enumerate(KINDS)))
 

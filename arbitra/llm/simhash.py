@@ -367,9 +367,9 @@ def _near(reps: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     linked = cut(connected(checked))
     rooted = placed.join(linked, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
     # a group of two was compared in full
-    open_groups = rooted.where("n > 2").groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    open_groups = cut(rooted.where("n > 2").groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket"))
     parts = F.ceil(F.col("n") / TOGETHER)
-    split = rooted.join(open_groups, "bucket").withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    split = by_ids(rooted, open_groups, "bucket", "inner").withColumn("own", F.pmod(F.xxhash64("rep", "bucket"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     blocks = split.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "root").join(sets, "rep")
     more = cut(blocks.groupBy("bucket", "low", "high").applyInPandas(_block_links, "a long, b long").where("a != b").distinct())
     if more.isEmpty():

@@ -21,11 +21,11 @@ Words are runs between ASCII white space with A-Z in lower case.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +43,8 @@ BATCH, RATE = 8192, 0.08
 TOKENS_PER_COPY, MOST_PARTS = 1_250_000, 20_000
 #: Weights travel in so many parts, and so many copies meet in one group of the averaging tree.
 PARTS, FAN = 16, 32
-KEPT_WORDS = 600_000
+#: Bytes of text that are worked off together.
+SLICE = 16_000_000
 #: What stands before a byte's number among the counted words; no word holds a blank.
 BYTE = " "
 
@@ -52,31 +53,47 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, each token's place among them, and each text's number of tokens."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = lists.flatten()
+    # blanks at either end split off nothing
+    words = pc.greater(pc.binary_length(flat), 0)
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    encoded = flat.filter(words).dictionary_encode()
+    return encoded.dictionary.cast(pa.binary()), encoded.indices.to_numpy().astype(np.int64), np.bincount(row[words.to_numpy(zero_copy_only=False)], minlength=len(lists))
+
+
+def slices(texts: pa.Array):
+    """``texts`` in runs of about SLICE bytes; no text is cut."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy()) if len(texts) else np.empty(0, np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE)))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def bucket_of(word: bytes) -> int:
     return 1 + zlib.crc32(word) % HASHED
 
 
 def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """word (binary), n over every document; each slice of a partition sends a word once. Byte values are counted as words that begin with BYTE."""
+    """word (binary), n over every document; each slice sends a word once. Byte values are counted as words that begin with BYTE."""
     ready(docs.sparkSession)
 
     def run(batches):
-        counts: Counter[bytes] = Counter()
         spelled = np.zeros(256, np.int64)
-
-        def out(more: dict):
-            batch = pa.RecordBatch.from_arrays([pa.array([*counts, *more], pa.binary()), pa.array([*counts.values(), *more.values()], pa.int64())], names=["word", "n"])
-            counts.clear()
-            return batch
-
         for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                counts.update(words)
-                spelled += np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256)
-                if len(counts) > KEPT_WORDS:
-                    yield out({})
-        yield out({f"{BYTE}{i}".encode(): int(n) for i, n in enumerate(spelled) if n})
+            for texts in slices(batch.column(0)):
+                words, place, _ = split_words(texts)
+                counts = np.bincount(place, minlength=len(words))
+                lengths = pc.binary_length(words).to_numpy()
+                letters = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+                spelled += np.bincount(letters, np.repeat(counts, lengths), 256).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64())], names=["word", "n"])
+        seen = np.flatnonzero(spelled)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{BYTE}{i}".encode() for i in seen], pa.binary()), pa.array(spelled[seen], pa.int64())], names=["word", "n"])
 
     return docs.select(text_of(text_column).alias("text")).mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -129,11 +146,15 @@ class Lexicon:
         self.end_cost = float(np.log((tokens + 1) / (every.sum() + tokens + 1)))
         #: Network ids and spellings of the known words.
         self.ids = np.array([HASHED + 1 + i if i < VOCABULARY else bucket_of(w) for i, w in enumerate(self.words)], np.int64)
-        self.spelled = np.array(list(map(self.spelling, self.words)))
+        self.spelled = self.spellings(self.words)
 
-    def spelling(self, word: bytes) -> float:
-        """ln c(word)."""
-        return float(self.byte_cost[np.frombuffer(word, np.uint8)].sum()) + self.end_cost
+    def spellings(self, words: list[bytes]) -> np.ndarray:
+        """ln c(word) of each."""
+        if not words:
+            return np.empty(0)
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum([0, *map(len, words[:-1])])
+        return np.add.reduceat(self.byte_cost[letters], starts) + self.end_cost
 
     @classmethod
     def of(cls, counts: DataFrame) -> Lexicon:
@@ -148,36 +169,58 @@ class Lexicon:
         return cls(known, buckets, spelled, tokens)
 
 
-class Words(dict):
-    """Numbers of words: known ones in order of frequency, then others as they come, up to KEPT_WORDS of them at a time."""
+class Words:
+    """Network ids, and what words that share an id cost beside the network, for a slice of texts at a time."""
 
     def __init__(self, lexicon: Lexicon):
-        super().__init__((w, i) for i, w in enumerate(lexicon.words))
-        self.known = len(lexicon.words)
-        self.new: list[bytes] = []
-        #: Network ids by number.
-        self.ids = np.concatenate([lexicon.ids, np.zeros(1024, np.int64)])
-
-    def __missing__(self, word: bytes) -> int:
-        number = self.known + len(self.new)
-        if number == len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int64)])
-        self.ids[number] = bucket_of(word)
-        self.new.append(word)
-        self[word] = number
-        return number
-
-    def numbers(self, text: str) -> np.ndarray:
-        """The number of each word of a text; they hold until forget()."""
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def forget(self) -> None:
-        """Lets go of the words that came up, if they are too many."""
-        if len(self.new) > KEPT_WORDS:
-            for word in self.new:
-                del self[word]
-            self.new.clear()
+        self.lexicon = lexicon
+        self.number = {w: i for i, w in enumerate(lexicon.words)}
+
+    def read(self, texts: pa.Array) -> None:
+        """Takes the next slice: its words' numbers (known ones in order of frequency, then its own new ones) and network ids."""
+        words, place, self.sizes = split_words(texts)
+        words, n_known = words.to_pylist(), len(self.number)
+        number = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        self.new = [words[i] for i in new.tolist()]
+        number[new] = n_known + np.arange(len(new))
+        self.numbers = number[place]
+        ids = np.empty(len(words), np.int64)
+        ids[number < n_known] = self.lexicon.ids[number[number < n_known]]
+        ids[new] = [bucket_of(w) for w in self.new]
+        self.ids = ids[place]
+
+    def rows(self) -> list[np.ndarray]:
+        """Network ids of each text."""
+        return np.split(self.ids, np.cumsum(self.sizes)[:-1])
+
+    def cost(self) -> tuple[np.ndarray, pa.Array]:
+        """For each text the sum over its words that share an id, and (word, own, cost as counted) of those that aren't known.
+
+        A word that isn't known counts as if no other document held it; correction() mends that.
+        """
+        lex, n_known, n_rows = self.lexicon, len(self.number), len(self.sizes)
+        shared = self.numbers >= VOCABULARY
+        width = n_known + len(self.new) + 1
+        row = np.repeat(np.arange(n_rows), self.sizes)[shared]
+        pair, own = np.unique(row * width + self.numbers[shared], return_counts=True)
+        row, number = pair // width, pair % width
+        known = number < n_known
+        bucket = np.empty(len(number), np.int64)
+        spelled, others = np.empty(len(number)), np.zeros(len(number), np.int64)
+        bucket[known], spelled[known] = lex.ids[number[known]], lex.spelled[number[known]]
+        others[known] = lex.counts[number[known]] - own[known]
+        new = number[~known] - n_known
+        bucket[~known] = np.array([bucket_of(w) for w in self.new], np.int64)[new]
+        spelled[~known] = lex.spellings(self.new)[new]
+        unseen = np.log(lex.prior[bucket]) + spelled
+        seen = np.log(others, out=np.full(len(others), -np.inf), where=others > 0)
+        sums = np.bincount(row, own * np.logaddexp(seen, unseen), n_rows).astype(np.float64)
+        held_by = np.bincount(row * (HASHED + 1) + bucket, own, n_rows * (HASHED + 1)).reshape(n_rows, HASHED + 1)
+        sums -= (held_by * np.log(np.maximum(lex.total - held_by + lex.prior, 1e-300))).sum(1)
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(row[~known], minlength=n_rows))))
+        fields = [pa.array(self.new, pa.binary()).take(pa.array(new)), pa.array(own[~known], pa.int64()), pa.array(unseen[~known])]
+        return sums, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, names=["word", "own", "cost"]))
 
 
 def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,15 +318,14 @@ class WindowNetwork:
         self.E[place][rows] -= learn * grad / np.sqrt(seen[rows])
 
 
-def _batches(texts, words: Words):
-    """Rows of word numbers until about BATCH tokens; a long text is one batch of its own, worked off in steps."""
+def _batches(rows):
+    """``rows`` in runs of about BATCH tokens; a long text is one run of its own, worked off in steps."""
     held, size = [], 0
-    for text in texts:
-        held.append(words.numbers(text))
-        size += len(held[-1])
+    for row in rows:
+        held.append(row)
+        size += len(row)
         if size >= BATCH:
             yield held
-            words.forget()
             held, size = [], 0
     if held:
         yield held
@@ -311,12 +353,11 @@ def train(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_col
 
         def learn():
             nonlocal tokens, size
-            context, target, _ = windows([words.ids[x] for x in held])
+            context, target, _ = windows(held)
             for at in range(0, len(target), BATCH):
                 net.log_probabilities(context[at : at + BATCH], target[at : at + BATCH], RATE)
             tokens, size = tokens + len(target), 0
             held.clear()
-            words.forget()
 
         def out():
             moved = np.clip(net.flat - start, -60_000, 60_000).astype("<f2")
@@ -324,16 +365,20 @@ def train(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_col
             return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([shard] * PARTS, pa.int64()), pa.array([float(tokens)] * PARTS), pa.array(pieces, pa.binary())], names=["part", "copy", "weight", "moved"])
 
         for batch in batches:
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if own != shard:
-                    learn()
-                    if tokens:
-                        yield out()
-                    net, tokens, shard = WindowNetwork(), 0, own
-                held.append(words.numbers(text.as_py()))
-                size += len(held[-1])
-                if size >= BATCH:
-                    learn()
+            owns = iter(batch.column(0).to_pylist())
+            for texts in slices(batch.column(1)):
+                words.read(texts)
+                for row in words.rows():
+                    own = next(owns)
+                    if own != shard:
+                        learn()
+                        if tokens:
+                            yield out()
+                        net, tokens, shard = WindowNetwork(), 0, own
+                    held.append(row)
+                    size += len(row)
+                    if size >= BATCH:
+                        learn()
         learn()
         if tokens:
             yield out()
@@ -354,66 +399,29 @@ def train(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_col
     return start + np.concatenate([got[i] for i in range(PARTS)]).astype(np.float32) if got else start
 
 
-class Shared:
-    """The last level for a worker's documents: what words that share an id cost beside the network."""
-
-    def __init__(self, lexicon: Lexicon, words: Words):
-        self.lexicon, self.words = lexicon, words
-
-    def cost(self, held: list[np.ndarray]) -> tuple[np.ndarray, list[list[tuple[bytes, int, float]]]]:
-        """For each document the sum over its words that share an id, and (word, own, cost as counted) of those that aren't known.
-
-        A word that isn't known counts as if no other document held it; correction() mends that.
-        """
-        lex, n_known = self.lexicon, len(self.lexicon.words)
-        row = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        number = np.concatenate(held) if held else np.empty(0, np.int64)
-        shared = number >= VOCABULARY
-        row, number = row[shared], number[shared]
-        width = n_known + len(self.words.new) + 1
-        pair, own = np.unique(row * width + number, return_counts=True)
-        row, number = pair // width, pair % width
-        bucket = self.words.ids[number]
-        prior = lex.prior[bucket]
-        spelled, others = np.empty(len(number)), np.zeros(len(number), np.int64)
-        known = number < n_known
-        spelled[known] = lex.spelled[number[known]]
-        others[known] = lex.counts[number[known]] - own[known]
-        new = [[] for _ in held]
-        for i in np.flatnonzero(~known).tolist():
-            word = self.words.new[number[i] - n_known]
-            spelled[i] = lex.spelling(word)
-            new[row[i]].append((word, int(own[i]), float(np.log(prior[i]) + spelled[i])))
-        seen = np.log(others, out=np.full(len(others), -np.inf), where=others > 0)
-        sums = np.bincount(row, own * np.logaddexp(seen, np.log(prior) + spelled), len(held))
-        place, at = np.unique(row * (HASHED + 1) + bucket, return_inverse=True)
-        held_by = np.bincount(at, own, len(place)) if len(place) else np.empty(0)
-        bucket = place % (HASHED + 1)
-        sums -= np.bincount(place // (HASHED + 1), held_by * np.log(lex.total[bucket] - held_by + lex.prior[bucket]), len(held))
-        return sums, new
-
-
 SCORED = "doc_id long, n_tokens long, log_probability double, rare array<struct<word:binary,own:bigint,cost:double>>"
 
 
 def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """SCORED of every row: the sum over all tokens of its text, with words that aren't known counted as the document's alone."""
     shared = ready(docs.sparkSession).sparkContext.broadcast((lexicon, weights.astype(np.float32)))
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("own", pa.int64()), ("cost", pa.float64())]))
 
     def run(batches):
         words, net = Words(shared.value[0]), WindowNetwork(shared.value[1])
-        level = Shared(shared.value[0], words)
         for batch in batches:
-            counts, sums, rare = [], [], []
-            for held in _batches(batch.column(1).to_pylist(), words):
-                context, target, row = windows([words.ids[x] for x in held])
-                found = [net.log_probabilities(context[at : at + BATCH], target[at : at + BATCH]) for at in range(0, len(target), BATCH)]
-                cost, new = level.cost(held)
-                sums.append(cost + (np.bincount(row, np.concatenate(found), len(held)) if found else 0.0))
-                counts += map(len, held)
-                rare += [[{"word": w, "own": n, "cost": c} for w, n, c in own] for own in new]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(np.concatenate(sums) if sums else np.empty(0)), pa.array(rare, kind)], names=["doc_id", "n_tokens", "log_probability", "rare"])
+            at = 0
+            for texts in slices(batch.column(1)):
+                words.read(texts)
+                sums, rare = words.cost()
+                done = 0
+                for held in _batches(words.rows()):
+                    context, target, row = windows(held)
+                    found = [net.log_probabilities(context[i : i + BATCH], target[i : i + BATCH]) for i in range(0, len(target), BATCH)]
+                    if found:
+                        sums[done : done + len(held)] += np.bincount(row, np.concatenate(found), len(held))
+                    done += len(held)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(words.sizes, pa.int64()), pa.array(sums), rare], names=["doc_id", "n_tokens", "log_probability", "rare"])
+                at += len(texts)
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(trimmed(run), SCORED)
 

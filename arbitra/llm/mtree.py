@@ -10,8 +10,9 @@ For a query q an entry with centre c and radius r holds no score above ``q.c + |
 bounds it before q.c is computed, so an entry is dropped for a query by stored distances alone. Queries are searched in blocks:
 a page is opened for the queries whose k-th score it may still beat, best bound first.
 
-Queries are rows of the table themselves: while its tree is built each is answered there, which gives a first k-th score. A query then goes
-only to trees whose root may beat that score, and each tree returns only what does. Ties are kept by smaller id.
+Queries are rows of the table themselves: each gets a first k-th score from the pivots' sample, whose vectors are entries too, and is answered
+by its own tree while that is built. A query then goes only to trees whose root may beat that score, and each tree returns only what does. Ties
+are kept by smaller id.
 """
 
 from __future__ import annotations
@@ -213,6 +214,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.int64)
 
 
+def first_floor(questions: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """A score that ``k`` different entries reach for each question, from a sample of entries; NONE if that has fewer."""
+    if len(sample) < k:
+        return np.full(len(questions), NONE)
+    q, s = questions.astype(np.float64), sample.astype(np.float64)
+    wide = np.sqrt((q * q).sum(1).max(initial=0) * (s * s).sum(1).max()) >= 2.0**52
+    products = questions @ sample.T if wide else np.rint(q @ s.T).astype(np.int64)
+    return np.partition(products, len(sample) - k, axis=1)[:, len(sample) - k]
+
+
 BUILT = "tree long, ask long, data binary, centre array<double>, radius double, v array<long>, floor long, floor_id long, names array<long>, times array<long>, scores array<long>"
 
 
@@ -254,8 +265,8 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = 20, scale: int = SCALE, id
     asks = cut(queries.groupBy("v").agg(F.min("query_id").alias("ask")))
     entries = cut(_entries(padded, asks, most))
     distinct = entries.count()
-    sample = [r.v for r in entries.orderBy(F.xxhash64("v"), "v").select("v").limit(SAMPLE).collect()]
-    pivots = np.array(sample[:: max(1, len(sample) // PIVOTS)][:PIVOTS], np.float64)
+    sample = np.array([r.v for r in entries.orderBy(F.xxhash64("v"), "v").select("v").limit(SAMPLE).collect()], np.int64)
+    pivots = sample[:: max(1, len(sample) // PIVOTS)][:PIVOTS].astype(np.float64)
     half = (pivots**2).sum(1) / 2
 
     def route(frames):
@@ -281,12 +292,13 @@ def top_k(rows: DataFrame, k: int = TOP, every: int = 20, scale: int = SCALE, id
             asked = np.flatnonzero(frame["ask"].notna().to_numpy())
             for at in range(0, len(asked), QUERY_BLOCK):
                 own = asked[at : at + QUERY_BLOCK]
-                row, name, times, score = tree.search(values[own], np.full(len(own), NONE), np.full(len(own), LAST), most)
+                floor = first_floor(values[own], sample, most)
+                row, name, times, score = tree.search(values[own], floor, np.full(len(own), LAST), most)
                 edges = np.searchsorted(row, np.arange(len(own) + 1))
                 full, last = np.diff(edges) == most, np.maximum(edges[1:] - 1, 0)
                 parted = lambda x: [x[b:e] for b, e in zip(edges[:-1], edges[1:], strict=True)]  # noqa: B023, E731
                 yield built_rows(
-                    len(own), tree=[key] * len(own), ask=frame["ask"].to_numpy()[own].astype(np.int64), v=list(values[own]), floor=np.where(full, score[last], NONE) if len(score) else NONE,
+                    len(own), tree=[key] * len(own), ask=frame["ask"].to_numpy()[own].astype(np.int64), v=list(values[own]), floor=np.where(full, score[last], floor) if len(score) else floor,
                     floor_id=np.where(full, name[last], LAST) if len(score) else LAST, names=parted(name), times=parted(times), scores=parted(score),
                 )
 

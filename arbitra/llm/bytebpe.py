@@ -10,18 +10,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import UNSAFE_CUT, Kept, Values, chunked, runs, text_in
 from .common import ready, text_of, trimmed
-from .packing import UNSAFE_CUT
 
-KEPT_PIECES, KEPT_LENGTH = 500_000, 48
+KEPT_PIECES, KEPT_LENGTH = 400_000, 48
+#: Chunks that may stand one after the other without changing each other's pre-tokens: a space, a visible character, no other space.
+SPACED = "\\A [\x21-\x7e\xa1-\xac\xae-\xff][^ ]*\\z"
 #: Unicode's White_Space, which \s means to the library that the rank files belong to.
 WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -86,8 +91,10 @@ class ByteBpe:
         self.table = {b: c for b, c in enumerate(self.to_char)}
         self.to_byte = {c: b for b, c in enumerate(self.to_char)}
         self.pieces = self.model.id_to_piece(list(range(len(self.ranks))))
-        #: chunk -> (ids as decimals joined by commas, how many, decoded bytes)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        #: By id: decimals with a comma after them, and the bytes of its piece by the inverse map.
+        self.decimals = Values.of([b"%d," % i for i in range(len(self.ranks))])
+        self.decoded = Values.of([self.decode([i]) for i in range(len(self.ranks))])
+        self.known = Kept(KEPT_PIECES, KEPT_LENGTH)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> ByteBpe:
@@ -111,44 +118,43 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_pretokens(self.pattern.findall(text)) for i in ids]
 
-    def _entries(self, chunks: list[str]) -> dict[str, tuple[str, int, bytes]]:
-        """What is known of each chunk, from its pre-tokens; each distinct pre-token is encoded once."""
-        cuts = [self.pattern.findall(c) for c in chunks]
-        distinct = list({p for cut in cuts for p in cut})
-        ids_of = dict(zip(distinct, self.encode_pretokens(distinct), strict=True))
-        out = {}
-        for chunk, cut in zip(chunks, cuts, strict=True):
-            ids = [i for p in cut for i in ids_of[p]]
-            out[chunk] = (",".join(map(str, ids)), len(ids), self.decode(ids))
-        return out
-
-    def digests(self, texts: list[str]):
-        """For each text: token count, SHA-256 of the joined decimal ids, SHA-256 of the decoded bytes.
+    def _entries(self, new: pa.Array) -> Values:
+        """Ids of distinct chunks, from their pre-tokens; each distinct pre-token is encoded once.
 
-        Pre-tokens never cross a space that a visible character follows, so texts are cut there first and each
-        distinct chunk is worked off once; a text where that cut would be unsafe is one chunk.
+        Chunks that begin with a space and a visible character are cut into pre-tokens together, which none of them crosses.
         """
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size < 2_000_000):
-                size += len(texts[stop])
-                stop += 1
-            cuts = [[t] if UNSAFE_CUT.search(t) or "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts[start:stop]]
-            known = self.known
-            new = list({c for cut in cuts for c in cut if c not in known})
-            if len(known) + len(new) > KEPT_PIECES:
-                known.clear()
-                new = list({c for cut in cuts for c in cut})
-            entries = self._entries(new)
-            known.update(entries)
-            for cut in cuts:
-                ids, counts, data = zip(*[known[c] for c in cut], strict=True)
-                yield sum(counts), hashlib.sha256(",".join(filter(None, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
-            for chunk in entries:
-                if len(chunk) > KEPT_LENGTH:
-                    del known[chunk]
-            start = stop
+        spaced = pc.match_substring_regex(new, SPACED).to_numpy(zero_copy_only=False)
+        together = self.pattern.findall(text_in(new.filter(pa.array(spaced))))
+        apart = [self.pattern.findall(c) for c in new.filter(pa.array(~spaced)).to_pylist()]
+        pretokens = together + [p for cut in apart for p in cut]
+        distinct = list(set(pretokens))
+        entry = {p: array("I", ids).tobytes() for p, ids in zip(distinct, self.encode_pretokens(distinct), strict=True)}
+        ids = Values.of([entry[p] for p in pretokens], "<u4")
+        # how many pre-tokens end where each chunk does
+        ends = np.cumsum(np.fromiter(map(len, together), np.int64, len(together)))
+        own = np.searchsorted(ends, np.cumsum(pc.utf8_length(new.filter(pa.array(spaced))).to_numpy())) + 1 if len(together) else np.empty(0, np.int64)
+        last = np.empty(len(new), np.int64)
+        last[spaced] = own
+        last[~spaced] = len(together) + np.cumsum(np.fromiter(map(len, apart), np.int64, len(apart)))
+        first = np.empty(len(new), np.int64)
+        first[spaced] = np.concatenate(([0], own))[:-1]
+        first[~spaced] = last[~spaced] - np.fromiter(map(len, apart), np.int64, len(apart))
+        edges = np.concatenate(([0], np.cumsum(ids.sizes)))
+        return Values(ids.flat, edges[first], edges[last] - edges[first])
+
+    def arrays(self, texts: list[str]):
+        """ids of some texts one after the other, and where each text's begin and end."""
+        for some in runs(texts, 2_000_000):
+            chunks, place, edges = chunked(some, UNSAFE_CUT.search)
+            yield self.known.of(chunks, place, self._entries).joined(place, edges)
+
+    def digests(self, texts: list[str]):
+        """For each text: token count, SHA-256 of the joined decimal ids, SHA-256 of the bytes that the ids decode to."""
+        for ids, edges in self.arrays(texts):
+            said, said_ends = self.decimals.joined(ids, edges)
+            data, data_ends = self.decoded.joined(ids, edges)
+            for n, (a, b), (c, d) in zip(np.diff(edges).tolist(), itertools.pairwise(said_ends.tolist()), itertools.pairwise(data_ends.tolist()), strict=True):
+                yield n, hashlib.sha256(said[a : max(a, b - 1)]).hexdigest(), hashlib.sha256(data[c:d]).hexdigest()
 
 
 ENCODED = "doc_id long, ids array<int>"

@@ -45,12 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def trimmed(run):
-    """``run`` for mapInArrow or mapInPandas, giving memory back to the system when a task ends: workers live on from stage to stage."""
+    """``run`` for mapInArrow or mapInPandas, giving memory back to the system when a task ends: workers live on from stage to stage.
+
+    Cycles are collected then, and not while the task goes through what it keeps again and again.
+    """
 
     def whole(batches):
+        gc.disable()
         try:
             yield from run(batches)
         finally:
+            gc.enable()
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -19,10 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import UNSAFE_CUT, Kept, Values, chunked, runs, text_in
 from .common import cut, ready, text_of, trimmed
 
 CAPACITY = 2048
@@ -31,17 +34,13 @@ BLOCK = 1 << 16
 #: A bin with at most this share of its capacity free is emitted as nearly full.
 SLACK = 1 / 128
 ROUNDS = 8
-#: Distinct chunks whose ids a Python worker keeps, and the longest chunk that is kept.
-KEPT_CHUNKS, KEPT_LENGTH = 500_000, 48
-
-#: A space before more white space, or at the end: there a text can't be cut at its spaces without changing its tokens.
-UNSAFE_CUT = re.compile(r" (?:\s|\Z)")
-
+#: Distinct chunks whose ids a Python worker keeps, and the longest chunk (in bytes) that is kept.
+KEPT_CHUNKS, KEPT_LENGTH = 400_000, 48
 
 #: How byte-level tokenizers split text before merging.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Letters, digits and marks that every regular expression library classes alike; other chunks go to the tokenizer itself.
-UNCOMMON = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]")
+#: A space, then letters, digits and marks that every regular expression library classes alike; other chunks go to the tokenizer itself.
+COMMON = "\\A [\t\n\r\x21-\x7e\xa1-\xac\xae-\xff]+\\z"
 
 
 class ChunkEncoder:
@@ -62,7 +61,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) if added else r"(?!)")
-        self.known: dict[str, bytes] = {}
+        self.known = Kept(KEPT_CHUNKS, KEPT_LENGTH)
         self.ranked, self.size_of = self._rank_library(path)
 
     @staticmethod
@@ -89,20 +88,18 @@ class ChunkEncoder:
             sizes[i] = len(token)
         return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}), sizes
 
-    def _chunks(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of distinct chunks. Chunks that begin with a space can stand one after the other without changing each other's tokens."""
-        common = [c for c in new if c[:1] == " " and not UNCOMMON.search(c)] if self.ranked else []
-        ids = np.asarray(self.ranked.encode_to_numpy("".join(common)), "<u4") if common else np.empty(0, "<u4")
-        ends = np.cumsum(np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in common), np.int64, len(common)))
-        stops = (np.searchsorted(np.cumsum(self.size_of[ids]), ends) + 1).tolist() if common else []
-        data = (4 * x for x in [0, *stops])
-        raw, out, begin = ids.tobytes(), {}, next(data)
-        for chunk, end in zip(common, data, strict=True):
-            out[chunk] = raw[begin:end]
-            begin = end
-        rest = [c for c in new if c not in out]
-        out.update(zip(rest, self._library(rest), strict=True))
-        return out
+    def _chunks(self, new: pa.Array) -> Values:
+        """Ids of distinct chunks. Chunks that begin with a space and hold no other can stand one after the other without changing each other's tokens."""
+        common = pc.match_substring_regex(new, COMMON).to_numpy(zero_copy_only=False) if self.ranked else np.zeros(len(new), bool)
+        own = new.filter(pa.array(common))
+        ids = np.asarray(self.ranked.encode_to_numpy(text_in(own)), "<u4") if len(own) else np.empty(0, "<u4")
+        ends = np.searchsorted(np.cumsum(self.size_of[ids]), np.cumsum(pc.binary_length(own).to_numpy())) + 1 if len(own) else np.empty(0, np.int64)
+        rest = Values.of(self._library(new.filter(pa.array(~common)).to_pylist()), "<u4")
+        begin, sizes = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        sizes[common] = np.diff(ends, prepend=0)
+        begin[common] = ends - sizes[common]
+        begin[~common], sizes[~common] = rest.begin + len(ids), rest.sizes
+        return Values(np.concatenate([ids, rest.flat]), begin, sizes)
 
     @classmethod
     def of(cls, path: str) -> ChunkEncoder:
@@ -117,34 +114,15 @@ class ChunkEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def arrays(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order; the batch is worked off in slices of bounded size."""
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size < 4_000_000):
-                size += len(texts[stop])
-                stop += 1
-            yield from self._slice(texts[start:stop])
-            start = stop
-
-    def _slice(self, texts: list[str]) -> Iterator[bytes]:
-        cuts = [None if UNSAFE_CUT.search(t) or self.added.search(t) or "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
-        known = self.known
-        new = list({c for chunks in cuts if chunks for c in chunks if c not in known})
-        if len(known) + len(new) > KEPT_CHUNKS:
-            known.clear()
-            new = list({c for chunks in cuts if chunks for c in chunks})
-        local = self._chunks(new)
-        known.update((c, ids) for c, ids in local.items() if len(c) <= KEPT_LENGTH)
-        long = {c: ids for c, ids in local.items() if len(c) > KEPT_LENGTH}
-        for text, chunks in zip(texts, cuts, strict=True):
-            if chunks is None:
-                yield self._library([text])[0]
-            elif long:
-                yield b"".join([known[c] if c in known else long[c] for c in chunks])
-            else:
-                yield b"".join(map(known.__getitem__, chunks))
+        for some in runs(texts):
+            chunks, place, edges = chunked(some, lambda t: UNSAFE_CUT.search(t) or self.added.search(t))
+            ids, ends = self.known.of(chunks, place, self._chunks).joined(place, edges)
+            yield from (ids[a:b] for a, b in itertools.pairwise(ends.tolist()))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        return (ids.tobytes() for ids in self.arrays(texts))
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,20 +162,20 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece of every document: PIECES. Null text counts as empty, whose only id is ``end_id``."""
     ready(docs.sparkSession)
-    end = array("I", [end_id]).tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches):
         encoder = ChunkEncoder.of(tokenizer)
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
             out = ([], [], [], [], [])
-            for doc_id, ids in zip(ids_of, encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                total = len(ids) // 4
+            for doc_id, ids in zip(ids_of, encoder.arrays(batch.column(1).to_pylist()), strict=True):
+                ids = np.append(ids, end).astype("<u4")
+                total = len(ids)
                 first = (total - 1) % capacity + 1
                 at, size, number = 0, first, 0
                 while at < total:
-                    for column, value in zip(out, (doc_id, number, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])), strict=True):
+                    for column, value in zip(out, (doc_id, number, at, size, zlib.crc32(ids[at : at + size])), strict=True):
                         column.append(value)
                     at, size, number = at + size, capacity, number + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

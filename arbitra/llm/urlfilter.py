@@ -78,7 +78,8 @@ def templates(paths: DataFrame) -> DataFrame:
         node = through.groupBy("host", "template").agg(F.sum("n").alias("all"), F.min("first").alias("first"), F.max("last").alias("last"))
         node = node.select("host", "template", "all", _shared(F.col("first"), F.col("last")).alias("shared"))
         often = through.where(F.col("n") >= SUPPORT).join(node, ["host", "template"]).where(F.col("n") >= SHARE * F.col("all"))
-        node = node.join(often.groupBy("host", "template").agg(F.collect_list("segment").alias("literal")), ["host", "template"], "left")
+        # written first, so that a node of very many paths is split where it meets them
+        node = cut(node.join(often.groupBy("host", "template").agg(F.collect_list("segment").alias("literal")), ["host", "template"], "left"))
         wild = F.transform("rest", lambda s: F.lit(WILD))
         own = F.when(F.array_contains("literal", F.get("rest", F.lit(0))), F.slice("rest", F.lit(1), F.greatest("shared", F.lit(1)))).otherwise(F.array(F.lit(WILD)))
         step = F.when(F.col("all") < SUPPORT, wild).otherwise(own)

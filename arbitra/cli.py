@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from arbitra.operators import compare as comparing
 from arbitra.plans import evaluate as ev
 from arbitra.plans import prepare as prep
-from arbitra.sources import files
+from arbitra.sources import bundles, files
 from arbitra.streaming import serve
 
 
@@ -53,8 +53,8 @@ def main(argv: list[str] | None = None) -> None:
 
     needed = {"required": True}
     verb("prepare", prepare, ("--config", needed), ("--sources", needed), ("--data", needed), ("--output", needed))
-    verb("bundle", lambda a: files.build_bundle(session(), a.data), ("--data", needed))
-    verb("verify", lambda a: files.verify_bundle(session(), a.data), ("--data", needed))
+    verb("bundle", lambda a: bundles.build(session(), a.data), ("--data", needed))
+    verb("verify", lambda a: bundles.verify(session(), a.data), ("--data", needed))
     verb("calibrate", lambda a: {"temperature": ev.calibrate(session(), a.model, a.data)}, ("--model", needed), ("--data", needed))
     verb("evaluate", lambda a: ev.evaluate(session(), a.data, a.temperature, a.output), ("--data", needed), ("--output", needed), ("--temperature", {"type": float, "default": 1.0}))
     verb("predict", predict, ("--input", {"default": "-"}), ("--temperature", {"type": float, "default": 1.0}))

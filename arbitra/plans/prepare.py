@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from arbitra.functions.text import content_key, split_for
 from arbitra.operators import adapters, dedup, sampling, scoring
 from arbitra.schema import SPLIT_PRIORITY, SPLITS
-from arbitra.sources import files
+from arbitra.sources import bundles, files
+from arbitra.sources.shared import Store
 
 
 @dataclass(frozen=True)
@@ -115,15 +115,18 @@ def check_complete(prepared: Prepared, sources: list[str]) -> dict[str, int]:
     return counts
 
 
-def run(spark: SparkSession, specs: list[dict], load, config: dict, output: str, tokenizer=scoring.whitespace_tokenizer) -> dict:
-    """The whole job into an empty folder: manifest (preparing, then complete or failed) and one JSON Lines file for each split."""
-    out = Path(output)
-    if out.exists() and (not out.is_dir() or any(out.iterdir())):
+def run(spark: SparkSession, specs: list[dict], load, config: dict, output: str, tokenizer=scoring.whitespace_tokenizer, merged: bool = False) -> dict:
+    """The whole job into an empty folder of any file system: manifest (preparing, then complete or failed) and Spark's part files of each split.
+
+    With ``merged`` each split becomes one JSON Lines file, which the driver streams together.
+    """
+    store, out = Store(spark), str(output).rstrip("/")
+    if store.exists(out) and (not store.is_folder(out) or store.names(out)):
         raise FileExistsError(out)
     names = Settings.__dataclass_fields__
     settings = Settings(**{k: v for k, v in config.items() if k in names})
-    manifest = {"status": "preparing", "format_version": files.FORMAT_VERSION, "config": config, "sources": specs, "seed": settings.seed, "scan_limit_per_split": settings.scan_limit_per_split}
-    files.write_json(out / "manifest.json", manifest)
+    manifest = {"status": "preparing", "format_version": bundles.FORMAT_VERSION, "config": config, "sources": specs, "seed": settings.seed, "scan_limit_per_split": settings.scan_limit_per_split}
+    store.write_json(f"{out}/manifest.json", manifest)
     try:
         rows, scans = adapt_sources(specs, load, settings)
         prepared = prepare(rows, settings, tokenizer)
@@ -132,12 +135,13 @@ def run(spark: SparkSession, specs: list[dict], load, config: dict, output: str,
         for r in prepared.audit.collect():
             audit.setdefault(r.source, {})[r.disposition] = r.n
         columns = ["id", "state", "instructions", "candidates", "target", "kind", "source", "task", "original_split", "group_id", "input_ids", "attention_mask", "labels", "split"]
-        parts = out / ".parts"
-        files.write_splits(prepared.written.repartitionByRange("split", "src_ord", "prio").sortWithinPartitions("split", "src_ord", "prio").select(columns), str(parts))
-        files.merge_split_files(parts, out)
-        import shutil
-
-        shutil.rmtree(parts)
+        parts = f"{out}/.parts"
+        files.write_splits(prepared.written.repartitionByRange("split", "src_ord", "prio").sortWithinPartitions("split", "src_ord", "prio").select(columns), parts)
+        for split in SPLITS:
+            store.move(f"{parts}/split={split}", f"{out}/split={split}")
+        store.delete(parts)
+        if merged:
+            files.merge_splits(spark, out)
         retained: dict[str, dict[str, int]] = {}
         for r in prepared.retained.collect():
             retained.setdefault(f"{r.source}:{r.split}", {})[r.task] = r.n
@@ -148,5 +152,5 @@ def run(spark: SparkSession, specs: list[dict], load, config: dict, output: str,
         manifest |= {"status": "failed", "error": str(error)[:2000]}
         raise
     finally:
-        files.write_json(out / "manifest.json", manifest)
+        store.write_json(f"{out}/manifest.json", manifest)
     return manifest

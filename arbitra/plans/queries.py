@@ -12,6 +12,7 @@ from arbitra.functions import text as X
 from arbitra.operators import adapters, batching, calibration, compare, dedup, metrics, requests, sampling, scoring, validate
 from arbitra.plans import decisions as D
 from arbitra.plans import prepare as prep
+from arbitra.sources.shared import Store, shared_folder
 from arbitra.streaming import serve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -636,26 +637,11 @@ def q_stream_microbatch_scores(spark, d):
 
     source = f"{d}/events.parquet"
     schema = spark.read.parquet(source).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     parent, name = d, "events.parquet"
-    stream = spark.readStream.schema(T.StructType(schema.fields)).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(source if _is_folder(spark, source) else f"{parent}/{name[:-8]}*.parquet")
+    stream = spark.readStream.schema(T.StructType(schema.fields)).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(source if Store(spark).is_folder(source) else f"{parent}/{name[:-8]}*.parquet")
     scored = serve.score_stream(stream.select("event_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("candidates")))
     out = scored.select("event_id", P.argmax(F.col("probabilities")).alias("choice"), F.round(F.array_max("probabilities"), 6).alias("top"))
     run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("event_id long, choice int, top double").parquet(f"{folder}/out")
-
-
-def _own_folder(spark) -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="arbitra-stream-")
-
-
-def _is_folder(spark, path: str) -> bool:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(where).isDirectory()
-
-

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from arbitra.functions import text as X
 from arbitra.operators import adapters, batching, calibration, compare, dedup, metrics, requests, sampling, scoring
 from arbitra.plans import prepare as prep
 from arbitra.schema import DECISION
-from arbitra.sources import files
+from arbitra.sources import bundles, files
 from arbitra.streaming import serve
 
 
@@ -211,7 +212,7 @@ def loader(spark):
 def test_prepare_writes_whole_data_sets(spark, tmp_path):
     config = {"max_train_per_source": 12, "max_train_per_task": 6, "max_eval_per_source": 8, "max_length": 200, "max_candidates": 4, "seed": 42, "scan_limit_per_split": 32, "model_name_or_path": "m", "model_revision": "r"}
     out = tmp_path / "data"
-    manifest = prep.run(spark, SPECS, loader(spark), config, str(out))
+    manifest = prep.run(spark, SPECS, loader(spark), config, str(out), merged=True)
     assert manifest["status"] == "complete" and manifest["source_counts"]["b/boolq"]["dropped:holdout_overlap"] == 1
     rows = {s: [json.loads(x) for x in (out / f"{s}.jsonl").read_text().splitlines()] for s in manifest["counts"]}
     assert {s: len(r) for s, r in rows.items()} == manifest["counts"]
@@ -221,14 +222,18 @@ def test_prepare_writes_whole_data_sets(spark, tmp_path):
     for part in rows.values():
         for source in {r["source"] for r in part}:
             assert len([r for r in part if r["source"] == source]) <= 12
-    files.build_bundle(spark, out)
-    assert files.verify_bundle(spark, out)["status"] == "complete"
+    bundles.build(spark, out)
+    assert bundles.verify(spark, out)["status"] == "complete"
     with pytest.raises(FileExistsError):
         prep.run(spark, SPECS, loader(spark), config, str(out))
     with (out / "test.jsonl").open("r+") as f:
         f.write("x")
-    with pytest.raises(ValueError, match="modified"):
-        files.verify_bundle(spark, out)
+    with pytest.raises(ValueError, match="modified.*test.jsonl"):
+        bundles.verify(spark, out)
+    parts = prep.run(spark, SPECS, loader(spark), config, str(tmp_path / "parts"))
+    assert parts["counts"] == manifest["counts"] and len(bundles.build(spark, tmp_path / "parts")["files"]) > 4
+    assert bundles.verify(spark, tmp_path / "parts")["status"] == "complete"
+    assert spark.read.json(str(tmp_path / "parts/split=test")).count() == manifest["counts"]["test"]
 
 
 def test_prepare_failure_is_recorded(spark, tmp_path):
@@ -248,8 +253,8 @@ def test_snapshot_promotion(spark, tmp_path):
     data.mkdir()
     for s in ("train", "validation", "calibration", "test"):
         (data / f"{s}.jsonl").write_text('{"a": 1}\n')
-    files.write_json(data / "manifest.json", {"status": "complete", "config": dict.fromkeys(files.MODEL_FIELDS, 1), "counts": dict.fromkeys(("train", "validation", "calibration", "test"), 1)})
-    files.build_bundle(spark, data)
+    files.write_json(data / "manifest.json", {"status": "complete", "config": dict.fromkeys(bundles.MODEL_FIELDS, 1), "counts": dict.fromkeys(("train", "validation", "calibration", "test"), 1)})
+    bundles.build(spark, data)
     import shutil
 
     calls = []
@@ -262,14 +267,14 @@ def test_snapshot_promotion(spark, tmp_path):
 
     root, revision = tmp_path / "got", "a" * 40
     with pytest.raises(OSError):
-        files.promote_snapshot(spark, fetch, root, "r", revision)
+        bundles.promote(spark, fetch, root, "r", revision)
     assert not root.exists()
     with pytest.raises(FileExistsError):
-        files.promote_snapshot(spark, fetch, root, "other", revision)
-    assert files.promote_snapshot(spark, fetch, root, "r", revision) == root == files.promote_snapshot(spark, fetch, root, "r", revision)
+        bundles.promote(spark, fetch, root, "other", revision)
+    assert bundles.promote(spark, fetch, root, "r", revision) == str(root) == bundles.promote(spark, fetch, root, "r", revision)
     assert len(calls) == 2
     with pytest.raises(ValueError):
-        files.promote_snapshot(spark, fetch, root, "r", "main")
+        bundles.promote(spark, fetch, root, "r", "main")
 
 
 def test_json_lines(spark, tmp_path):
@@ -284,13 +289,16 @@ def test_json_lines(spark, tmp_path):
     assert sorted(r.a for r in rows if r.a) == [1, 2] and [r._corrupt_record for r in rows if r._corrupt_record] == ["not json"]
 
 
-def test_staged_folder(tmp_path):
-    with files.staged(tmp_path / "x") as folder:
-        (folder / "f").write_text("1")
+def test_staged_folder(spark, tmp_path):
+    with bundles.Staging(spark, tmp_path / "x") as folder:
+        Path(folder, "f").write_text("1")
         assert not (tmp_path / "x").exists()
     assert (tmp_path / "x/f").read_text() == "1"
-    with pytest.raises(FileExistsError), files.staged(tmp_path / "x"):
+    with pytest.raises(FileExistsError), bundles.Staging(spark, tmp_path / "x"):
         pass
+    with pytest.raises(OSError), bundles.Staging(spark, tmp_path / "y") as folder:
+        raise OSError
+    assert not Path(folder).exists() and not (tmp_path / "y").exists()
     with pytest.raises(ValueError):
         files.write_json(tmp_path / "n.json", float("nan"))
     assert files.discover_configs(["b", "a"]) == ["a", "b"]
@@ -298,6 +306,34 @@ def test_staged_folder(tmp_path):
         files.discover_configs(["a"], ["c"])
 
 
+@pytest.mark.parametrize("change", ["status", "format_version", "config", "counts", "flag", "empty", "link"])
+def test_rules_of_data_sets(spark, tmp_path, change):
+    for s in ("train", "validation", "calibration", "test"):
+        (tmp_path / f"{s}.jsonl").write_text('{"a": 1}\n')
+    counts = dict.fromkeys(("train", "validation", "calibration", "test"), 1)
+    manifest = {"status": "complete", "config": dict.fromkeys(bundles.MODEL_FIELDS, "é"), "counts": counts}
+    files.write_json(tmp_path / "manifest.json", manifest)
+    assert bundles.check(spark, tmp_path, manifest["config"]) == manifest
+    bad = {"status": {"status": "failed"}, "format_version": {"format_version": 2}, "config": {"config": {"max_length": 1}}, "counts": {"counts": counts | {"test": 0}}, "flag": {"counts": counts | {"test": True}}}
+    files.write_json(tmp_path / "manifest.json", manifest | bad.get(change, {}))
+    if change in ("empty", "link"):
+        (tmp_path / "test.jsonl").unlink()
+    if change == "empty":
+        (tmp_path / "test.jsonl").touch()
+    if change == "link":
+        (tmp_path / "test.jsonl").symlink_to(tmp_path / "train.jsonl")
+    with pytest.raises(ValueError):
+        bundles.check(spark, tmp_path)
+
+
+def test_settings_must_match_and_lines_have_numbers(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\nnot json\n{"a": NaN}\n')
+    bad = files.numbered_lines(spark, str(tmp_path / "x.jsonl"), T.StructType([T.StructField("a", T.IntegerType())])).collect()
+    assert [(r.line, r.raw) for r in bad] == [(4, "not json"), (5, '{"a": NaN}')] and bad[0].file.endswith("x.jsonl")
+
+
 # --- requests and streams
 
 

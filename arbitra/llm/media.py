@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zlib
 
@@ -65,8 +66,9 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise MediaError("a size or maximum out of range")
     count = width * height * channels
     if plain:
-        body = data[at - 1 :]
-        values = np.array(list(body.replace(b" ", b"").replace(b"\n", b"").replace(b"\r", b"").replace(b"\t", b"")), np.int64) - 48 if bitmap else np.array(body.split(), np.int64)
+        body = re.sub(rb"#[^\n]*", b"", data[at - 1 :]).split()
+        # the bits of a P1 file need no blanks between them
+        values = np.frombuffer(b"".join(body), np.uint8).astype(np.int64) - 48 if bitmap else np.array(body, np.int64)
     elif bitmap:
         stride = -(-width // 8)
         values = np.unpackbits(np.frombuffer(data, np.uint8, stride * height if len(data) - at >= stride * height else 0, at).reshape(-1, stride), axis=1)[:, :width].ravel()
@@ -76,6 +78,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if len(values) < count:
         raise MediaError("the image ends early")
     values = values[:count]
+    if values.min() < 0 or values.max() > most:
+        raise MediaError("a sample out of range")
     if bitmap:
         values = np.where(values, 0, 255)
     elif most != 255:
@@ -90,6 +94,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     offset, header, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
     if packing not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or not height:
         raise MediaError("this kind of BMP isn't supported")
+    if packing == 3 and (bits != 32 or struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF)):
+        raise MediaError("these channel masks aren't supported")
     stride, rows = -(-width * bits // 32) * 4, abs(height)
     if len(data) < offset + stride * rows:
         raise MediaError("the image ends early")
@@ -98,6 +104,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raw = raw[::-1]
     if bits == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
+        if used > 256:
+            raise MediaError("the palette is too large")
         palette = np.zeros((256, 4), np.uint8)
         palette[:used] = np.frombuffer(data, np.uint8, used * 4, 14 + header).reshape(-1, 4)
         return palette[raw[:, :width]][:, :, 2::-1].copy()
@@ -105,10 +113,14 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
-        return decode_netpbm(data)
-    if data[:2] == b"BM":
-        return decode_bmp(data)
+    """The image in Netpbm or BMP bytes. Whatever is wrong with them is a MediaError."""
+    try:
+        if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
+            return decode_netpbm(data)
+        if data[:2] == b"BM":
+            return decode_bmp(data)
+    except (ValueError, IndexError, OverflowError, struct.error) as error:
+        raise error if isinstance(error, MediaError) else MediaError(f"malformed: {error}"[:200]) from error
     raise MediaError("neither Netpbm nor BMP")
 
 
@@ -159,6 +171,12 @@ def tiles(media: DataFrame, column: str = "media", id_column: str = "doc_id", he
     ready(media.sparkSession)
 
     def run(batches):
+        held: list[list] = []
+
+        def out():
+            columns = zip(*held, strict=True) if held else [()] * len(TYPES)
+            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, TYPES, strict=True)], names=["id", "height", "width", "channels", "tile", "difference_hash", "error"])
+
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
@@ -168,7 +186,11 @@ def tiles(media: DataFrame, column: str = "media", id_column: str = "doc_id", he
                     row = [*image.shape[:2], 1 if image.ndim == 2 else 3, npy_tile(image, height, width), f"{difference_hash(image):016x}", None]
                 except MediaError as error:
                     row = [None] * 5 + [str(error)]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([key, *row], TYPES, strict=True)], names=["id", "height", "width", "channels", "tile", "difference_hash", "error"])
+                held.append([key, *row])
+                if len(held) == 256:
+                    yield out()
+                    held.clear()
+        yield out()
 
     TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
     found = media.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("binary").alias("media"))

@@ -210,6 +210,28 @@ def test_media_of_texts(spark, odd, empty):
     assert media.media_features(empty).count() == 0
 
 
+def test_bad_media_is_always_a_media_error():
+    image = np.random.default_rng(2).integers(0, 256, (6, 5, 3), dtype=np.uint8)
+    whole = [media.encode_netpbm(image), media.encode_netpbm(image[:, :, 0]), media.encode_bmp(image), b"P1\n# c\n3 2\n1 0 1 # 1 1\n010\n", b"P3 1 1 255 1 2 3", b"P4 9 2 \xff\x80\x00\x00"]
+    bad = [b"P5\n1 1\n255", b"P3\n1 1\n255\na b c", b"P1 2 1 12", b"P2 1 1 15 16", b"BM" + b"\0" * 60]
+    with_palette = bytearray(media.encode_bmp(image))
+    with_palette[28], with_palette[46:50] = 8, (300).to_bytes(4, "little")
+    random.seed(6)
+    for data in [*bad, bytes(with_palette), *(bytes(random.choice(w)[: random.randint(0, 90)]) for w in [whole] * 300)]:
+        if data not in whole:
+            with pytest.raises(media.MediaError):
+                media.decode(data)
+    for _ in range(2000):
+        data = bytearray(random.choice(whole))
+        for _ in range(random.randint(1, 4)):
+            data[random.randrange(len(data))] = random.randrange(256)
+        try:
+            media.decode(bytes(data))
+        except media.MediaError:
+            pass
+    assert media.decode(whole[3]).tolist() == [[0, 255, 0], [255, 0, 255]]
+
+
 def test_tiles_name_bad_media(spark):
     image = np.zeros((5, 4, 3), np.uint8)
     found = media.tiles(spark.createDataFrame([(1, bytearray(media.encode_bmp(image))), (2, bytearray(b"nothing")), (3, None)], "doc_id long, media binary")).orderBy("doc_id").collect()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbitra.schema import SPLIT_PRIORITY
+from arbitra.sources.shared import materialise
 
 WRITTEN = "written"
 
@@ -24,10 +27,12 @@ def group_owners(holdouts: DataFrame) -> DataFrame:
 
 
 def drop_holdout_overlap(train: DataFrame, holdouts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) train rows: dropped where a holdout row has their group or their content."""
-    groups = holdouts.select("group_id").distinct().withColumn("_g", F.lit(True))
-    content = holdouts.select("content_key").distinct().withColumn("_c", F.lit(True))
-    marked = train.join(groups, "group_id", "left").join(content, "content_key", "left")
+    """(kept, dropped) train rows: dropped where a holdout row has their group or their content.
+
+    The keys that both sides have are found first, from the keys alone; whole rows only meet those.
+    """
+    shared = lambda key, mark: train.select(key).distinct().join(holdouts.select(key), key, "left_semi").withColumn(mark, F.lit(True))
+    marked = train.join(shared("group_id", "_g"), "group_id", "left").join(shared("content_key", "_c"), "content_key", "left")
     hit = F.coalesce(F.col("_g"), F.lit(False)) | F.coalesce(F.col("_c"), F.lit(False))
     return marked.where(~hit).drop("_g", "_c"), marked.where(hit).drop("_g", "_c")
 
@@ -57,35 +62,49 @@ def task_cap(rows: DataFrame, cap: int, order: list[str]) -> DataFrame:
     return ranked.where(F.col("_place") <= cap).drop("_place")
 
 
+def _clusters(rows: DataFrame) -> DataFrame:
+    """``rows(row_key, content, task)`` with ``cluster``: the least label of all that share contents or (not null) tasks, step by step, until nothing moves."""
+    now = materialise(rows.withColumn("cluster", F.xxhash64("row_key")))
+    moved = None
+    while True:
+        for key in ("content", "task"):
+            least = now.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("cluster").alias("_least"))
+            now = now.join(least, key, "left").withColumn("cluster", F.least("cluster", F.coalesce("_least", "cluster"))).drop("_least")
+        now = materialise(now)
+        state = now.agg(F.sum(F.xxhash64("row_key", "cluster").cast("decimal(38,0)"))).first()[0]
+        if state == moved:
+            return now
+        moved = state
+
+
 def capped_first_wins(rows: DataFrame, cap: int) -> DataFrame:
     """row_key, disposition when only written rows count towards contents and caps, in the order of src_ord, prio, row_key.
 
     ``rows(row_key, content_key, source, task, src_ord, prio, aggregate, overlength)`` is the train sample, whose size the
-    sampling caps bound. A row depends on another only through its content, or through its task where that has a cap. Rows of
-    contents that occur once and tasks that can't fill their cap are decided in place; the rest is narrow and is walked in order.
+    sampling caps bound. A row depends on another only through its content, or through its task where that has a cap that its rows can fill. Rows of
+    contents that occur once and tasks that can't fill their cap are decided in place; the rest is narrow, and each cluster of what
+    depends on one another is walked in order by itself. row_key tells rows apart.
     """
-    content_n = F.count(F.lit(1)).over(Window.partitionBy("content_key"))
-    task_n = F.count(F.lit(1)).over(Window.partitionBy("source", "task"))
-    marked = rows.withColumn("_alone", content_n == 1).withColumn("_fits", ~F.col("aggregate") | (task_n <= cap))
-    free = marked.where("_alone AND _fits").select("row_key", F.when(F.col("overlength"), "overlength").otherwise(WRITTEN).alias("disposition"))
-    bound = marked.where("NOT (_alone AND _fits)")
+    narrow = rows.select("row_key", "content_key", "source", "task", "src_ord", "prio", "aggregate", "overlength")
+    contents = narrow.groupBy("content_key").agg(F.count(F.lit(1)).alias("_contents")).where("_contents > 1")
+    tasks = narrow.where("aggregate").groupBy(F.col("source").alias("_source"), F.col("task").alias("_task")).agg(F.count(F.lit(1)).alias("_tasks")).where(F.col("_tasks") > cap)
+    in_task = F.col("aggregate") & F.col("source").eqNullSafe(F.col("_source")) & F.col("task").eqNullSafe(F.col("_task"))
+    marked = materialise(narrow.join(contents, "content_key", "left").join(tasks, in_task, "left").drop("_source", "_task"))
+    is_bound = F.col("_contents").isNotNull() | F.col("_tasks").isNotNull()
+    free = marked.where(~is_bound).select("row_key", F.when(F.col("overlength"), "overlength").otherwise(WRITTEN).alias("disposition"))
+    task = F.when(F.col("_tasks").isNotNull(), F.concat_ws("\x1f", F.coalesce("source", F.lit("")), F.coalesce("task", F.lit(""))))
+    bound = marked.where(is_bound).select("row_key", F.col("content_key").alias("content"), task.alias("task"), "src_ord", "prio", "overlength")
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        seen, used, out = set(), {}, []
-        for r in frame.sort_values(["src_ord", "prio", "row_key"]).itertuples(index=False):
-            task = (r.source, r.task)
-            if r.content_key in seen:
-                out.append("duplicate_content")
-            elif r.aggregate and used.get(task, 0) >= cap:
-                out.append("task_cap")
-            elif r.overlength:
-                out.append("overlength")
-            else:
-                seen.add(r.content_key)
-                used[task] = used.get(task, 0) + 1
-                out.append(WRITTEN)
-        return pd.DataFrame({"row_key": frame.sort_values(["src_ord", "prio", "row_key"])["row_key"].to_numpy(), "disposition": out})
-
-    narrow = bound.select("row_key", "content_key", "source", "task", "src_ord", "prio", "aggregate", "overlength")
-    walked = narrow.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda frame: walk(frame), "row_key string, disposition string")
+        frame = frame.sort_values(["src_ord", "prio", "row_key"])
+        seen, used, out = set(), Counter(), []
+        for r in frame.itertuples(index=False):
+            fate = "duplicate_content" if r.content in seen else "task_cap" if r.task is not None and used[r.task] >= cap else "overlength" if r.overlength else WRITTEN
+            if fate == WRITTEN:
+                seen.add(r.content)
+                used[r.task] += 1
+            out.append(fate)
+        return pd.DataFrame({"row_key": frame["row_key"].to_numpy(), "disposition": out})
+
+    walked = _clusters(bound).groupBy("cluster").applyInPandas(walk, "row_key string, disposition string")
     return free.unionByName(walked)

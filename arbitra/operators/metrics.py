@@ -6,11 +6,16 @@ level, by confidence bin. No group is ever gathered.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbitra.functions.probability import argmax, expectation, total
-from arbitra.sources.shared import materialise
+from arbitra.operators.sampling import ordinals
 
 BINS = 15
 FLOOR = 1e-300
@@ -107,17 +112,28 @@ def paired_correctness(rows: DataFrame, a: str = "correct_a", b: str = "correct_
 def auroc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve with tied scores at half weight.
 
-    Scores are aggregated to one row for each distinct value first, so the ranking runs over those; running sums come from
-    range-partitioned blocks and the blocks' totals, so no single task sees all values.
+    Scores are aggregated to one row for each distinct value first, so the ranking runs over those. Range-partitioned values are summed up where
+    they lie; the driver adds one row of totals a partition. Null without both labels.
     """
-    values = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    blocks = materialise(values.repartitionByRange(score).withColumn("_block", F.spark_partition_id()))
-    below = blocks.groupBy("_block").agg(F.sum("neg").alias("_neg"))
-    before = below.alias("l").join(F.broadcast(below.alias("r")), F.col("r._block") < F.col("l._block"), "left").groupBy("l._block").agg(F.coalesce(F.sum("r._neg"), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("_block").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = blocks.withColumn("_inside", inside).join(F.broadcast(before), "_block")
-    wins = F.sum(F.col("pos") * (F.col("_before") + F.col("_inside") + F.col("neg") / 2.0))
-    return ranked.agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
+    values = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg")).withColumnRenamed(score, "value")
+
+    def running(batches):
+        """Sums over the sorted values of one partition: positives, negatives, and pairs that positives win, ties at half."""
+        pos = neg = wins = 0
+        for batch in batches:
+            p, n = batch.column(0).to_numpy().astype(object), batch.column(1).to_numpy().astype(object)
+            below = neg + np.cumsum(n) - n
+            wins += int((p * (2 * below + n)).sum())
+            pos, neg = pos + int(p.sum()), neg + int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pos], pa.int64()), pa.array([neg], pa.int64()), pa.array([str(wins)])], names=["part", "pos", "neg", "wins"])
+
+    laid = values.repartitionByRange("value").sortWithinPartitions("value").select("pos", "neg")
+    blocks = sorted(laid.mapInArrow(running, "part int, pos long, neg long, wins string").collect())
+    pos = neg = wins = 0
+    for block in blocks:
+        wins += int(block.wins) + 2 * neg * block.pos
+        pos, neg = pos + block.pos, neg + block.neg
+    return rows.sparkSession.createDataFrame([(wins / (2 * pos * neg) if pos and neg else None,)], "auroc double")
 
 
 def confusion(rows: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
@@ -147,10 +163,31 @@ def ordinal_report(rows: DataFrame) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, seconds: str, keys: list[str] | None = None) -> DataFrame:
-    """median (interpolated) and p95 (nearest rank) in milliseconds, and rows for each second of work."""
-    return rows.groupBy(*(keys or [])).agg(
-        F.count(seconds).alias("count"),
-        (F.expr(f"percentile({seconds}, 0.5)") * 1000).alias("median_ms"),
-        (F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {seconds})") * 1000).alias("p95_ms"),
-        (F.count(seconds) / F.sum(seconds)).alias("per_second"),
-    )
+    """median (interpolated) and p95 (nearest rank) in milliseconds, and rows for each second of work.
+
+    Times are ranked once in a global order, so no group of any size meets in one task; the three places that count are picked from the ranks.
+    """
+    keys = keys or []
+    times = rows.select(*keys, F.col(seconds).cast("double").alias("_s"))
+    totals = times.groupBy(*keys).agg(F.count("_s").alias("count"), F.sum("_s").alias("_sum"))
+    ranked = ordinals(times.where("_s is not null"), [*keys, "_s"], "_at")
+    first = ranked.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
+    plan = totals.join(first.select(*(F.col(k).alias(f"_{k}") for k in keys), "_first"), same).drop(*(f"_{k}" for k in keys)) if keys else totals.crossJoin(first)
+    half = (F.col("count") - 1) / 2
+    wanted = {"low": F.floor(half), "high": F.ceil(half), "p95": F.ceil(F.col("count") * 0.95) - 1}
+    places = plan.select(*(F.col(k).alias(f"_{k}") for k in keys), F.explode(F.array(*((F.col("_first") + w).cast("long") for w in wanted.values()))).alias("_at")).select("_at").distinct()
+    picked = ranked.join(places, "_at").select(F.col("_at").alias("_rank"), "_s")
+    out = plan
+    for name, w in wanted.items():
+        out = out.join(picked.select(F.col("_rank").alias(f"_r_{name}"), F.col("_s").alias(f"_{name}")), (F.col("_first") + w).cast("long") == F.col(f"_r_{name}"), "left")
+    return out.select(*keys, "count", ((F.col("_low") + (F.col("_high") - F.col("_low")) * (half - F.floor(half))) * 1000).alias("median_ms"), (F.col("_p95") * 1000).alias("p95_ms"), (F.col("count") / F.col("_sum")).alias("per_second"))
+
+
+def require_finite(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows, failing the job at the first whose metric (such as a loss or a gradient's norm) isn't a finite number; null passes."""
+    for name in columns:
+        value = F.col(name)
+        bad = F.isnan(value) | (F.abs(value) == float("inf"))
+        rows = rows.withColumn(name, F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(f"{name} isn't finite")).cast("double")).otherwise(value))
+    return rows

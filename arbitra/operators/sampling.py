@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +15,16 @@ from arbitra.sources.shared import materialise
 def hash_sample(rows: DataFrame, groups: list[str], limit: Column | int, seed: int = 42, id_column: str = "id") -> DataFrame:
     """The ``limit`` rows of lowest seeded hash in each group, one for each id; adds ``prio`` and ``place``.
 
-    The rank filter becomes a group limit below the shuffle, so a group of any size sends at most ``limit`` rows from each task.
+    Only groups and ids are ranked, and the rank filter becomes a group limit below the shuffle, so a group of any size sends at most ``limit`` keys from each task.
+    Whole rows meet the picked keys once, by a broadcast where these are few.
     """
-    ranked = rows.dropDuplicates([*groups, id_column]).withColumn("prio", seeded_hash(seed, F.col(id_column)))
+    keys = [*groups, id_column]
+    ranked = rows.select(*keys).distinct().withColumn("prio", seeded_hash(seed, F.col(id_column)))
     order = Window.partitionBy(*groups).orderBy("prio", id_column)
-    return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    picked = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    named = picked.select(*(F.col(k).alias(f"_{k}") for k in keys), "prio", "place")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return rows.join(named, same).drop(*(f"_{k}" for k in keys)).dropDuplicates(keys)
 
 
 def stratified_sample(rows: DataFrame, per_source: int, seed: int = 42, id_column: str = "id") -> DataFrame:
@@ -39,12 +47,20 @@ def chunk(ordinal: Column, size: int) -> Column:
 
 
 def ordinals(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """A gapless ordinal from 0 in global order, by range partitions and their sizes instead of one task for all rows."""
-    laid = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.alias("l").join(F.broadcast(sizes.alias("r")), F.col("r._part") < F.col("l._part"), "left").groupBy("l._part").agg(F.coalesce(F.sum("r._n"), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return laid.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_part", "_inside", "_before")
+    """Adds the place of each row (from 0) in a global order: range-partitioned rows are numbered where they lie, after the rows of the partitions before.
+
+    A row's number within its partition is what follows the partition's in ``monotonically_increasing_id``. What travels besides are the partitions' sizes.
+    """
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = materialise(laid.withColumn("_mid", F.monotonically_increasing_id()))
+    part = F.shiftright("_mid", 33)
+    sizes = sorted((r.part, r.n) for r in laid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = dict(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
+    if not before:
+        return laid.drop("_mid").withColumn(name, F.lit(0).cast("long"))
+    # one entry a partition, looked up by its number
+    starts = F.array(*(F.lit(before.get(p, 0)).cast("long") for p in range(max(before) + 1)))
+    return laid.withColumn(name, F.get(starts, part.cast("int")) + F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid")
 
 
 def length_extremes(rows: DataFrame, count_column: str, length_column: str, order: list[str]) -> DataFrame:

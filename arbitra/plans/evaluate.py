@@ -15,6 +15,7 @@ from arbitra.functions.probability import hash_logits, softmax
 from arbitra.operators import calibration, metrics, sampling, validate
 from arbitra.schema import ENCODED
 from arbitra.sources import files
+from arbitra.sources.shared import Store, materialise
 
 SETS = [[], ["source"], ["kind"], ["source", "task"]]
 
@@ -74,31 +75,55 @@ def evaluate(spark: SparkSession, path: str, temperature: float, output: str, sc
     return result
 
 
+def predictions(sample: DataFrame, scorer: Callable[[DataFrame], DataFrame], clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """``sample`` with probabilities and seconds, the mean time that scoring one of its rows took; written to the shared folder, so it is scored once."""
+    start = clock()
+    rows = materialise(scorer(sample).withColumn("probabilities", softmax(F.col("logits"))))
+    spent = clock() - start
+    return rows.withColumn("seconds", F.lit(spent / max(rows.count(), 1)))
+
+
+def altered(sample: DataFrame) -> dict:
+    """How many rows a model would have to cut, overall and by source."""
+    by_source = {r.source: r.n for r in sample.groupBy("source").agg(F.count_if("clipped").alias("n")).collect()}
+    return {"overall": sum(by_source.values()), "by_source": by_source}
+
+
 def compare(spark: SparkSession, path: str, models: dict[str, Callable[[DataFrame], DataFrame]], output: str, per_source: int = 0, seed: int = 42, clipped: Callable[[DataFrame], DataFrame] | None = None) -> dict:
-    """Two or more models on the same stratified sample: logs of predictions, metrics of all and of rows that none would cut, paired correctness, drift."""
-    sample = sampling.stratified_sample(load(spark, path), per_source, seed).persist()
-    if clipped is None:
-        sample = sample.withColumn("clipped", F.lit(False))
-    else:
-        sample = clipped(sample)
-    result: dict = {"rows": sample.count(), "models": {}}
+    """Two or more models on the same stratified sample: logs of predictions, metrics of all and of rows that none would cut, paired correctness, drift.
+
+    Logs hold index (the row's place in the sample's order), id, probabilities and seconds.
+    """
+    sample = sampling.ordinals(sampling.stratified_sample(load(spark, path), per_source, seed), ["shuffle_key", "id"], "index")
+    sample = materialise(clipped(sample) if clipped else sample.withColumn("clipped", F.lit(False)))
+    result: dict = {"rows": sample.count(), "altered": altered(sample), "models": {}}
     tables = {}
     for name, scorer in models.items():
-        rows = scorer(sample).withColumn("probabilities", softmax(F.col("logits"))).persist()
+        rows = predictions(sample, scorer)
         tables[name] = rows
-        rows.select("id", "probabilities").write.mode("errorifexists").json(f"{output}/predictions-{name}")
+        rows.select("index", "id", "probabilities", "seconds").write.mode("errorifexists").json(f"{output}/predictions-{name}")
         kept = rows.where("NOT clipped")
         subset = metrics.metrics(kept).first().asDict() if not kept.isEmpty() else None
         result["models"][name] = report_document(metrics.report(rows, [[], ["source"], ["kind"]])) | {"shared_untruncated": subset}
     (first, a), *others = tables.items()
     for name, b in others:
         scored = [metrics.row_scores(t).select("id", (F.col("correct") > 0).alias(f"correct_{k}"), F.col("probabilities").alias(f"p_{k}")) for t, k in ((a, "a"), (b, "b"))]
-        pairs = metrics.pair_strictly(*scored, "id").persist()
+        pairs = materialise(metrics.pair_strictly(*scored, "id"))
         result[f"{first}:{name}"] = {"paired": metrics.paired_correctness(pairs).first().asDict(), "delta": metrics.probability_delta(pairs, "p_a", "p_b").first().asDict()}
-    files.write_json(f"{output}/report.json", result)
+    Store(spark).write_json(f"{output}/report.json", result)
     return result
 
 
+def workload(spark: SparkSession, path: str, decisions_per_request: int = 1, limit: int = 0) -> DataFrame:
+    """request, decisions: the first ``limit`` rows (0: all) of a labelled file in their order by id, dealt into requests of so many decisions each."""
+    if decisions_per_request < 1 or limit < 0:
+        raise ValueError("counts must be positive")
+    rows = sampling.ordinals(load(spark, path).select("id", "state", "instructions", "candidates", "kind"), ["id"])
+    rows = rows.where(F.col("ordinal") < limit) if limit else rows
+    decision = F.struct("ordinal", "id", "state", "instructions", "candidates", "kind")
+    return rows.groupBy(sampling.chunk(F.col("ordinal"), decisions_per_request).alias("request")).agg(F.sort_array(F.collect_list(decision)).alias("decisions"))
+
+
 def benchmark(run: Callable[[], None], requests: int, decisions: int, warmups: int = 1, repeats: int = 3, clock: Callable[[], float] = time.perf_counter) -> dict:
     """Times ``run`` after warm-ups; latency and throughput of the measured passes."""
     if requests < 1 or decisions < 1 or warmups < 0 or repeats < 1:

@@ -338,6 +338,23 @@ def q_capped_first_wins(spark, d):
     return dedup.capped_first_wins(rows, 1)
 
 
+#: A cap that binds on the smallest tables.
+TASK_CAP = 5
+
+
+@query(f"""WITH RECURSIVE {D.SPLIT_ROWS}, o AS (SELECT id AS row_key, content_key, source || chr(31) || task AS task, length(text) > 3000 AS overlength,
+  row_number() OVER (ORDER BY substr(source, 4)::INT, prio, id) AS i FROM r),
+ w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen, []::VARCHAR[] AS used, '' AS row_key, '' AS disposition
+  UNION ALL SELECT i, CASE WHEN d = 'written' THEN list_append(seen, content_key) ELSE seen END, CASE WHEN d = 'written' THEN list_append(used, task) ELSE used END, row_key, d
+  FROM (SELECT o.*, w.seen, w.used, CASE WHEN list_contains(w.seen, o.content_key) THEN 'duplicate_content' WHEN len(list_filter(w.used, lambda t: t = o.task)) >= {TASK_CAP} THEN 'task_cap' WHEN o.overlength THEN 'overlength' ELSE 'written' END AS d
+   FROM w JOIN o ON o.i = w.i + 1))
+ SELECT row_key, disposition FROM w WHERE i > 0""")
+def q_capped_documents(spark, d):
+    """Contents and caps that depend on one another, over all documents."""
+    rows = D.split_rows(spark, d).select(F.col("id").alias("row_key"), "content_key", "source", "task", F.expr("cast(substr(source, 4) as int)").alias("src_ord"), X.seeded_hash(42, F.col("id")).alias("prio"), F.lit(True).alias("aggregate"), (F.length("text") > 3000).alias("overlength"))
+    return dedup.capped_first_wins(rows, TASK_CAP)
+
+
 # --- probabilities, answers
 
 

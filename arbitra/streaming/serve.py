@@ -3,31 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitra.functions.probability import hash_logits, softmax
 from arbitra.operators.requests import answer, explode_requests
+from arbitra.operators.sampling import ordinals
+from arbitra.sources.shared import materialise
 
-FULL, LATE, INVALID, OK = "queue is full", "queue wait expired", "invalid request", None
+FULL, LATE, INVALID, FAILED = "queue is full", "queue wait expired", "invalid request", "scoring failed"
 
 
 def admit(batch: DataFrame, capacity: int, timeout_ms: int, now: Column, order: tuple[str, ...] = ("arrived", "request_id")) -> DataFrame:
-    """Adds status 503 and detail to what can't be served: beyond ``capacity`` waiting requests, or past its deadline when work starts.
+    """Adds status 503 and detail to what can't be served: beyond ``capacity`` waiting requests, or past its deadline when work starts. ``place`` is the order of arrival.
 
-    A micro-batch is the queue, bounded at its source (maxFilesPerTrigger, maxOffsetsPerTrigger); the count is over one batch only.
+    A micro-batch is the queue, bounded at its source (maxFilesPerTrigger, maxOffsetsPerTrigger). Places come from ranges of the order, so
+    even an unbounded batch never meets in one task.
     """
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
     late = F.unix_millis(now) - F.unix_millis("arrived") >= timeout_ms
-    ranked = batch.withColumn("_place", place).withColumn("_late", late)
-    return ranked.withColumn("status", F.when(F.col("_place") > capacity, 503).when(F.col("_late"), 503)).withColumn("detail", F.when(F.col("_place") > capacity, FULL).when(F.col("_late"), LATE)).drop("_place", "_late")
+    ranked = ordinals(batch, list(order), "place").withColumn("_late", late)
+    full = F.col("place") >= capacity
+    return ranked.withColumn("status", F.when(full | F.col("_late"), 503)).withColumn("detail", F.when(full, FULL).when(F.col("_late"), LATE)).drop("_late")
 
 
 def batch_numbers(batch: DataFrame, most: int, order: tuple[str, ...] = ("arrived", "request_id")) -> DataFrame:
     """Adds batch_no: up to ``most`` requests each, in order of arrival."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-    return batch.withColumn("batch_no", F.floor((place - 1) / most).cast("int"))
+    return ordinals(batch, list(order), "_place").withColumn("batch_no", F.floor(F.col("_place") / most).cast("int")).drop("_place")
 
 
 def hash_scorer(rows: DataFrame) -> DataFrame:
@@ -48,19 +51,42 @@ def respond(batch: DataFrame, scorer: Callable[[DataFrame], DataFrame] = hash_sc
     return good.unionByName(refused.select("request_id", F.lit(422).alias("status"), F.lit(INVALID).alias("detail"), F.lit(None).cast("map<string,string>").alias("answers")))
 
 
-def serve(requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, capacity: int = 1024, timeout_ms: int = 30_000, scorer=hash_scorer, temperature: float = 1.0, trigger: dict | None = None):
+def check_options(capacity: int, timeout_ms: float, most: int) -> None:
+    """Queue and batch options must be positive whole numbers, the timeout a finite number above zero."""
+    for name, value in (("capacity", capacity), ("most", most)):
+        if isinstance(value, bool) or not isinstance(value, int) or value < 1:
+            raise ValueError(f"{name} must be a positive whole number")
+    if isinstance(timeout_ms, bool) or not isinstance(timeout_ms, (int, float)) or not 0 < timeout_ms < float("inf"):
+        raise ValueError("timeout_ms must be a finite number above zero")
+
+
+def work_off(admitted: DataFrame, most: int, scorer: Callable[[DataFrame], DataFrame], temperature: float = 1.0) -> DataFrame:
+    """respond() in batches of up to ``most`` requests, in order of arrival. A scorer that fails costs the requests of its batch (500) and no other.
+
+    Batches are scored one after the other, as a scorer's memory bounds them; their number is bounded by the queue's capacity.
+    """
+    numbered = materialise(batch_numbers(admitted, most))
+    parts = []
+    for (number,) in sorted(numbered.select("batch_no").distinct().collect()):
+        own = numbered.where(F.col("batch_no") == number)
+        try:
+            parts.append(materialise(respond(own, scorer, temperature)))
+        except Exception as error:  # noqa: BLE001
+            parts.append(own.select("request_id", F.lit(500).alias("status"), F.lit(f"{FAILED}: {type(error).__name__}").alias("detail"), F.lit(None).cast("map<string,string>").alias("answers")))
+    return reduce(DataFrame.unionByName, parts) if parts else respond(admitted, scorer, temperature)
+
+
+def serve(requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, capacity: int = 1024, timeout_ms: int = 30_000, scorer=hash_scorer, temperature: float = 1.0, trigger: dict | None = None, most: int = 64):
     """A running query over a stream of (request_id, body, arrived): every micro-batch is admitted, scored and handed to ``sink``.
 
     trigger: {"availableNow": True} drains and stops; {"processingTime": "100 milliseconds"} waits that long for a batch to fill.
     """
+    check_options(capacity, timeout_ms, most)
 
     def work(batch: DataFrame, number: int) -> None:
-        admitted = admit(batch, capacity, timeout_ms, F.current_timestamp()).persist()
-        try:
-            turned_away = admitted.where("status is not null").select("request_id", "status", "detail", F.lit(None).cast("map<string,string>").alias("answers"))
-            sink(respond(admitted.where("status is null"), scorer, temperature).unionByName(turned_away), number)
-        finally:
-            admitted.unpersist()
+        admitted = materialise(admit(batch, capacity, timeout_ms, F.current_timestamp()))
+        turned_away = admitted.where("status is not null").select("request_id", "status", "detail", F.lit(None).cast("map<string,string>").alias("answers"))
+        sink(work_off(admitted.where("status is null").drop("place", "status", "detail"), most, scorer, temperature).unionByName(turned_away), number)
 
     return requests.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -362,6 +362,35 @@ def test_stream_of_requests(spark, tmp_path):
     assert [r.batch_no for r in numbers.orderBy("request_id").collect()] == [0, 0, 1, 1, 2]
 
 
+def test_scorer_failure_costs_one_batch(spark):
+    body = '{"state": "x", "questions": {"q": {"type": "noul", "instructions": "?"}}}'
+    batch = spark.createDataFrame([(i, body) for i in range(6)], "request_id int, body string").withColumn("arrived", F.timestamp_millis(F.col("request_id")))
+
+    def scorer(rows):
+        broken = F.when(F.col("request_id") == 3, F.raise_error(F.lit("out of memory")).cast("array<double>")).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+        return rows.withColumn("logits", broken)
+
+    status = {r.request_id: r.status for r in serve.work_off(batch, 2, scorer).collect()}
+    assert status == {0: 200, 1: 200, 2: 500, 3: 500, 4: 200, 5: 200}
+    for bad in ({"capacity": 0}, {"most": True}, {"timeout_ms": float("nan")}):
+        with pytest.raises(ValueError):
+            serve.check_options(**({"capacity": 1, "timeout_ms": 1, "most": 1} | bad))
+
+
+def test_latency_ranks(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([rng.random(), 0.5, None])) for k in ["a"] * 41 + ["b"] * 20 + [None] * 3 + ["c"]]
+    found = {r.k: r for r in metrics.latency_summary(spark.createDataFrame(rows, "k string, s double").repartition(5), "s", ["k"]).collect()}
+    for key in {k for k, _ in rows}:
+        own = sorted(s for k, s in rows if k == key and s is not None)
+        assert found[key]["count"] == len(own)
+        if own:
+            middle = (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2
+            assert abs(found[key].median_ms - 1000 * middle) < 1e-9 and found[key].p95_ms == 1000 * own[math.ceil(0.95 * len(own)) - 1]
+    with pytest.raises(Exception, match="loss isn't finite"):
+        metrics.require_finite(spark.createDataFrame([(1.0,), (float("nan"),)], "loss double"), "loss").collect()
+
+
 def test_sweep_grid(spark):
     assert compare.sweep_grid(spark).count() == 13
     full = compare.sweep_grid(spark, compiled=True, flash=True)

@@ -53,6 +53,27 @@ def test_compare(spark, data):
     assert report["models"]["a"]["shared_untruncated"]["count"] < 20
     logged = spark.read.json(str(data / "out/predictions-a"))
     assert logged.count() == 20 and {tuple(p.probabilities) for p in logged.limit(3).collect()}
+    assert sorted(r["index"] for r in logged.collect()) == list(range(20)) and all(r.seconds > 0 for r in logged.collect())
+    clipped = sum(report["altered"]["by_source"].values())
+    assert report["altered"]["overall"] == clipped == 20 - report["models"]["a"]["shared_untruncated"]["count"]
+
+
+def test_workload_keeps_order(spark, data):
+    requests = {r.request: [x.id for x in r.decisions] for r in ev.workload(spark, str(data / "test.jsonl"), 4, 10).collect()}
+    assert [x for k in sorted(requests) for x in requests[k]] == sorted(f"r{i}" for i in range(30))[:10] and [len(requests[k]) for k in sorted(requests)] == [4, 4, 2]
+
+
+def test_more_verbs(spark, data, capsys):
+    cli.main(["compare", "--data", str(data / "test.jsonl"), "--output", str(data / "cmp"), "--per-source", "5"])
+    assert json.loads(capsys.readouterr().out)["rows"] == 10
+    cli.main(["benchmark", "--data", str(data / "test.jsonl"), "--decisions-per-request", "4", "--repeats", "1"])
+    assert json.loads(capsys.readouterr().out)["requests"] == 8
+    (data / "in").mkdir()
+    bodies = ['{"state": "x", "questions": {"q": {"type": "noul", "instructions": "?"}}}', "bad"]
+    (data / "in/a.json").write_text("".join(json.dumps({"request_id": str(i), "body": b}) + "\n" for i, b in enumerate(bodies)))
+    cli.main(["serve", "--input", str(data / "in"), "--output", str(data / "answers"), "--checkpoint", str(data / "state")])
+    assert json.loads(capsys.readouterr().out)["batches"] == 1
+    assert sorted((r.request_id, r.status) for r in spark.read.json(str(data / "answers")).collect()) == [("0", 200), ("1", 422)]
 
 
 def test_benchmark_clock():

@@ -342,7 +342,7 @@ def q_capped_first_wins(spark, d):
 TASK_CAP = 5
 
 
-@query(f"""WITH RECURSIVE {D.SPLIT_ROWS}, o AS (SELECT id AS row_key, content_key, source || chr(31) || task AS task, length(text) > 3000 AS overlength,
+@query(f"""WITH RECURSIVE {D.SPLIT_ROWS}, o AS MATERIALIZED (SELECT id AS row_key, content_key, source || chr(31) || task AS task, length(text) > 3000 AS overlength,
   row_number() OVER (ORDER BY substr(source, 4)::INT, prio, id) AS i FROM r),
  w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen, []::VARCHAR[] AS used, '' AS row_key, '' AS disposition
   UNION ALL SELECT i, CASE WHEN d = 'written' THEN list_append(seen, content_key) ELSE seen END, CASE WHEN d = 'written' THEN list_append(used, task) ELSE used END, row_key, d

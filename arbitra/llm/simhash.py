@@ -219,6 +219,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components aren't settled after {rounds} rounds")
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, lm, media, mtree, packing, pii, quality, simhash, urlfilter
+from . import audit, bytebpe, chat, lm, media, mtree, packing, pii, quality, simhash, urlfilter
 from .common import read
 
 
@@ -67,6 +67,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip_digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 _CHAT_SQL = r"""
@@ -107,4 +112,5 @@ ORACLES: dict[str, str] = {
     "op7_exact_top_k": _TOP_K_SQL,
     "op6_url_filters": urlfilter.ORACLE,
     "op8_chat_formatting": _CHAT_SQL,
+    "op11_filter_audit": audit.ORACLE,
 }

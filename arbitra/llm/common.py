@@ -38,6 +38,11 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this session, which all executors share."""
+    return ready(spark).sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so lost executors never recompute what lies before."""
     ready(df.sparkSession)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bytebpe, chat, lm, media, mtree, packing, pii, quality, simhash, urlfilter
-from .common import read
+from . import audit, bytebpe, chat, lm, media, mtree, packing, pii, quality, simhash, urlfilter, wavelet
+from .common import read, shared_folder
 
 
 def vocabulary(name: str) -> str:
@@ -71,6 +72,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    manifest = wavelet.write_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder)
+    return wavelet.read_documents(manifest, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_filter_audit": op11_filter_audit,
+    "op12_token_shards": op12_token_shards,
 }
 
 _CHAT_SQL = r"""

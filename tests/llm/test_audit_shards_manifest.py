@@ -1,11 +1,20 @@
 """Filter audit, token shards and the Merkle manifest."""
 
+import bisect
+import io
 import itertools
 import re
+import struct
+import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from arbitra.llm import audit, queries
+from arbitra.llm import audit, queries, wavelet
 from tests.conftest import SMALL
 
 # --- filter audit
@@ -64,3 +73,84 @@ def test_audit_of_many_copies(spark):
 def test_survivors_are_counts_outside_the_subset():
     counts = np.random.default_rng(0).integers(0, 9, (2, 32))
     assert audit.survivors(counts).tolist() == [[sum(int(c) for mask, c in enumerate(row) if not mask & subset) for subset in range(32)] for row in counts]
+
+
+# --- token shards
+
+
+def plain_documents(docs):
+    """DOCUMENTS by one tokenizer call after the other."""
+    tokenizer = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    out, start = [], 0
+    for r in sorted(docs, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+        out.append((r.doc_id, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    return out
+
+
+def test_shards_of_a_whole_table(spark):
+    got = queries.op12_token_shards(spark, SMALL).collect()
+    assert sorted(map(tuple, got)) == plain_documents(spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+
+
+def test_shards_of_odd_rows(spark, odd, empty, tmp_path):
+    manifest = wavelet.write_documents(odd, queries.vocabulary("byte_bpe_50k.json"), f"file:{tmp_path}/odd", shard_tokens=40)
+    got = sorted(map(tuple, wavelet.read_documents(manifest, f"file:{tmp_path}/odd").collect()), key=lambda r: r[1])
+    plain = plain_documents(odd.collect())
+    # rows of one doc_id come in the order of a hash
+    assert sorted((r[0] or -1, *r[2:]) for r in got) == sorted((r[0] or -1, *r[2:]) for r in plain)
+    assert [r[0] for r in got] == [r[0] for r in plain] and [r[1] for r in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+    assert manifest.count() >= 3 and not [p for p in (tmp_path / "odd").iterdir() if p.name.startswith(".") and p.name != ".crc"]
+    none = wavelet.write_documents(empty, queries.vocabulary("byte_bpe_50k.json"), f"{tmp_path}/empty")
+    assert none.collect() == [] == wavelet.read_documents(none, f"{tmp_path}/empty").collect() and wavelet.find_token(none, f"{tmp_path}/empty", 0).collect() == []
+
+
+def test_tokens_are_counted_and_found(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    folder = f"{tmp_path}/tokens"
+    manifest = wavelet.write_documents(docs, queries.vocabulary("byte_bpe_50k.json"), folder, shard_tokens=5000)
+    tokenizer = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    ids, begin, owner = [], [], []
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        begin.append(len(ids))
+        ids += [*tokenizer.encode(r.text, add_special_tokens=False).ids, 0]
+        owner += [r.doc_id] * (len(ids) - begin[-1])
+    counts = Counter(ids)
+    wanted = [0, 11, 13, 262, counts.most_common()[-1][0], 50256, 70000, -1]
+    assert {r.token: r.n for r in wavelet.count_tokens(manifest, folder, wanted).collect()} == {t: counts[t] for t in wanted}
+    for token in (0, counts.most_common()[-1][0], 70000):
+        places = [i for i, t in enumerate(ids) if t == token]
+        assert sorted(map(tuple, wavelet.find_token(manifest, folder, token).collect()), key=lambda r: r[2]) == [(owner[i], i - begin[bisect.bisect(begin, i) - 1], i) for i in places]
+
+
+@given(st.lists(st.integers(0, 9) | st.integers(0, 70_000), max_size=300), st.integers(0, 12))
+@settings(max_examples=60, deadline=None)
+def test_wavelet_matrix_against_a_list(ids, token):
+    file = io.BytesIO()
+    assert wavelet.write_shard(file, np.array(ids, np.uint32), [None, 4], [0, len(ids)]) == len(file.getvalue())
+    shard = wavelet.Shard(file)
+    places = [i for i, t in enumerate(ids) if t == token]
+    assert shard.ids().tolist() == ids == [shard.access(i) for i in range(len(ids))]
+    assert [shard.rank(token, i) for i in range(len(ids) + 1)] == [ids[:i].count(token) for i in range(len(ids) + 1)]
+    assert shard.occurrences(token).tolist() == places == [shard.select(token, k) for k in range(shard.count(token))]
+    for wrong in (lambda: shard.access(len(ids)), lambda: shard.access(-1), lambda: shard.select(token, len(places)), lambda: shard.select(token, -1)):
+        with pytest.raises(IndexError):
+            wrong()
+
+
+def test_wavelet_blocks_and_broken_files():
+    ids = np.random.default_rng(3).integers(0, 50_257, 200_000).astype(np.uint16)
+    ids[::3] = 7
+    file = io.BytesIO()
+    wavelet.write_shard(file, ids, [1], [len(ids)])
+    shard = wavelet.Shard(file)
+    at = np.flatnonzero(ids == 7)
+    assert (shard.ids() == ids).all() and (shard.occurrences(7) == at).all()
+    for k in (0, 1, 21_845, 65_535, len(at) - 1):
+        assert shard.select(7, k) == at[k] and shard.access(int(at[k])) == 7 and shard.rank(7, int(at[k])) == k
+    for i in (0, 65_535, 65_536, 199_999):
+        assert shard.access(i) == ids[i]
+    for data in (b"", b"x" * 40, file.getvalue()[:-9], file.getvalue()[8:]):
+        with pytest.raises(ValueError):
+            wavelet.Shard(io.BytesIO(data))

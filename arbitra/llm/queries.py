@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bytebpe, chat, lm, media, mtree, packing, pii, quality, simhash, urlfilter, wavelet
+from . import audit, bytebpe, chat, lm, media, merkle, mtree, packing, pii, quality, simhash, urlfilter, wavelet
 from .common import read, shared_folder
 
 
@@ -78,6 +78,16 @@ def op12_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(manifest, folder)
 
 
+#: What a leaf of the manifest covers.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claims = [F.when(tampered, F.col(c) + 1).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in LEAF]
+    return merkle.prove(merkle.leaves_of(read(spark, sf_dir, "documents"), LEAF, claims=claims))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -91,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_filter_audit": op11_filter_audit,
     "op12_token_shards": op12_token_shards,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _CHAT_SQL = r"""

@@ -1,6 +1,7 @@
 """Filter audit, token shards and the Merkle manifest."""
 
 import bisect
+import hashlib
 import io
 import itertools
 import re
@@ -12,9 +13,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from arbitra.llm import audit, queries, wavelet
+from arbitra.llm import audit, merkle, queries, wavelet
 from tests.conftest import SMALL
 
 # --- filter audit
@@ -154,3 +156,87 @@ def test_wavelet_blocks_and_broken_files():
     for data in (b"", b"x" * 40, file.getvalue()[:-9], file.getvalue()[8:]):
         with pytest.raises(ValueError):
             wavelet.Shard(io.BytesIO(data))
+
+
+# --- Merkle manifest
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def plain_levels(leaves, fanout=2):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][i : i + fanout]) for i in range(0, len(levels[-1]), fanout)])
+    return levels
+
+
+def plain_path(levels, place, fanout=2):
+    out = []
+    for level in levels[:-1]:
+        first = place // fanout * fanout
+        run = level[first : first + fanout]
+        out.append(("".join(run[: place - first]), "".join(run[place - first + 1 :])))
+        place //= fanout
+    return out
+
+
+def plain_proofs(docs, fanout=2):
+    """PROOFS by the definition, whole trees at once."""
+    said = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf_of = lambda r, more=0: h(*map(said, (r.doc_id, r.source, r.lang, None if r.n_chars is None else r.n_chars + more, r.text)))
+    parts = {}
+    for r in docs:
+        tampered = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 0
+        parts.setdefault((r.lang is not None, (r.lang or "").encode()), []).append((r.doc_id is not None, r.doc_id or 0, leaf_of(r), leaf_of(r, 1) if tampered else leaf_of(r)))
+    trees = {p: plain_levels([r[2] for r in sorted(rows)], fanout) for p, rows in parts.items()}
+    top = plain_levels([trees[p][-1][0] for p in sorted(trees)], fanout) if trees else []
+    out = []
+    for at, p in enumerate(sorted(trees)):
+        for i, (known, doc_id, leaf, claimed) in enumerate(sorted(parts[p])):
+            path = plain_path(trees[p], i, fanout) + plain_path(top, at, fanout)
+            folded = claimed
+            for before, after in path:
+                folded = h(before, folded, after)
+            out.append((doc_id if known else None, leaf, trees[p][-1][0], top[-1][0], h(*(a + b for a, b in path)), folded, folded == top[-1][0]))
+    return out
+
+
+def in_order(rows):
+    return sorted(map(tuple, rows), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+
+
+def test_manifest_of_a_whole_table(spark):
+    got = queries.op13_merkle_manifest(spark, SMALL).collect()
+    assert in_order(got) == in_order(plain_proofs(spark.read.parquet(f"{SMALL}/documents.parquet").collect()))
+    assert 0 < sum(not r.verified for r in got) < len(got) / 3
+
+
+def claimed(docs):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.leaves_of(docs, queries.LEAF, claims=[F.when(tampered, F.col(c) + 1).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in queries.LEAF])
+
+
+def test_manifest_of_odd_rows(spark, odd, empty):
+    assert in_order(merkle.prove(claimed(odd)).collect()) == in_order(plain_proofs(odd.collect()))
+    assert merkle.prove(claimed(empty)).collect() == []
+    one = odd.where("doc_id = 3")
+    assert in_order(merkle.prove(claimed(one)).collect()) == in_order(plain_proofs(one.collect()))
+
+
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_manifest_over_many_ranges(spark, fanout, monkeypatch):
+    """Parts that begin and end within ranges, go over many, fill one; repeated rows; a part of one row; merging in several rounds."""
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 40)
+    monkeypatch.setattr(merkle, "SPAN", 2)
+    docs = spark.range(1500).selectExpr(
+        "if(id % 11 = 0, null, id % 700) as doc_id", "concat('t', id % 5) as text", "case when id < 900 then 'en' when id = 900 then 'ü' when id < 1000 then null when id < 1100 then '' else concat('p', id % 150) end as lang", "'s' as source",
+        "if(id % 3 = 0, null, id) as n_chars", "id as part", "id as range", "id as place", "id as at", "id as leaf",
+    )
+    assert in_order(merkle.prove(claimed(docs), fanout).collect()) == in_order(plain_proofs(docs.collect(), fanout))
+    tree = merkle.Tree(claimed(docs), ["doc_id", "leaf"], fanout)
+    found = {r.part: r for r in merkle.manifest(tree).collect()}
+    rows = docs.collect()
+    assert {p: r.leaves for p, r in found.items()} == Counter(r.lang for r in rows) and len({r.root for r in found.values()}) == 1
+    assert {r.subroot for r in found.values()} == {r[2] for r in plain_proofs(rows, fanout)}

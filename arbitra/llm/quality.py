@@ -175,7 +175,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, la
     """Fits on up to ``per_class`` documents of either label outside fold 0, those of smallest hash; None without both labels.
 
     Passages are encoded on the executors; the driver gets numbers of at most SAMPLE_PASSAGES passages. Classes
-    are weighted back to their shares among all labels outside fold 0, so scores are probabilities. Null labels are ignored; of several labels for a document the mean decides.
+    are weighted back to their shares among all labels outside fold 0, so scores are probabilities. Null labels are ignored; of several labels for a document the mean decides,
+    and of several texts the one of smallest hash is read.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
     known = known.withColumn("_h", F.xxhash64("doc_id"))
@@ -187,6 +188,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, la
         part = known.where(F.col("y") == y).orderBy("_h", "doc_id").limit(per_class).select("doc_id", "y")
         chosen = part if chosen is None else chosen.unionByName(part)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    # of rows that repeat a doc_id one text stands for all, so there are as many rows as chosen ids at most
+    sample = sample.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     ready(docs.sparkSession)
 
     def encode(batches):
@@ -199,7 +202,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, la
                     yield pa.RecordBatch.from_arrays([pa.array([ids[at]]), pa.array([ys[at]], pa.int32()), pa.array([size], pa.int32()), pa.array([x[begin : begin + size].astype("<f4").tobytes()], pa.binary())], names=["doc_id", "y", "size", "x"])
                     begin, at = begin + size, at + 1
 
-    # text repeats are one row; the running sum of passages, in hash order, bounds what is collected
+    # the running sum of passages, in hash order, bounds what is collected
     rows = cut(sample.select("doc_id", "y", "text").mapInArrow(trimmed(encode), "doc_id long, y int, size int, x binary"))
     order = sorted((r.doc_id, r.size) for r in rows.select("doc_id", "size").collect())
     kept, room = set(), SAMPLE_PASSAGES

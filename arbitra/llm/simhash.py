@@ -3,7 +3,7 @@
 Fingerprints are reduced to distinct ones before anything is compared, so a group of exact copies of any
 size costs one row. Two fingerprints within ``radius`` bits agree on all but ``radius`` of ``blocks``
 bit blocks, so each is sent to every choice of ``blocks - radius`` block values; a pair meets at least
-once, and what a key has left to vary is ``radius`` blocks of bits, which bounds its group whatever the input.
+once. What a key has left to vary is ``radius`` blocks of bits, and keys of more than GROUP codes are split by these, so a group is bounded whatever the input.
 Keys of one fingerprint never leave the JVM. Inside a group the index finds the pairs:
 
 * the codes are sorted by Gray rank, so neighbours share long bit patterns;
@@ -168,18 +168,40 @@ def fingerprint_rows(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED,
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
-def block_masks(blocks: int, radius: int) -> list[int]:
-    """A signed 64-bit mask for each choice of blocks that stay fixed."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    single = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(edges)]
+def block_masks(blocks: int, radius: int, bits: list[int] | None = None) -> list[int]:
+    """A signed 64-bit mask for each choice of blocks of ``bits`` (all 64) that stay fixed."""
+    bits = list(range(64)) if bits is None else bits
+    edges = [len(bits) * k // blocks for k in range(blocks + 1)]
+    single = [sum(1 << b for b in bits[a:z]) for a, z in itertools.pairwise(edges)]
     masks = [sum(chosen) for chosen in itertools.combinations(single, blocks - radius)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+#: Codes that one key may gather; a key of more is split by the bits that it leaves free.
+GROUP = 1 << 20
+
+
+def _keyed(codes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """key and fp: every code with each of its keys. Keys that more than GROUP codes share are split: codes within ``radius`` bits agree on all but ``radius`` blocks of the bits left free, too.
+
+    As no key holds more codes than there are, only tables of more are counted by key.
+    """
+    masks = block_masks(blocks, radius)
+    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))
+    keyed = codes.select("fp", F.explode(keys).alias("key"))
+    whole = keyed.select(F.struct("key.choice", "key.bits", F.lit(-1).alias("again"), F.lit(0).cast("long").alias("more")).alias("key"), "fp")
+    if codes.limit(GROUP + 1).count() <= GROUP:
+        return whole
+    large = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("key"))
+    free = F.array(*(F.array(*(F.lit(m) for m in block_masks(blocks, radius, [b for b in range(64) if not fixed >> b & 1]))) for fixed in masks))
+    narrow = F.transform(F.get(free, F.col("key.choice")), lambda m, i: F.struct("key.choice", "key.bits", i.alias("again"), F.col("fp").bitwiseAND(m).alias("more")))
+    split = by_ids(keyed, large, "key", "left_semi").select(F.explode(narrow).alias("key"), "fp")
+    return by_ids(whole.withColumn("_own", F.struct("key.choice", "key.bits")), large.withColumnRenamed("key", "_own"), "_own", "left_anti").select("key", "fp").unionByName(split)
+
+
 def links(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """a < b: links between the distinct ``fp`` that join all that is connected at ``radius`` bits."""
-    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(block_masks(blocks, radius))))
-    groups = codes.select("fp", F.explode(keys).alias("key")).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("codes")).where(F.size("codes") > 1).select("codes")
+    groups = _keyed(codes, radius, blocks).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("codes")).where(F.size("codes") > 1).select("codes")
 
     def run(batches):
         for batch in batches:
@@ -429,14 +451,15 @@ def keep_one(docs: DataFrame, n_common: int = COMMON, radius: int = COPY_RADIUS,
     another text are decided by their text; rows without doc_id can't be told apart and stay. Only ids and hashes travel to find
     what goes.
     """
-    own, text = F.col("doc_id").cast("long"), F.xxhash64(text_of())
-    gone = cut(near_copies(docs, n_common, radius, blocks).select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_hash")))
-    is_gone = (own == F.col("_gone")) & (text == F.col("_hash"))
-    kept = by_ids(docs, gone, is_gone, "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy(own.alias("_again"), text.alias("_hash")).count().where("count > 1").select("_again", "_hash")
-    repeated = cut(repeated.join(gone, (F.col("_again") == F.col("_gone")) & (repeated["_hash"] == gone["_hash"]), "left_anti"))
-    if repeated.isEmpty():
-        return kept
-    again = (own == F.col("_again")) & (text == F.col("_hash"))
-    once = by_ids(kept, repeated, again, "left_semi").dropDuplicates(["doc_id", "text"])
-    return by_ids(kept, repeated, again, "left_anti").unionByName(once)
+    # the row is one column, so no name of its can meet one of these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
+    gone = cut(near_copies(docs, n_common, radius, blocks).select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")))
+    is_gone = (F.col("id") == F.col("gone_id")) & (F.col("hash") == F.col("gone_hash"))
+    kept = by_ids(rows, gone, is_gone, "left_anti")
+    repeated = rows.where("id is not null").groupBy(F.col("id").alias("own_id"), F.col("hash").alias("own_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = cut(repeated.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left_anti"))
+    if not repeated.isEmpty():
+        again = (F.col("id") == F.col("own_id")) & (F.col("hash") == F.col("own_hash"))
+        once = by_ids(kept, repeated, again, "left_semi").dropDuplicates(["id", "text"])
+        kept = by_ids(kept, repeated, again, "left_anti").unionByName(once)
+    return kept.select("row.*")

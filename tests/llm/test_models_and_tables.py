@@ -54,6 +54,18 @@ def test_quality_gradients():
         assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-5
 
 
+def test_quality_sample_is_bounded_by_rows(spark, monkeypatch):
+    """One labelled id with any number of texts counts once; what is collected keeps the bound."""
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 60)
+    docs = spark.range(3100).selectExpr("if(id < 3000, 1, id) as doc_id", "concat('text number ', id) as text")
+    labels = spark.range(3100).selectExpr("if(id < 3000, 1, id) as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    seen = []
+    fit = quality.GatedAttention.fit
+    monkeypatch.setattr(quality.GatedAttention, "fit", classmethod(lambda cls, x, *rest: seen.append(len(x)) or fit(x, *rest)))
+    quality.fit_model(docs, labels)
+    assert 0 < seen[0] <= 60
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (7, 1, None), (8, None, 1), (None, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit_model(odd, labels)

@@ -1,6 +1,10 @@
 """Near copies by five-word shingles at a similarity of 0.8 against brute force over all pairs."""
 
-from collections import defaultdict
+import itertools
+from collections import Counter, defaultdict
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from arbitra.llm import simhash
 from tests.conftest import MEDIUM
@@ -85,3 +89,33 @@ def test_families_of_different_texts_stay_and_of_copies_go(spark):
     rows = family(0, 200) + family(1000, 300) + family(10_000, 5000) + copies
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), n_common=0)
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [*range(200), *range(1000, 1300), *range(10_000, 15_000), 50_000]
+
+
+CLASHING = ["_gone", "_hash", "_again", "_own", "id", "hash", "row", "gone_id", "gone_hash", "own_id", "own_hash", "n", "key", "a", "b", "rep", "bands", "words", "size", "node", "root", "count", "a.b"]
+
+
+def test_rows_of_any_names_stay_whole(spark, odd, empty):
+    for docs in (odd, empty):
+        wide = docs.select("*", *(F.monotonically_increasing_id().alias(c) for c in CLASHING))
+        kept = simhash.keep_one(wide)
+        assert kept.columns == wide.columns
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+
+
+def test_large_keys_are_split_and_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    # many codes share 40 bits, so they share keys; the others vary by up to five bits around some centres
+    centres = rng.integers(0, 1 << 24, 12, np.uint64)
+    codes = {int(c) ^ int(sum(1 << int(b) for b in rng.choice(24, rng.integers(0, 6), False))) | 5 << 50 for c in centres for _ in range(40)} | set(rng.integers(0, 1 << 63, 200, np.uint64).tolist())
+    frame = spark.createDataFrame([(c,) for c in codes], "fp long")
+    for radius in (2, 3):
+        whole = {(r.node, r.root) for r in simhash.connected(simhash.links(frame, radius)).collect()}
+        with monkeypatch.context() as patch:
+            patch.setattr(simhash, "GROUP", 30)
+            assert simhash._keyed(frame, radius, 6).where("key.again >= 0").count() > 0
+            assert {(r.node, r.root) for r in simhash.connected(simhash.links(frame, radius)).collect()} == whole
+        near = {(a, b) for a, b in itertools.combinations(sorted(codes), 2) if (a ^ b).bit_count() <= radius}
+        root = {c: c for c in codes}
+        for a, b in sorted(near) * 12:
+            root[a] = root[b] = min(root[a], root[b])
+        assert whole == {(c, r) for c, r in root.items() if c != r}

@@ -51,16 +51,18 @@ def benchmark(args) -> dict:
 
 
 def serving(args) -> dict:
-    """JSON Lines of request_id and body that arrive in a folder, answered into another until none is left."""
+    """JSON Lines of request_id and body that arrive in a folder, answered into another: until none is left, or (--every-ms) until stopped."""
     spark = session()
-    stream = spark.readStream.schema("request_id string, body string").option("maxFilesPerTrigger", 1).json(args.input).withColumn("arrived", F.current_timestamp())
+    # a request arrives with its file, which may be long before a trigger sees it
+    stream = spark.readStream.schema("request_id string, body string").option("maxFilesPerTrigger", args.files).json(args.input).select("*", F.col("_metadata.file_modification_time").alias("arrived"))
+    trigger = {"processingTime": f"{args.every_ms} milliseconds"} if args.every_ms else None
     served = []
 
     def sink(frame, number: int) -> None:
         frame.write.mode("overwrite").json(f"{args.output}/batch={number}")
         served.append(number)
 
-    serve.serve(stream, sink, args.checkpoint, args.capacity, args.timeout_ms, temperature=args.temperature, most=args.most).awaitTermination()
+    serve.serve(stream, sink, args.checkpoint, args.capacity, args.timeout_ms, temperature=args.temperature, trigger=trigger, most=args.most, wait_ms=args.batch_wait_ms, lanes=args.lanes).awaitTermination()
     return {"batches": len(served)}
 
 
@@ -105,7 +107,7 @@ def main(argv: list[str] | None = None) -> None:
     number = lambda default: {"type": int, "default": default}
     verb("compare", compare, ("--data", needed), ("--output", needed), ("--models", {"default": "hash,uniform"}), ("--per-source", number(0)), ("--seed", number(42)))
     verb("benchmark", benchmark, ("--data", needed), ("--decisions-per-request", number(1)), ("--limit", number(0)), ("--warmups", number(1)), ("--repeats", number(3)))
-    verb("serve", serving, ("--input", needed), ("--output", needed), ("--checkpoint", needed), ("--capacity", number(1024)), ("--timeout-ms", number(30_000)), ("--most", number(64)), ("--temperature", {"type": float, "default": 1.0}))
+    verb("serve", serving, ("--input", needed), ("--output", needed), ("--checkpoint", needed), ("--capacity", number(1024)), ("--timeout-ms", number(30_000)), ("--most", number(64)), ("--batch-wait-ms", number(0)), ("--every-ms", number(0)), ("--files", number(1)), ("--lanes", number(1)), ("--temperature", {"type": float, "default": 1.0}))
     verb("pull", pull, ("--source", needed), ("--output", needed), ("--revision", needed))
     verb("predict", predict, ("--input", {"default": "-"}), ("--temperature", {"type": float, "default": 1.0}))
     verb("sweep", lambda a: [r.asDict() for r in comparing.sweep_grid(session(), compiled=a.compile, flash=a.flash).orderBy(F.col("compile_model"), "name").collect()], ("--compile", {"action": "store_true"}), ("--flash", {"action": "store_true"}))

@@ -1,10 +1,11 @@
-"""Scoring request streams in micro-batches, with bounded admission, queue deadlines and each request's own outcome."""
+"""Scoring request streams: batches from the queue, each request's own outcome; and the queue's admission rule for requests that lie in a table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,9 @@ from arbitra.functions.probability import hash_logits, softmax
 from arbitra.operators.requests import answer, explode_requests
 from arbitra.operators.sampling import ordinals
 from arbitra.sources.shared import materialise
+from arbitra.streaming.queue import FULL, LATE, check_options, prepare_session, queued  # noqa: F401
 
-FULL, LATE, INVALID, FAILED = "queue is full", "queue wait expired", "invalid request", "scoring failed"
+INVALID, FAILED = "invalid request", "scoring failed"
 
 
 def admit(batch: DataFrame, capacity: int, timeout_ms: int, now: Column, order: tuple[str, ...] = ("arrived", "request_id")) -> DataFrame:
@@ -38,12 +40,12 @@ def hash_scorer(rows: DataFrame) -> DataFrame:
     return rows.withColumn("logits", hash_logits(F.concat_ws(":", "request_id", "question_id"), F.size("candidates")))
 
 
-def respond(batch: DataFrame, scorer: Callable[[DataFrame], DataFrame] = hash_scorer, temperature: float = 1.0, max_candidates: int = 16) -> DataFrame:
+def respond(batch: DataFrame, scorer: Callable[[DataFrame], DataFrame] = hash_scorer, temperature: float = 1.0, max_candidates: int = 16, keep: Sequence[str] = ()) -> DataFrame:
     """request_id, status, detail, answers (map from question to typed answer): one row for each request of ``batch(request_id, body)``.
 
-    A request that can't be parsed gets 422 and harms no other; order is by id, not by arrival.
+    A request that can't be parsed gets 422 and harms no other; order is by id, not by arrival. The scorer sees the columns ``keep`` as well.
     """
-    rows, refused = explode_requests(batch.select("request_id", "body"), max_candidates=max_candidates)
+    rows, refused = explode_requests(batch.select("request_id", *keep, "body"), max_candidates=max_candidates)
     scored = scorer(rows).withColumn("p", softmax(F.col("logits"), temperature))
     each = scored.select("request_id", "q_ord", "question_id", answer(F.col("kind"), F.col("candidates"), F.col("keys"), F.col("p")).alias("a"))
     gathered = F.sort_array(F.collect_list(F.struct("q_ord", "question_id", F.to_json("a").alias("a"))))
@@ -51,44 +53,59 @@ def respond(batch: DataFrame, scorer: Callable[[DataFrame], DataFrame] = hash_sc
     return good.unionByName(refused.select("request_id", F.lit(422).alias("status"), F.lit(INVALID).alias("detail"), F.lit(None).cast("map<string,string>").alias("answers")))
 
 
-def check_options(capacity: int, timeout_ms: float, most: int) -> None:
-    """Queue and batch options must be positive whole numbers, the timeout a finite number above zero."""
-    for name, value in (("capacity", capacity), ("most", most)):
-        if isinstance(value, bool) or not isinstance(value, int) or value < 1:
-            raise ValueError(f"{name} must be a positive whole number")
-    if isinstance(timeout_ms, bool) or not isinstance(timeout_ms, (int, float)) or not 0 < timeout_ms < float("inf"):
-        raise ValueError("timeout_ms must be a finite number above zero")
+def score_batches(numbered: DataFrame, batch: list[str], scorer: Callable[[DataFrame], DataFrame], temperature: float = 1.0) -> DataFrame:
+    """respond() for requests whose ``batch`` columns say which are scored together. A scorer that fails costs the requests of its batch (500) and no other.
 
-
-def work_off(admitted: DataFrame, most: int, scorer: Callable[[DataFrame], DataFrame], temperature: float = 1.0) -> DataFrame:
-    """respond() in batches of up to ``most`` requests, in order of arrival. A scorer that fails costs the requests of its batch (500) and no other.
-
-    Batches are scored one after the other, as a scorer's memory bounds them; their number is bounded by the queue's capacity.
+    All batches are one job, whose rows carry their batch for scorers that work batch by batch. Only if it fails are they scored one after the other, to find
+    those at fault. What isn't the scorer's fault, but the engine's, is raised.
     """
-    numbered = materialise(batch_numbers(admitted, most))
+    numbered = materialise(numbered)
+    try:
+        return materialise(respond(numbered, scorer, temperature, keep=batch))
+    except Exception as error:  # noqa: BLE001
+        if not scorer_fault(error):
+            raise
     parts = []
-    for (number,) in sorted(numbered.select("batch_no").distinct().collect()):
-        own = numbered.where(F.col("batch_no") == number)
+    for key in sorted(tuple(r) for r in numbered.select(*batch).distinct().collect()):
+        own = numbered.where(reduce(Column.__and__, (F.col(c) == v for c, v in zip(batch, key, strict=True))))
         try:
-            parts.append(materialise(respond(own, scorer, temperature)))
+            parts.append(materialise(respond(own, scorer, temperature, keep=batch)))
         except Exception as error:  # noqa: BLE001
-            parts.append(own.select("request_id", F.lit(500).alias("status"), F.lit(f"{FAILED}: {type(error).__name__}").alias("detail"), F.lit(None).cast("map<string,string>").alias("answers")))
-    return reduce(DataFrame.unionByName, parts) if parts else respond(admitted, scorer, temperature)
+            if not scorer_fault(error):
+                raise
+            parts.append(own.select("request_id", F.lit(500).alias("status"), F.lit(FAILED).alias("detail"), F.lit(None).cast("map<string,string>").alias("answers")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def serve(requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, capacity: int = 1024, timeout_ms: int = 30_000, scorer=hash_scorer, temperature: float = 1.0, trigger: dict | None = None, most: int = 64):
-    """A running query over a stream of (request_id, body, arrived): every micro-batch is admitted, scored and handed to ``sink``.
+def scorer_fault(error: Exception) -> bool:
+    """Whether code or data of a task failed, not Spark: Python errors and errors that expressions raise."""
+    said = str(error)
+    return isinstance(error, (PythonException, ValueError)) or "USER_RAISED_EXCEPTION" in said or "api.python.PythonException" in said
 
-    trigger: {"availableNow": True} drains and stops; {"processingTime": "100 milliseconds"} waits that long for a batch to fill.
+
+def work_off(admitted: DataFrame, most: int, scorer: Callable[[DataFrame], DataFrame], temperature: float = 1.0) -> DataFrame:
+    """score_batches() in batches of up to ``most`` requests, in order of arrival."""
+    return score_batches(batch_numbers(admitted, most), ["batch_no"], scorer, temperature)
+
+
+def serve(requests: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, capacity: int = 1024, timeout_ms: float = 30_000, scorer=hash_scorer, temperature: float = 1.0, trigger: dict | None = None, most: int = 64, wait_ms: float = 0, lanes: int = 1):
+    """A running query over a stream of (request_id, body, arrived): requests wait in their lane's queue, leave it in batches, are scored and handed to ``sink``.
+
+    trigger: {"availableNow": True} takes what is there and stops, leaving in the queue what still waits for its batch (nothing if ``wait_ms`` is 0);
+    {"processingTime": "100 milliseconds"} looks that often. A trigger in which nothing leaves doesn't reach the sink.
     """
-    check_options(capacity, timeout_ms, most)
+    trigger = trigger or {"availableNow": True}
+    prepare_session(requests.sparkSession, drains="availableNow" in trigger)
 
     def work(batch: DataFrame, number: int) -> None:
-        admitted = materialise(admit(batch, capacity, timeout_ms, F.current_timestamp()))
-        turned_away = admitted.where("status is not null").select("request_id", "status", "detail", F.lit(None).cast("map<string,string>").alias("answers"))
-        sink(work_off(admitted.where("status is null").drop("place", "status", "detail"), most, scorer, temperature).unionByName(turned_away), number)
-
-    return requests.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        left = materialise(batch)
+        if left.isEmpty():
+            return
+        refused = left.where("status is not null").select("request_id", "status", "detail", F.lit(None).cast("map<string,string>").alias("answers"))
+        sink(score_batches(left.where("status is null").select("lane", "batch", "request_id", "body"), ["lane", "batch"], scorer, temperature).unionByName(refused), number)
+
+    left = queued(requests, capacity, most, wait_ms, timeout_ms, lanes)
+    return left.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def score_stream(decisions: DataFrame, temperature: float = 1.0) -> DataFrame:

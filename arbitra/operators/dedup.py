@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,49 +59,48 @@ def task_cap(rows: DataFrame, cap: int, order: list[str]) -> DataFrame:
     return ranked.where(F.col("_place") <= cap).drop("_place")
 
 
-def _clusters(rows: DataFrame) -> DataFrame:
-    """``rows(row_key, content, task)`` with ``cluster``: the least label of all that share contents or (not null) tasks, step by step, until nothing moves."""
-    now = materialise(rows.withColumn("cluster", F.xxhash64("row_key")))
-    moved = None
-    while True:
-        for key in ("content", "task"):
-            least = now.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("cluster").alias("_least"))
-            now = now.join(least, key, "left").withColumn("cluster", F.least("cluster", F.coalesce("_least", "cluster"))).drop("_least")
-        now = materialise(now)
-        state = now.agg(F.sum(F.xxhash64("row_key", "cluster").cast("decimal(38,0)"))).first()[0]
-        if state == moved:
-            return now
-        moved = state
+def _cap_reached(rows: DataFrame, cap: int, name: str) -> DataFrame:
+    """task, ``name``: where the ``cap``-th of ``rows(task, pos)`` of a task stands. The rank filter becomes a group limit below the shuffle."""
+    ranked = rows.where("task is not null").withColumn("_n", F.row_number().over(Window.partitionBy("task").orderBy("pos")))
+    return ranked.where((F.col("_n") <= cap) & (F.col("_n") == cap)).select(F.col("task").alias("_task"), F.col("pos").alias(name))
+
+
+def _bounded(rows: DataFrame, written: DataFrame, cap: int) -> DataFrame:
+    """``rows(content, task, pos)`` with ``first`` (of the written rows of its content) and ``full`` (the last that its task has room for), both places."""
+    first = written.groupBy(F.col("content").alias("_content")).agg(F.min("pos").alias("first"))
+    met = rows.join(first, F.col("content") == F.col("_content"), "left").drop("_content")
+    return met.join(_cap_reached(written, cap, "full"), F.col("task") == F.col("_task"), "left").drop("_task")
 
 
 def capped_first_wins(rows: DataFrame, cap: int) -> DataFrame:
     """row_key, disposition when only written rows count towards contents and caps, in the order of src_ord, prio, row_key.
 
-    ``rows(row_key, content_key, source, task, src_ord, prio, aggregate, overlength)`` is the train sample, whose size the
-    sampling caps bound. A row depends on another only through its content, or through its task where that has a cap that its rows can fill. Rows of
-    contents that occur once and tasks that can't fill their cap are decided in place; the rest is narrow, and each cluster of what
-    depends on one another is walked in order by itself. row_key tells rows apart.
+    ``rows(row_key, content_key, source, task, src_ord, prio, aggregate, overlength)``; row_key tells rows apart. A row is written if no earlier row of its content is
+    and, where its source is aggregate, fewer than ``cap`` earlier rows of its task are. So two bounds close in on what is written: rows that are written for sure, and those
+    that may be. A row that may-be rows can't keep out is written; one that written rows keep out isn't. Each round takes the first
+    written and the first possible row of every content, and the ``cap``-th of either kind of every task, all by aggregates;
+    rows that depend on one another never meet in one task. The earliest open row has only decided rows before it, so every round
+    decides some; mostly a few rounds decide all.
     """
-    narrow = rows.select("row_key", "content_key", "source", "task", "src_ord", "prio", "aggregate", "overlength")
-    contents = narrow.groupBy("content_key").agg(F.count(F.lit(1)).alias("_contents")).where("_contents > 1")
-    tasks = narrow.where("aggregate").groupBy(F.col("source").alias("_source"), F.col("task").alias("_task")).agg(F.count(F.lit(1)).alias("_tasks")).where(F.col("_tasks") > cap)
-    in_task = F.col("aggregate") & F.col("source").eqNullSafe(F.col("_source")) & F.col("task").eqNullSafe(F.col("_task"))
-    marked = materialise(narrow.join(contents, "content_key", "left").join(tasks, in_task, "left").drop("_source", "_task"))
-    is_bound = F.col("_contents").isNotNull() | F.col("_tasks").isNotNull()
-    free = marked.where(~is_bound).select("row_key", F.when(F.col("overlength"), "overlength").otherwise(WRITTEN).alias("disposition"))
-    task = F.when(F.col("_tasks").isNotNull(), F.concat_ws("\x1f", F.coalesce("source", F.lit("")), F.coalesce("task", F.lit(""))))
-    bound = marked.where(is_bound).select("row_key", F.col("content_key").alias("content"), task.alias("task"), "src_ord", "prio", "overlength")
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["src_ord", "prio", "row_key"])
-        seen, used, out = set(), Counter(), []
-        for r in frame.itertuples(index=False):
-            fate = "duplicate_content" if r.content in seen else "task_cap" if r.task is not None and used[r.task] >= cap else "overlength" if r.overlength else WRITTEN
-            if fate == WRITTEN:
-                seen.add(r.content)
-                used[r.task] += 1
-            out.append(fate)
-        return pd.DataFrame({"row_key": frame["row_key"].to_numpy(), "disposition": out})
-
-    walked = _clusters(bound).groupBy("cluster").applyInPandas(walk, "row_key string, disposition string")
-    return free.unionByName(walked)
+    task = F.when(F.col("aggregate"), F.concat_ws("\x1f", F.coalesce("source", F.lit("")), F.coalesce("task", F.lit(""))))
+    narrow = rows.select("row_key", F.coalesce("content_key", F.lit("")).alias("content"), task.alias("task"), F.struct("src_ord", "prio", "row_key").alias("pos"), "overlength")
+    narrow = materialise(narrow)
+    open_rows = narrow.where("NOT overlength").select("content", "task", "pos")
+    written = None
+    while True:
+        known = open_rows.limit(0) if written is None else written
+        possible = known.unionByName(open_rows)
+        ahead = possible.groupBy(F.col("content").alias("_content")).agg(F.min("pos").alias("_ahead"))
+        met = _bounded(open_rows, known, cap).join(ahead, F.col("content") == F.col("_content")).drop("_content")
+        met = met.join(_cap_reached(possible, cap, "_room"), F.col("task") == F.col("_task"), "left").drop("_task")
+        kept_out = F.coalesce(F.col("pos") > F.col("first"), F.lit(False)) | F.coalesce(F.col("pos") > F.col("full"), F.lit(False))
+        goes_in = (F.col("pos") == F.col("_ahead")) & F.coalesce(F.col("pos") <= F.col("_room"), F.lit(True))
+        decided = materialise(met.select("content", "task", "pos", F.when(kept_out, False).when(goes_in, True).alias("in")))
+        added = decided.where("in").drop("in")
+        written = added if written is None else written.unionByName(added)
+        open_rows = decided.where("in is null").drop("in")
+        if open_rows.isEmpty():
+            break
+    final = _bounded(narrow, written, cap)
+    fate = F.when(F.col("pos") > F.col("first"), "duplicate_content").when(F.col("pos") > F.col("full"), "task_cap").when(F.col("overlength"), "overlength").otherwise(WRITTEN)
+    return final.select("row_key", fate.alias("disposition"))

@@ -347,6 +347,17 @@ def test_request_answers(spark):
     assert rows.first().state == '{"a": "é", "b": 1}'
 
 
+@pytest.mark.parametrize(("instructions", "said"), [("0", "0"), ("[]", "[]"), ("{}", "{}"), ("false", "false"), ('" x "', " x "), ("null", None), ('" \\t"', None), ('""', None)])
+def test_instructions_are_refused_only_if_null_or_blank(instructions, said):
+    state, questions, error = requests.parse_request('{"state": [], "questions": {"q": {"type": "noul", "instructions": %s}}}' % instructions)
+    assert (error is None, [q["instructions"] for q in questions]) == (said is not None, [said] if said is not None else [])
+
+
+@pytest.mark.parametrize("question", ['{"type": "choice", "instructions": "i", "criteria": {" ": 1}}', '{"type": "choice", "instructions": "i", "criteria": ["a"]}', '{"type": "score", "instructions": "i", "criteria": {}}', '{"type": "noul", "instructions": "i", "criteria": {"true": 1}}', '{"type": ["noul"], "instructions": "i"}', "[]"])
+def test_malformed_questions(question):
+    assert requests.parse_request('{"state": "s", "questions": {"q": %s}}' % question)[2] and requests.parse_request('{"state": "s", "questions": {"": {"type": "noul", "instructions": "i"}}}')[2]
+
+
 def test_stream_of_requests(spark, tmp_path):
     source = tmp_path / "in"
     body = '{"state": "x", "questions": {"q": {"type": "noul", "instructions": "?"}}}'

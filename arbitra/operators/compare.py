@@ -30,14 +30,27 @@ def sweep_grid(spark: SparkSession, batch_sizes=(8, 16, 32), request_batches=(1,
     if not batch_sizes or not request_batches or min(*batch_sizes, *request_batches) < 1 or max_batch_tokens < 1:
         raise ValueError("sizes must be positive")
 
-    def axis(values, name):
-        return spark.createDataFrame([(i, v) for i, v in enumerate(dict.fromkeys(values))], f"_{name} int, {name} {'int' if isinstance(next(iter(values)), int) else 'string'}")
+    def axis(values):
+        return F.explode(F.array(*map(F.lit, dict.fromkeys(values))))
 
-    grid = axis(batch_sizes, "pair_batch_size").crossJoin(axis(("float32", "bfloat16"), "weight_dtype")).crossJoin(axis(request_batches, "requests_per_batch")).crossJoin(axis(("sdpa", "flash_attention_2"), "attn_implementation"))
-    grid = grid.crossJoin(spark.createDataFrame([(False,), (True,)], "compile_model boolean"))
+    # one row that each axis multiplies: a product of a few settings
+    grid = spark.range(1, numPartitions=1).select(axis(batch_sizes).alias("pair_batch_size"))
+    for name, values in (("weight_dtype", ("float32", "bfloat16")), ("requests_per_batch", request_batches), ("attn_implementation", ("sdpa", "flash_attention_2")), ("compile_model", (False, True))):
+        grid = grid.select("*", axis(values).alias(name))
     flashy = F.col("attn_implementation") == "flash_attention_2"
     kept = grid.where((~F.col("compile_model") | F.lit(compiled)) & (~flashy | (F.lit(flash) & (F.col("weight_dtype") == "bfloat16"))) & (~(F.col("compile_model") | flashy) | (F.col("pair_batch_size") == max(batch_sizes))))
     name = F.concat(F.lit("pairs"), F.col("pair_batch_size"), F.lit("-"), "weight_dtype", F.lit("-"), "attn_implementation", F.lit("-requests"), F.col("requests_per_batch"), F.when(F.col("compile_model"), "-compiled").otherwise(""))
     rows = kept.select(name.alias("name"), "pair_batch_size", F.when(F.lit(True), F.lit(max_batch_tokens)).alias("max_batch_tokens"), F.lit(True).alias("group_by_length"), "weight_dtype", "attn_implementation", "compile_model", "requests_per_batch")
     base = spark.createDataFrame([("baseline", 8, None, False, "float32", "sdpa", False, 1)], "name string, pair_batch_size int, max_batch_tokens int, group_by_length boolean, weight_dtype string, attn_implementation string, compile_model boolean, requests_per_batch int")
     return base.unionByName(rows)
+
+
+def planned_sweep(grid: DataFrame, plan) -> DataFrame:
+    """``grid`` with the batches and padded tokens of a workload under each setting; ``plan(pair_batch_size, max_batch_tokens)`` plans it, once for equal settings."""
+    settings = sorted({(r.pair_batch_size, r.max_batch_tokens) for r in grid.collect()}, key=lambda x: (x[0], x[1] or 0))
+    found = None
+    for n, tokens in settings:
+        own = plan(n, tokens).where("place = 0").agg(F.count(F.lit(1)).alias("batches"), F.sum(F.col("padded") * F.col("width")).cast("long").alias("padded_tokens"))
+        own = own.select(F.lit(n).alias("_n"), F.lit(tokens).cast("int").alias("_tokens"), "batches", "padded_tokens")
+        found = own if found is None else found.unionByName(own)
+    return grid.join(found, (F.col("pair_batch_size") == F.col("_n")) & F.col("max_batch_tokens").eqNullSafe(F.col("_tokens"))).drop("_n", "_tokens")

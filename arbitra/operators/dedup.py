@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbitra.functions.text import normalize
 from arbitra.schema import SPLIT_PRIORITY
 from arbitra.sources.shared import materialise
 
@@ -53,6 +54,29 @@ def first_wins(rows: DataFrame, order: list[str]) -> DataFrame:
     return joined.withColumn("disposition", F.when(later, "duplicate_content").when(F.col("overlength"), "overlength").otherwise(WRITTEN)).drop("_first")
 
 
+#: Words of a passage by which documents are looked up.
+ANCHOR = 5
+
+
+def held_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, item_id: which of ``docs(doc_id, text)`` hold the whole words of which of ``passages(item_id, passage)``, case and blanks aside.
+
+    A passage's first ANCHOR words (all, if it has fewer) are looked up among all runs of as many words of the documents, then the whole passage
+    is compared where they stand. Blank passages are held by none. Long runs of equal words are one candidate.
+    """
+    said = lambda c: F.trim(normalize(F.col(c)))
+    wanted = passages.select("item_id", said("passage").alias("passage")).where("passage != ''").withColumn("_words", F.split("passage", " "))
+    wanted = materialise(wanted.select("item_id", "passage", F.least(F.size("_words"), F.lit(ANCHOR)).alias("n"), F.array_join(F.slice("_words", 1, ANCHOR), " ").alias("anchor")))
+    sizes = sorted(r.n for r in wanted.select("n").distinct().collect())
+    texts = docs.select("doc_id", said("text").alias("_said")).withColumn("_words", F.split("_said", " "))
+    runs = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(1), F.size("_words") - (n - 1)), lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    anchors = F.array_distinct(F.concat(*(runs(n) for n in sizes))) if sizes else F.array().cast("array<string>")
+    met = texts.select("doc_id", F.explode(anchors).alias("anchor")).join(wanted.select("item_id", "anchor"), "anchor").select("doc_id", "item_id").distinct()
+    whole = met.join(texts.select("doc_id", "_said"), "doc_id").join(wanted.select("item_id", "passage"), "item_id")
+    inside = F.contains(F.concat(F.lit(" "), "_said", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))
+    return whole.where(inside).select("doc_id", "item_id").distinct()
+
+
 def task_cap(rows: DataFrame, cap: int, order: list[str]) -> DataFrame:
     """The first ``cap`` rows of each (source, task): exact where contents don't repeat."""
     ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy("source", "task").orderBy(*order)))

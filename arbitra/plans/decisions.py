@@ -9,6 +9,7 @@ from arbitra.functions.probability import hash_logits, one_hot, soft_target, sof
 from arbitra.functions.text import content_key
 
 LANGUAGES = ["de", "en", "es", "fr"]
+BLANKS = " \t\n\r"
 EVENT_TYPES_SQL = "(SELECT list_sort(list(DISTINCT event_type)) FROM events)"
 
 
@@ -73,8 +74,8 @@ def scored(rows: DataFrame, size: int, temperature: float = 1.0) -> DataFrame:
 
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their role and identities, the input of splitting and deduplication."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), "source", F.concat(F.lit("t/"), "lang").alias("task"), "text", role().alias("role"), has_test().alias("has_test"), content_key(F.col("text")).alias("content_key"), content_key(F.substring("text", 1, 60)).alias("group_id"))
+    """Documents with their role and identities, the input of splitting and deduplication. Documents that begin with the same line are one group."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), "source", F.concat(F.lit("t/"), "lang").alias("task"), "text", role().alias("role"), has_test().alias("has_test"), content_key(F.col("text")).alias("content_key"), content_key(F.split_part(F.ltrim("text", F.lit(BLANKS)), F.lit("\n"), F.lit(1))).alias("group_id"))
 
 
 # --- the same sets in DuckDB SQL
@@ -100,7 +101,7 @@ SPLIT = """CASE WHEN role <> 'validation' THEN role WHEN substr(sha256('42:' ||
 SPLIT_ROWS = f"""
  s0 AS (SELECT doc_id, doc_id::VARCHAR AS id, source, 't/' || lang AS task, text,
   CASE WHEN doc_id % 10 < 2 THEN 'test' WHEN doc_id % 10 < 5 THEN 'validation' ELSE 'train' END AS role,
-  right(source, 1) IN ('0', '2', '4', '6', '8') AS has_test, {sql_key("text")} AS content_key, {sql_key("substr(text, 1, 60)")} AS group_id FROM documents),
+  right(source, 1) IN ('0', '2', '4', '6', '8') AS has_test, {sql_key("text")} AS content_key, {sql_key("split_part(ltrim(text, E' \\t\\n\\r'), chr(10), 1)")} AS group_id FROM documents),
  s AS (SELECT *, {SPLIT} AS split, sha256('42:' || id) AS prio FROM s0),
  r AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 WHEN 'calibration' THEN 2 ELSE 3 END AS rank FROM s)"""
 

@@ -12,7 +12,7 @@ from arbitra.functions import text as X
 from arbitra.operators import adapters, batching, calibration, compare, dedup, metrics, requests, sampling, scoring, validate
 from arbitra.plans import decisions as D
 from arbitra.plans import prepare as prep
-from arbitra.sources.shared import Store, shared_folder
+from arbitra.sources.shared import Store, materialise, shared_folder
 from arbitra.streaming import serve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,9 +61,24 @@ def q_split_assign(spark, d):
 TASKS = ["glue/mnli", "anli/a1", "super_glue/boolq", "HELLASWAG", "tweet_eval/sentiment", "tweet_eval/emotion", "robust_nli_is_sd", "breaking_nli", "boolq_natural_perturbations/x", "yelp_review_full/yelp_review_full", "doc_nli", "bigbench/x", "mnli_like/other"]
 
 
-@query("SELECT t AS task, (t IN ('glue/mnli','anli/a1','super_glue/boolq','HELLASWAG','tweet_eval/sentiment','robust_nli_is_sd','breaking_nli','boolq_natural_perturbations/x','yelp_review_full/yelp_review_full','doc_nli','bigbench/x')) AS excluded FROM (SELECT unnest([" + ", ".join(f"'{t}'" for t in TASKS) + "]) AS t)")
+def _strings(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'{}'".format(v.replace("'", "''")) for v in values) + "]"
+
+
+def by_id(values: list, key: str = "doc_id"):
+    """One of ``values`` for each row, in turn by its id."""
+    return F.get(F.array(*(F.lit(v) for v in values)), F.pmod(F.col(key), F.lit(len(values))).cast("int"))
+
+
+_NAME = "replace(lower(task), '_', '-')"
+
+
+@query(f"""SELECT doc_id, task, len(list_intersect(string_split({_NAME}, '/'), {_strings(X.FAMILIES)})) > 0 OR {_NAME} = 'tweet-eval/sentiment' OR {" OR ".join(f"starts_with({_NAME}, '{p}')" for p in X.PREFIXES)} AS excluded
+ FROM (SELECT doc_id, {_strings(TASKS)}[doc_id % {len(TASKS)} + 1] || CASE WHEN doc_id % 5 = 0 THEN '/' || lang ELSE '' END AS task FROM documents)""")
 def q_excluded_task(spark, d):
-    return spark.createDataFrame([(t,) for t in TASKS], "task string").select("task", X.excluded_task(F.col("task")).alias("excluded"))
+    """Each document as a row of some task; every fifth of a task below it."""
+    task = F.concat(by_id(TASKS), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("/"), F.col("lang"))).otherwise(""))
+    return D.table(spark, d, "documents").select("doc_id", task.alias("task")).withColumn("excluded", X.excluded_task(F.col("task")))
 
 
 # --- targets
@@ -118,54 +133,60 @@ def q_adapt_nli(spark, d):
     return rows.select("doc_id", X.digest(F.col("state")).alias("state_sha"), "group_id", P.argmax(F.col("target")).alias("gold"))
 
 
-INSTRUCT_ROWS = [
-    (1, "yelp_review_full/yelp_review_full", 'With no explanation, label the following with either "3 stars", "2 star", "5 stars" or "1 star".\nThe meal was average.', "3 stars."),
-    (2, "tweet_eval/sentiment", 'With no explanation, label the following with either "negative", "positive".\n so good ', "positive."),
-    (3, "other/task", 'With no explanation, label the following with either "a", "b".\nx', "a."),
-    (4, "tweet_eval/sentiment", "Label this.\nx", "positive."),
-    (5, "tweet_eval/sentiment", 'With no explanation, label the following with either "negative", "positive".\nx', "positive"),
-    (6, "tweet_eval/sentiment", 'With no explanation, label the following with either "negative", "negative".\nx', "negative."),
-    (7, "tweet_eval/sentiment", 'With no explanation, label the following with either "negative", "neutral".\nx', "positive."),
-    (8, "tweet_eval/sentiment", '  ', "positive."),
+#: By doc_id: task, header and target of a row whose body is a document.
+INSTRUCT_CASES = [
+    ("yelp_review_full/yelp_review_full", 'With no explanation, label the following with either "3 stars", "2 star", "5 stars" or "1 star".', "3 stars."),
+    ("tweet_eval/sentiment", 'With no explanation, label the following with either "negative", "positive".', "positive."),
+    ("other/task", 'With no explanation, label the following with either "a", "b".', "a."),
+    ("tweet_eval/sentiment", "Label this.", "positive."),
+    ("tweet_eval/sentiment", 'With no explanation, label the following with either "negative", "positive".', "positive"),
+    ("tweet_eval/sentiment", 'With no explanation, label the following with either "negative", "negative".', "negative."),
+    ("tweet_eval/sentiment", 'With no explanation, label the following with either "negative", "neutral".', "positive."),
+    ("tweet_eval/sentiment", None, "positive."),
 ]
-_INSTRUCT_VALUES = ", ".join("({}, '{}', '{}', '{}')".format(*(v.replace("'", "''") if isinstance(v, str) else v for v in r)) for r in INSTRUCT_ROWS)
+_CASE = f"doc_id % {len(INSTRUCT_CASES)} + 1"
 
 
-@query(f"""WITH r(k, task, inputs, targets) AS (VALUES {_INSTRUCT_VALUES}),
- a AS (SELECT k, task, trim(inputs) AS inputs, trim(targets) AS targets, split_part(trim(inputs), chr(10), 1) AS header, CASE WHEN contains(trim(inputs), chr(10)) THEN trim(substr(trim(inputs), instr(trim(inputs), chr(10)) + 1)) END AS body FROM r),
- b AS (SELECT *, regexp_extract_all(substr(header, 53), '"([^"\\n]+)"', 1) AS options, CASE WHEN task LIKE 'yelp%' THEN ['1 star','2 star','3 stars','4 stars','5 stars'] ELSE ['negative','neutral','positive'] END AS scale, left(targets, length(targets) - 1) AS answer FROM a),
- c AS (SELECT *, CASE WHEN task NOT IN ('yelp_review_full/yelp_review_full', 'tweet_eval/sentiment') THEN 'outside_instruct_allowlist' WHEN inputs = '' THEN 'blank_or_invalid_inputs'
+@query(f"""WITH a AS (SELECT doc_id, {_strings([c[0] for c in INSTRUCT_CASES])}[{_CASE}] AS task, coalesce({_strings([c[1] for c in INSTRUCT_CASES])}[{_CASE}] || chr(10) || rtrim(text, E' \t\n\r'), '') AS whole, {_strings([c[2] for c in INSTRUCT_CASES])}[{_CASE}] AS targets FROM documents),
+ b AS (SELECT *, trim(whole, E' \t\n\r') AS inputs FROM a),
+ c AS (SELECT *, split_part(inputs, chr(10), 1) AS header, CASE WHEN contains(inputs, chr(10)) THEN trim(substr(inputs, instr(inputs, chr(10)) + 1), E' \t\n\r') END AS body FROM b),
+ e AS (SELECT *, regexp_extract_all(substr(header, 53), '"([^"\n]+)"', 1) AS options, CASE WHEN task LIKE 'yelp%' THEN ['1 star','2 star','3 stars','4 stars','5 stars'] ELSE ['negative','neutral','positive'] END AS scale, left(targets, length(targets) - 1) AS answer FROM c),
+ f AS (SELECT *, CASE WHEN task NOT IN ('yelp_review_full/yelp_review_full', 'tweet_eval/sentiment') THEN 'outside_instruct_allowlist' WHEN inputs = '' THEN 'blank_or_invalid_inputs'
   WHEN body IS NULL OR NOT starts_with(header, 'With no explanation, label the following with either ') OR NOT ends_with(header, '.') THEN 'unsupported_instruct_format'
   WHEN NOT ends_with(targets, '.') THEN 'unsupported_instruct_target'
-  WHEN len(options) < 2 OR len(list_distinct(options)) <> len(options) OR len(list_filter(options, lambda o: NOT list_contains(scale, o))) > 0 OR NOT list_contains(options, answer) THEN 'invalid_instruct_options' END AS skip_reason FROM b)
- SELECT k, skip_reason, CASE WHEN skip_reason IS NULL THEN body END AS state, CASE WHEN skip_reason IS NULL THEN (list_position(scale, answer) - 1)::INT END AS gold FROM c""")
+  WHEN len(options) < 2 OR len(list_distinct(options)) <> len(options) OR len(list_filter(options, lambda o: NOT list_contains(scale, o))) > 0 OR NOT list_contains(options, answer) THEN 'invalid_instruct_options' END AS skip_reason FROM e)
+ SELECT doc_id, skip_reason, CASE WHEN skip_reason IS NULL THEN sha256(body) END AS state_sha, CASE WHEN skip_reason IS NULL THEN (list_position(scale, answer) - 1)::INT END AS gold FROM f""")
 def q_instruct_parse(spark, d):
-    raw = spark.createDataFrame(INSTRUCT_ROWS, "k int, task string, inputs string, targets string")
-    rows = adapters.adapt(raw, "instruct", "instruct", "default", "train", 16, keep=("k",))
+    whole = F.coalesce(F.concat(by_id([c[1] for c in INSTRUCT_CASES]), F.lit("\n"), F.col("text")), F.lit(""))
+    raw = D.table(spark, d, "documents").select("doc_id", by_id([c[0] for c in INSTRUCT_CASES]).alias("task"), whole.alias("inputs"), by_id([c[2] for c in INSTRUCT_CASES]).alias("targets"))
+    rows = adapters.adapt(raw, "instruct", "instruct", "default", "train", 16, keep=("doc_id",))
     kept = F.col("skip_reason").isNull()
-    return rows.select("k", "skip_reason", F.when(kept, F.col("state")).alias("state"), F.when(kept, P.argmax(F.col("target"))).alias("gold"))
+    return rows.select("doc_id", "skip_reason", F.when(kept, X.digest(F.col("state"))).alias("state_sha"), F.when(kept, P.argmax(F.col("target"))).alias("gold"))
 
 
-VALIDATE_ROWS = [
-    (1, "s", "i", ["a", "b"], [0.5, 0.5], "choice"), (2, "  ", "i", ["a", "b"], [0.5, 0.5], "choice"), (3, "s", "", ["a", "b"], [0.5, 0.5], "choice"), (4, "s", "i", ["a"], [1.0], "choice"),
-    (5, "s", "i", ["a", " "], [0.5, 0.5], "choice"), (6, "s", "i", ["a", "a "], [0.5, 0.5], "choice"), (7, "s", "i", ["a", "b"], [0.5, 0.5], "other"), (8, "s", "i", ["a", "b", "c"], [0.5, 0.5, 0.0], "noul"),
-    (9, "s", "i", ["a", "b"], [1.0], "choice"), (10, "s", "i", ["a", "b"], [-0.5, 1.5], "choice"), (11, "s", "i", ["a", "b"], [0.2, 0.2], "choice"), (12, "s", "i", ["a", "b"], [0.5, 0.5000005], None),
+#: By doc_id: whether the state is the document, and the rest of a row.
+VALIDATE_CASES = [
+    (True, "i", ["a", "b"], [0.5, 0.5], "choice"), (False, "i", ["a", "b"], [0.5, 0.5], "choice"), (True, "", ["a", "b"], [0.5, 0.5], "choice"), (True, "i", ["a"], [1.0], "choice"),
+    (True, "i", ["a", " "], [0.5, 0.5], "choice"), (True, "i", ["a", "a "], [0.5, 0.5], "choice"), (True, "i", ["a", "b"], [0.5, 0.5], "other"), (True, "i", ["a", "b", "c"], [0.5, 0.5, 0.0], "noul"),
+    (True, "i", ["a", "b"], [1.0], "choice"), (True, "i", ["a", "b"], [-0.5, 1.5], "choice"), (True, "i", ["a", "b"], [0.2, 0.2], "choice"), (True, "i", ["a", "b"], [0.5, 0.5000005], None),
 ]
-_REASONS = [None, "blank_state", "blank_instructions", "candidate_count", "blank_candidate", "repeated_candidate", "unknown_kind", "noul_candidates", "target_length", "target_value", "target_sum", None]
 
 
 def _arr(values):
     return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" for v in values) + "]"
 
 
-@query("WITH r(k, state, instructions, c, t, kind) AS (VALUES " + ", ".join(f"({r[0]}, '{r[1]}', '{r[2]}', {_arr(r[3])}, {_arr(r[4])}, {repr(r[5]) if r[5] else 'NULL'})" for r in VALIDATE_ROWS) + """)
- SELECT k, CASE WHEN trim(state) = '' THEN 'blank_state' WHEN trim(instructions) = '' THEN 'blank_instructions' WHEN NOT len(c) BETWEEN 2 AND 16 THEN 'candidate_count'
+@query("WITH v(k, whole, instructions, c, t, kind) AS (VALUES " + ", ".join(f"({k}, {str(r[0]).lower()}, '{r[1]}', {_arr(r[2])}, {_arr(r[3])}, {repr(r[4]) if r[4] else 'NULL'})" for k, r in enumerate(VALIDATE_CASES)) + f"""),
+ r AS (SELECT doc_id, CASE WHEN whole THEN text ELSE '  ' END AS state, v.* FROM documents JOIN v ON doc_id % {len(VALIDATE_CASES)} = k)
+ SELECT doc_id, CASE WHEN trim(state, E' \t\n\r') = '' THEN 'blank_state' WHEN trim(instructions) = '' THEN 'blank_instructions' WHEN NOT len(c) BETWEEN 2 AND 16 THEN 'candidate_count'
   WHEN len(list_filter(c, lambda x: trim(x) = '')) > 0 THEN 'blank_candidate' WHEN len(list_distinct(list_transform(c, lambda x: trim(x)))) <> len(c) THEN 'repeated_candidate'
   WHEN coalesce(kind, 'choice') NOT IN ('choice', 'noul', 'score') THEN 'unknown_kind' WHEN kind = 'noul' AND len(c) <> 2 THEN 'noul_candidates'
   WHEN len(t) <> len(c) THEN 'target_length' WHEN len(list_filter(t, lambda x: x < 0 OR NOT isfinite(x))) > 0 THEN 'target_value' WHEN abs(list_sum(t) - 1) > 1e-6 THEN 'target_sum' END AS invalid_reason FROM r""")
 def q_validate_row(spark, d):
-    rows = spark.createDataFrame(VALIDATE_ROWS, "k int, state string, instructions string, candidates array<string>, target array<double>, kind string")
-    return rows.select("k", validate.invalid_reason().alias("invalid_reason"))
+    cases = spark.createDataFrame([(k, *r) for k, r in enumerate(VALIDATE_CASES)], "k int, whole boolean, instructions string, candidates array<string>, target array<double>, kind string")
+    docs = D.table(spark, d, "documents")
+    rows = docs.join(cases, docs["doc_id"] % len(VALIDATE_CASES) == cases["k"]).withColumn("state", F.when(F.col("whole"), F.col("text")).otherwise("  "))
+    return rows.select("doc_id", validate.invalid_reason().alias("invalid_reason"))
 
 
 @query("SELECT doc_id, sha256('Decision type: choice' || chr(10) || 'Instructions: Which language is this?' || chr(10) || 'State:' || chr(10) || text || chr(10) || 'Criteria:' || chr(10) || '0: de' || chr(10) || '1: en' || chr(10) || '2: es' || chr(10) || '3: fr') AS prompt_sha FROM documents")
@@ -247,11 +268,13 @@ def q_holdout_overlap(spark, d):
     return dedup.drop_holdout_overlap(rows.where("role = 'train'"), rows.where("role != 'train'"))[1].select("source", "doc_id")
 
 
-@query("""WITH b AS (SELECT DISTINCT text FROM benchmark) SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM b WHERE documents.text = b.text)""")
+_AS_WORDS = "' ' || " + D.NORM + " || ' '"
+
+
+@query(f"""SELECT doc_id, item_id FROM documents JOIN (SELECT item_id, {_AS_WORDS.format('text')} AS said FROM benchmark WHERE trim(text, E' \t\n\r') <> '') b ON contains({_AS_WORDS.format('documents.text')}, said)""")
 def q_benchmark_overlap(spark, d):
-    held = D.table(spark, d, "benchmark").select(F.col("text").alias("held")).distinct()
-    docs = D.table(spark, d, "documents")
-    return docs.join(held, docs["text"] == held["held"], "left_semi").select("doc_id")
+    """Documents that hold the whole words of a benchmark passage."""
+    return dedup.held_passages(D.table(spark, d, "documents").select("doc_id", "text"), D.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
 
 
 @query(f"""WITH {D.SPLIT_ROWS}, g AS (SELECT group_id, max(rank) AS owner FROM r WHERE role <> 'train' GROUP BY ALL)
@@ -278,7 +301,8 @@ def q_task_cap(spark, d):
 
 # --- the whole preparation
 
-MAX_TRAIN, MAX_EVAL, MAX_WORDS = 30, 4, 400
+#: The full profile: rows of a source and split, of a task of an aggregate source, and tokens.
+MAX_TRAIN, MAX_EVAL, MAX_TASK, MAX_WORDS = 50_000, 2_000, 5_000, 1024
 
 
 def _prepared(spark, d):
@@ -286,12 +310,13 @@ def _prepared(spark, d):
     rows = rows.select(
         F.lit(None).cast("string").alias("skip_reason"), "id", F.col("text").alias("state"), F.lit("Which language is this?").alias("instructions"), F.array(*map(F.lit, D.LANGUAGES)).alias("candidates"),
         P.one_hot(F.array_position(F.array(*map(F.lit, D.LANGUAGES)), F.right("task", F.lit(2))) - 1, F.lit(4)).alias("target"), F.lit("choice").alias("kind"), "source", "task", F.col("role").alias("original_split"), "group_id",
-        "role", "has_test", F.lit(False).alias("aggregate"), F.expr("cast(substr(source, 4) as int)").alias("src_ord"),
+        "role", "has_test", F.right("source", F.lit(1)).isin("1", "5").alias("aggregate"), F.expr("cast(substr(source, 4) as int)").alias("src_ord"),
     )
-    settings = prep.Settings(max_train_per_source=MAX_TRAIN, max_eval_per_source=MAX_EVAL, max_train_per_task=10_000, max_length=MAX_WORDS, exact=False)
+    settings = prep.Settings(max_train_per_source=MAX_TRAIN, max_eval_per_source=MAX_EVAL, max_train_per_task=MAX_TASK, max_length=MAX_WORDS, exact=False)
     return prep.prepare(rows, settings)
 
 
+#: No task of these tables reaches its cap (q_capped_documents has caps that bind), so places by content decide.
 _PREPARED = f"""WITH {D.SPLIT_ROWS}, e AS (SELECT *, substr(source, 4)::INT AS src_ord, 10 + {_WORDS.format('text')} + 8 + 1 + 3 > {MAX_WORDS} AS overlength FROM r),
  pool AS (SELECT * FROM e WHERE NOT ({_OVERLAP})),
  sample AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY source, split ORDER BY prio, id) <= CASE WHEN split = 'train' THEN {MAX_TRAIN} ELSE {MAX_EVAL} END),
@@ -329,13 +354,23 @@ def q_sources_without_split(spark, d):
     return D.table(spark, d, "documents").select("source").distinct().join(rows.where("split = 'calibration'").select("source").distinct(), "source", "left_anti")
 
 
-CAPPED = [("a", "c1", "t1"), ("b", "c2", "t1"), ("c", "c2", "t2"), ("d", "c3", "t2")]
+_CUSTOMER_ROWS = """SELECT c_custkey::VARCHAR AS row_key, c_nationkey || '/' || c_mktsegment || '/' || c_custkey % 7 AS content_key, 's' || c_nationkey % 3 AS source, c_mktsegment AS task, (c_nationkey % 2)::INT AS src_ord, sha256('42:' || c_custkey) AS prio, c_nationkey % 5 <> 0 AS aggregate, c_acctbal < 0 AS overlength FROM customer"""
 
 
-@query("SELECT * FROM (VALUES ('a', 'written'), ('b', 'task_cap'), ('c', 'written'), ('d', 'task_cap')) AS v(row_key, disposition)")
+@query(f"""WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY src_ord, prio, row_key) AS i FROM ({_CUSTOMER_ROWS})),
+ w AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen, []::VARCHAR[] AS used, '' AS row_key, '' AS disposition
+  UNION ALL SELECT i, CASE WHEN d = 'written' THEN list_append(seen, content_key) ELSE seen END, CASE WHEN d = 'written' AND aggregate THEN list_append(used, source || task) ELSE used END, row_key, d
+  FROM (SELECT o.*, w.seen, w.used, CASE WHEN list_contains(w.seen, content_key) THEN 'duplicate_content' WHEN aggregate AND len(list_filter(w.used, lambda t: t = source || task)) >= 20 THEN 'task_cap' WHEN overlength THEN 'overlength' ELSE 'written' END AS d
+   FROM w JOIN o ON o.i = w.i + 1))
+ SELECT row_key, disposition FROM w WHERE i > 0""")
 def q_capped_first_wins(spark, d):
-    rows = spark.createDataFrame([(k, c, "s", t, 0, k, True, False) for k, c, t in CAPPED], "row_key string, content_key string, source string, task string, src_ord int, prio string, aggregate boolean, overlength boolean")
-    return dedup.capped_first_wins(rows, 1)
+    """Customers that share contents and capped segments."""
+    nation, key = F.col("c_nationkey"), F.col("c_custkey")
+    rows = D.table(spark, d, "customer").select(
+        key.cast("string").alias("row_key"), F.concat_ws("/", nation, "c_mktsegment", key % 7).alias("content_key"), F.concat(F.lit("s"), (nation % 3).cast("string")).alias("source"), F.col("c_mktsegment").alias("task"),
+        (nation % 2).cast("int").alias("src_ord"), X.seeded_hash(42, key.cast("string")).alias("prio"), (nation % 5 != 0).alias("aggregate"), (F.col("c_acctbal") < 0).alias("overlength"),
+    )
+    return dedup.capped_first_wins(rows, 20)
 
 
 #: A cap that binds on the smallest tables.
@@ -396,28 +431,40 @@ def q_pad_targets(spark, d):
     return padded.select("id", F.posexplode("z").alias("idx", "z")).select("id", "idx", "z.value", "z.real")
 
 
-EXTERNAL = [(1, [0.3, 0.6999]), (2, [0.5, 0.5]), (3, [0.5, 0.6]), (4, [-0.1, 1.1]), (5, [0.2, 0.3, 0.5009])]
+@query("""WITH t AS (SELECT unnest(list_sort(list(DISTINCT event_type))) AS event_type FROM events), u AS (SELECT DISTINCT user_id FROM events),
+ c AS (SELECT u.user_id, t.event_type, count(e.event_id) AS n FROM u CROSS JOIN t LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = t.event_type GROUP BY ALL),
+ w AS (SELECT user_id, event_type, round(n / sum(n) OVER (PARTITION BY user_id), 2) AS p FROM c),
+ v AS (SELECT user_id, list(p ORDER BY event_type) AS v, list_sum(list(p ORDER BY event_type)) AS s FROM w GROUP BY user_id)
+ SELECT user_id, CASE WHEN abs(s - 1) <= 0.002 THEN round(v[1] / s, 6) END AS first FROM v""")
+def q_external_probabilities(spark, d):
+    """Shares of event types rounded to two places, as another model might give them: many no longer sum to one."""
+    mix = D.event_mix(spark, d, _event_types(spark, d))
+    shares = F.transform("scores", lambda n: F.round(n / P.total(F.col("scores")), 2))
+    return mix.select("user_id", F.round(F.get(requests.external_probabilities(shares), F.lit(0)), 6).alias("first"))
 
 
-@query("SELECT k, CASE WHEN ok THEN round(v[1] / s, 6) END AS first FROM (SELECT k, v, list_sum(v) AS s, abs(list_sum(v) - 1) <= 0.002 AND list_min(v) >= 0 AND list_max(v) <= 1 AS ok FROM (VALUES " + ", ".join(f"({k}, {_arr(v)})" for k, v in EXTERNAL) + ") AS t(k, v))")
-def q_external_probabilities(spark, d):
-    rows = spark.createDataFrame(EXTERNAL, "k int, v array<double>")
-    return rows.select("k", F.round(F.get(requests.external_probabilities(F.col("v")), F.lit(0)), 6).alias("first"))
+#: Numbers of centroids that are sent to every vector at a time.
+CENTROIDS = 1 << 18
 
 
-@query("""WITH c AS (SELECT label, list_transform(range(1, 65), lambda i: 0) AS z FROM embeddings GROUP BY label), m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS c FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+@query("""WITH m AS (SELECT label, i, avg(x) AS c FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL),
  s AS (SELECT e.vec_id, m.label, sum(e.embedding[m.i]::DOUBLE * m.c) AS dot FROM embeddings e, m GROUP BY ALL)
  SELECT vec_id, arg_max(label, dot)::INT AS best, round(max(dot), 6) AS dot FROM s GROUP BY vec_id""")
 def q_vector_choice(spark, d):
-    """Label centroids are one short row each, so they are a single small aggregate that every vector meets."""
+    """Every vector meets all label centroids, in blocks of a bounded size; each block leaves its best."""
     rows = D.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    width = 64
-    centroid = rows.groupBy("label").agg(F.array(*(F.avg(F.get("v", F.lit(i))) for i in range(width))).alias("c"))
-    packed = centroid.agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("all"))
-    joined = rows.join(F.broadcast(packed))
-    dots = F.transform("all", lambda x: F.struct(P.total(F.zip_with(F.col("v"), x["c"], lambda a, b: a * b)).alias("dot"), (-x["label"]).alias("minus")))
-    best = F.array_max(dots)
-    return joined.select("vec_id", (-best["minus"]).cast("int").alias("best"), F.round(best["dot"], 6).alias("dot"))
+    means = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c"))
+    centroids = materialise(means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda p: p["c"]).alias("c")))
+    n, width = centroids.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("c")), F.lit(1))).first()
+    blocks = -(-n * max(1, width) // CENTROIDS)
+    found = None
+    for block in range(max(1, blocks)):
+        packed = centroids.where(F.pmod(F.xxhash64("label"), F.lit(max(1, blocks))) == block).agg(F.collect_list(F.struct("label", "c")).alias("all"))
+        dots = F.transform("all", lambda x: F.struct(P.total(F.zip_with(F.col("v"), x["c"], lambda a, b: a * b)).alias("dot"), (-x["label"]).alias("minus")))
+        own = rows.join(F.broadcast(packed)).select("vec_id", F.array_max(dots).alias("best"))
+        found = own if found is None else found.unionByName(own)
+    best = found.groupBy("vec_id").agg(F.max("best").alias("best")) if blocks > 1 else found
+    return best.select("vec_id", (-F.col("best.minus")).cast("int").alias("best"), F.round("best.dot", 6).alias("dot"))
 
 
 @query("""SELECT conv_id, count(*) AS n, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS state_sha FROM conversations GROUP BY conv_id""")
@@ -574,46 +621,87 @@ def q_clip_predicate(spark, d):
     return D.table(spark, d, "documents").select("doc_id", compare.clips((i % 200).cast("int"), options, scoring.word_count(F.col("text")), F.lit(False)).alias("clipped"))
 
 
-@query("""SELECT 'baseline' AS name, 8 AS pair_batch_size, NULL::INT AS max_batch_tokens, 1 AS requests_per_batch UNION ALL
- SELECT 'pairs' || s || '-' || t || '-sdpa-requests' || r, s, 8192, r FROM (SELECT unnest([8, 16, 32]) AS s), (SELECT unnest(['float32', 'bfloat16']) AS t), (SELECT unnest([1, 4]) AS r)""")
+def sql_batches(pairs: int, tokens: int | None, name: str = "") -> str:
+    """CTEs: the batches (g, batch, start, pairs, width) of ``p(g, pos, w)``, pairs of group g at place pos with a padded width."""
+    fits = f"(k + 1) * m > {tokens}" if tokens else "false"
+    return f"""e{name} AS (SELECT a.g, a.pos, k, max(b.w) OVER (PARTITION BY a.g, a.pos ORDER BY k) AS m, b.pos IS NULL AS behind FROM p a CROSS JOIN (SELECT unnest(range(0, {pairs + 1})) AS k) LEFT JOIN p b ON b.g = a.g AND b.pos = a.pos + k),
+ z{name} AS (SELECT g, pos, min(k) FILTER (WHERE behind OR k >= {pairs} OR {fits}) AS size FROM e{name} GROUP BY ALL),
+ j{name} AS MATERIALIZED (SELECT z{name}.g, z{name}.pos, size, m FROM z{name} JOIN e{name} ON e{name}.g = z{name}.g AND e{name}.pos = z{name}.pos AND k = size - 1),
+ c{name} AS (SELECT g, pos, 0 AS batch FROM p WHERE pos = 0 UNION ALL SELECT j{name}.g, c{name}.pos + size, batch + 1 FROM c{name} JOIN j{name} USING (g, pos) WHERE EXISTS (SELECT 1 FROM j{name} AS n WHERE n.g = c{name}.g AND n.pos = c{name}.pos + j{name}.size)),
+ batches{name} AS (SELECT g, batch, pos, size AS pairs, m AS width FROM c{name} JOIN j{name} USING (g, pos))"""
+
+
+def _pairs_sql(group: str) -> str:
+    return f"p AS (SELECT {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY 10 + {_WORDS.format('text')} + 8 + 1 + 3, doc_id, c) - 1 AS pos, least(7999, ceil((10 + {_WORDS.format('text')} + 8 + 1 + 3) / 64) * 64)::BIGINT AS w FROM documents, (SELECT unnest(range(0, 4)) AS c))"
+
+
+def _document_pairs(spark, d):
+    return scoring.native_lengths(D.language(spark, d)).select("source", "doc_id", F.posexplode("pair_lengths").alias("c", "length"))
+
+
+_SWEEPS = {"a": (8, None), "b": (8, 8192), "c": (16, 8192), "d": (32, 8192)}
+
+
+@query(f"WITH RECURSIVE {_pairs_sql('0')}, " + ", ".join(sql_batches(n, t, k) for k, (n, t) in _SWEEPS.items()) + """,
+ m AS (""" + " UNION ALL ".join(f"SELECT {n} AS pair_batch_size, {t or 'NULL::INT'} AS max_batch_tokens, count(*) AS batches, sum(pairs * width)::BIGINT AS padded_tokens FROM batches{k}" for k, (n, t) in _SWEEPS.items()) + """),
+ g AS (SELECT 'baseline' AS name, 8 AS pair_batch_size, NULL::INT AS max_batch_tokens, 1 AS requests_per_batch UNION ALL
+ SELECT 'pairs' || s || '-' || t || '-sdpa-requests' || r, s, 8192, r FROM (SELECT unnest([8, 16, 32]) AS s), (SELECT unnest(['float32', 'bfloat16']) AS t), (SELECT unnest([1, 4]) AS r))
+ SELECT g.*, batches, padded_tokens FROM g JOIN m ON g.pair_batch_size = m.pair_batch_size AND g.max_batch_tokens IS NOT DISTINCT FROM m.max_batch_tokens""")
 def q_sweep_grid(spark, d):
-    return compare.sweep_grid(spark).select("name", "pair_batch_size", "max_batch_tokens", "requests_per_batch")
+    """The settings of a sweep with the batches and padded tokens that each needs for all pairs of all documents."""
+    grid = compare.sweep_grid(spark).select("name", "pair_batch_size", "max_batch_tokens", "requests_per_batch")
+    pairs = materialise(_document_pairs(spark, d))
+    return compare.planned_sweep(grid, lambda n, tokens: batching.plan_rows(pairs, [], ["doc_id", "c"], n, tokens, scoring.LONGEST, 64))
 
 
 # --- requests, batches, files, streams
 
-REQUEST = '{"state": "The export crashes.", "questions": {"route": {"type": "choice", "instructions": "Which team?", "criteria": {"tech": "Broken features", "sales": null}}, "human": {"type": "noul", "instructions": "A human?"}, "mood": {"type": "score", "instructions": "Rate.", "criteria": ["Calm", "Cross", "Furious"]}}}'
-BAD_REQUESTS = ['{"state": 1, "questions": {}}', '{"state": NaN, "questions": {"a": {}}}', '{"state": "x", "questions": {"a": {"type": "odd", "instructions": "i"}}}', "nothing"]
+def _bodies(spark, d):
+    """A request for each document; by its id, every other one is malformed in some way."""
+    lit = F.lit
+    questions = F.struct(
+        F.struct(lit("choice").alias("type"), lit("Which team?").alias("instructions"), F.create_map(lit("tech"), lit("Broken features"), F.col("lang"), lit(None).cast("string")).alias("criteria")).alias("route"),
+        F.struct(lit("noul").alias("type"), lit("A human?").alias("instructions")).alias("human"),
+        F.struct(lit("score").alias("type"), lit("Rate.").alias("instructions"), F.array(lit("Calm"), F.col("source"), lit("Furious")).alias("criteria")).alias("mood"),
+    )
+    whole = F.to_json(F.struct(F.col("text").alias("state"), questions.alias("questions")), {"ignoreNullFields": "false"})
+    asked = F.concat(lit('", "questions": {"q": {"type": "'), F.col("lang"), lit('", "instructions": "i"}}}'))
+    bad = F.when(F.col("doc_id") % 10 == 1, F.concat(lit('{"state": "'), F.col("lang"), asked)).when(F.col("doc_id") % 10 == 3, F.concat(lit('{"state": NaN, "questions": '), F.to_json(questions), lit("}"))).when(F.col("doc_id") % 10 == 5, F.concat(lit('{"state": '), F.col("doc_id").cast("string"), lit(', "questions": {}}'))).when(F.col("doc_id") % 10 == 7, F.col("text")).otherwise(F.concat(F.substr(whole, lit(1), F.length(whole) - 1), lit(', "model": "m"}')))
+    return D.table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.when(F.col("doc_id") % 2 == 0, whole).otherwise(bad).alias("body"))
+
 
+_GOOD = "doc_id % 2 = 0 AND trim(text, E' \t\n\r') <> ''"
 
-@query("""SELECT * FROM (VALUES (1, 'route', 0, 'choice', 'tech|sales', 'tech: Broken features|sales'), (1, 'human', 1, 'noul', 'false|true', 'No|Yes'), (1, 'mood', 2, 'score', '0|1|2', 'Calm|Cross|Furious')) AS v(request_id, question_id, q_ord, kind, keys, candidates)""")
+
+@query(f"""SELECT doc_id AS request_id, q.question_id, q.q_ord, q.kind, q.keys, q.candidates, sha256(text) AS state_sha FROM documents, LATERAL (SELECT * FROM (VALUES ('route', 0, 'choice', 'tech|' || lang, 'tech: Broken features|' || lang), ('human', 1, 'noul', 'false|true', 'No|Yes'), ('mood', 2, 'score', '0|1|2', 'Calm|' || source || '|Furious')) AS v(question_id, q_ord, kind, keys, candidates)) AS q WHERE {_GOOD}""")
 def q_question_explode(spark, d):
-    rows, _ = requests.explode_requests(spark.createDataFrame([(1, REQUEST)], "request_id int, body string"))
-    return rows.select("request_id", "question_id", "q_ord", "kind", F.array_join("keys", "|").alias("keys"), F.array_join("candidates", "|").alias("candidates"))
+    rows, _ = requests.explode_requests(_bodies(spark, d))
+    return rows.select("request_id", "question_id", "q_ord", "kind", F.array_join("keys", "|").alias("keys"), F.array_join("candidates", "|").alias("candidates"), X.digest(F.col("state")).alias("state_sha"))
 
 
-@query("SELECT * FROM (VALUES (1, 200), (2, 422), (3, 422), (4, 422), (5, 422)) AS v(request_id, status)")
+@query(f"SELECT doc_id AS request_id, CASE WHEN {_GOOD} THEN 200 ELSE 422 END AS status FROM documents")
 def q_decode_request(spark, d):
-    bodies = spark.createDataFrame([(i + 1, b) for i, b in enumerate([REQUEST, *BAD_REQUESTS])], "request_id int, body string")
-    return serve.respond(bodies).select("request_id", "status")
+    return serve.respond(_bodies(spark, d)).select("request_id", "status")
 
 
-LENGTHS = [(1, [29, 8, 17, 31, 9, 25, 6])]
+_TURNS = f"p AS (SELECT conv_id AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, least(64, ceil(({_WORDS.format('text')} + 1) / 8) * 8)::BIGINT AS w FROM conversations)"
 
 
-@query("SELECT * FROM (VALUES (0, '0,1,2', 32, 3), (1, '3,4,5', 32, 3), (2, '6', 8, 1)) AS v(batch, indices, width, padded)")
+@query(f"WITH RECURSIVE {_TURNS}, {sql_batches(3, 128)} SELECT g AS conv_id, batch, pairs::INT AS pairs, width::INT AS width FROM batches")
 def q_batch_plan(spark, d):
-    rows = spark.createDataFrame(LENGTHS, "k int, lengths array<int>")
-    plan = batching.plan_batches(F.col("lengths"), 3, None, 32, multiple=8, by_length=False)
-    return rows.select(F.posexplode(plan).alias("batch", "b")).select("batch", F.array_join("b.indices", ",").alias("indices"), "b.width", "b.padded")
+    """The turns of every conversation in their order, under a token budget."""
+    turns = D.table(spark, d, "conversations").select("conv_id", "turn", "role", "text", (scoring.word_count(F.col("text")) + 1).alias("length"))
+    return _batches(batching.plan_rows(turns, ["conv_id"], ["turn", "role", "text"], 3, 128, 64, 8, by_length=False), "conv_id")
 
 
-@query()
+def _batches(planned, group: str):
+    return planned.where("place = 0").select(group, F.col("batch").cast("int").alias("batch"), "pairs", "width")
+
+
+@query(f"WITH RECURSIVE {_pairs_sql('source')}, {sql_batches(32, 65536)} SELECT g AS source, batch, pairs::INT AS pairs, width::INT AS width FROM batches")
 def q_batch_plan_documents(spark, d):
-    """All pairs of a source's documents, planned by length under a token budget."""
-    rows = scoring.native_lengths(D.language(spark, d)).groupBy("source", sampling.chunk(F.col("doc_id"), 500).alias("chunk")).agg(F.flatten(F.sort_array(F.collect_list("pair_lengths"))).alias("lengths"))
-    plan = batching.plan_batches(F.col("lengths"), 32, 65536, 7999, multiple=64)
-    return rows.select("source", "chunk", F.posexplode(plan).alias("batch", "b")).select("source", "chunk", "batch", F.size("b.indices").alias("pairs"), "b.width", "b.padded")
+    """All pairs of all of a source's documents, planned by length under a token budget."""
+    return _batches(batching.plan_rows(_document_pairs(spark, d), ["source"], ["doc_id", "c"], 32, 65536, scoring.LONGEST, 64), "source")
 
 
 @query()
@@ -635,11 +723,16 @@ def q_bundle_sizes(spark, d):
     return D.table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length(line) + 1).cast("long").alias("bytes"))
 
 
-@query("SELECT * FROM (VALUES (1, NULL), (2, 'count'), (3, 'length'), (4, 'token'), (5, 'mask_length'), (6, 'mask')) AS v(k, reason)")
+@query(f"SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'count' WHEN 2 THEN CASE WHEN {_WORDS.format('text')} % 5 > 2 THEN 'length' END WHEN 3 THEN CASE WHEN {_WORDS.format('text')} % 60 > 49 THEN 'token' END WHEN 4 THEN 'mask_length' WHEN 5 THEN 'mask' END AS reason FROM documents")
 def q_collate_checks(spark, d):
-    rows = [(1, [[1, 2], [3]], [[1, 1], [1]], [0.0, 1.0]), (2, [[1]], [[1], [1]], [0.0, 1.0]), (3, [[1, 2, 3, 4], [1]], [[1, 1, 1, 1], [1]], [0.0, 1.0]), (4, [[1, 99], [1]], [[1, 1], [1]], [0.0, 1.0]), (5, [[1, 2], [1]], [[1], [1]], [0.0, 1.0]), (6, [[1, 2], [1]], [[0, 0], [1]], [0.0, 1.0])]
-    frame = spark.createDataFrame(rows, "k int, input_ids array<array<int>>, attention_mask array<array<int>>, labels array<double>")
-    return frame.select("k", scoring.bad_pair(3, 50).alias("reason"))
+    """Encoded rows whose ids, lengths and masks come from each document's words; by doc_id, some don't fit together."""
+    n, case = scoring.word_count(F.col("text")), F.col("doc_id") % 6
+    one = lambda k: F.array_repeat(F.lit(1), k)
+    size = F.when(case == 2, n % 5 + 1).otherwise(2)
+    ids = F.array(F.array_repeat(F.when(case == 3, n % 60).otherwise(n % 50), size), one(1))
+    mask = F.when(case == 4, F.array(one(1), one(1))).when(case == 5, F.array(F.array_repeat(F.lit(0), size), one(1))).otherwise(F.array(one(size), one(1)))
+    labels = F.when(case == 1, F.array(F.lit(1.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    return D.table(spark, d, "documents").select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels")).select("doc_id", scoring.bad_pair(3, 50).alias("reason"))
 
 
 _STREAM = f"WITH e AS (SELECT event_id, 'e' || event_id AS id, {D.sql_logits('(' + chr(39) + 'e' + chr(39) + ' || event_id)', 3)} AS logits FROM events), p AS (SELECT event_id, {D.sql_softmax('logits')} AS p FROM e) SELECT event_id, (list_position(p, list_max(p)) - 1)::INT AS choice, round(list_max(p), 6) AS top FROM p"

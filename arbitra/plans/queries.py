@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbitra.functions import probability as P
 from arbitra.functions import text as X
 from arbitra.operators import adapters, batching, calibration, compare, dedup, metrics, requests, sampling, scoring, validate
 from arbitra.plans import decisions as D
 from arbitra.plans import prepare as prep
+from arbitra.sources import files
 from arbitra.sources.shared import Store, materialise, shared_folder
 from arbitra.streaming import serve
 
@@ -735,6 +737,44 @@ def q_collate_checks(spark, d):
     return D.table(spark, d, "documents").select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels")).select("doc_id", scoring.bad_pair(3, 50).alias("reason"))
 
 
+#: Lines of a written file.
+FILE_LINES = 500
+
+
+def _written_lines(spark, d, line):
+    """The folder of a file for each FILE_LINES documents, whose lines are in the order of doc_id."""
+    import uuid
+
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows = sampling.ordinals(D.table(spark, d, "documents").select("doc_id", line.alias("value")), ["doc_id"])
+    rows = rows.select("value", "ordinal", sampling.chunk(F.col("ordinal"), FILE_LINES).alias("chunk"))
+    rows.repartition("chunk").sortWithinPartitions("chunk", "ordinal").select("value", "chunk").write.partitionBy("chunk").text(folder)
+    return folder
+
+
+def _chunk_of(path: str):
+    return F.regexp_extract(path, "chunk=([0-9]+)/", 1).cast("long").alias("chunk")
+
+
+_LINES = f"(SELECT (row_number() OVER (ORDER BY doc_id) - 1) // {FILE_LINES} AS chunk, doc_id, lang, text FROM documents)"
+
+
+@query(f"""SELECT chunk::BIGINT AS chunk, sha256(string_agg(line, '' ORDER BY doc_id)) AS sha256, sum(strlen(line))::BIGINT AS bytes, count(*) AS lines
+ FROM (SELECT chunk, doc_id, '{{"doc_id":' || doc_id || ',"lang":"' || lang || '"}}' || chr(10) AS line FROM {_LINES}) GROUP BY chunk""")
+def q_file_checksums(spark, d):
+    """Whole files as they were written, read back in blocks."""
+    folder = _written_lines(spark, d, F.to_json(F.struct("doc_id", "lang")))
+    return files.file_info(spark, [folder]).select(_chunk_of("path"), "sha256", "bytes", "lines")
+
+
+@query(f"SELECT chunk::BIGINT AS chunk, line, sha256(raw) AS raw_sha FROM (SELECT chunk, row_number() OVER (PARTITION BY chunk ORDER BY doc_id) AS line, doc_id, lang || ' ' || doc_id AS raw FROM {_LINES}) WHERE doc_id % 7 = 3")
+def q_bad_lines(spark, d):
+    """Which lines of which files aren't JSON; ranges of 4 KiB, so files are cut within lines."""
+    line = F.when(F.col("doc_id") % 7 == 3, F.concat_ws(" ", "lang", "doc_id")).when(F.col("doc_id") % 7 == 4, "").otherwise(F.to_json(F.struct("doc_id", "lang")))
+    found = files.numbered_lines(spark, _written_lines(spark, d, line), T.StructType().add("doc_id", "long").add("lang", "string"), split=4096)
+    return found.select(_chunk_of("file"), "line", F.sha2("raw", 256).alias("raw_sha"))
+
+
 _STREAM = f"WITH e AS (SELECT event_id, 'e' || event_id AS id, {D.sql_logits('(' + chr(39) + 'e' + chr(39) + ' || event_id)', 3)} AS logits FROM events), p AS (SELECT event_id, {D.sql_softmax('logits')} AS p FROM e) SELECT event_id, (list_position(p, list_max(p)) - 1)::INT AS choice, round(list_max(p), 6) AS top FROM p"
 
 
@@ -743,8 +783,6 @@ def q_stream_microbatch_scores(spark, d):
     """The events table as a file stream through the same scoring plan as a batch, into a table that is read back."""
     import uuid
 
-    from pyspark.sql import types as T
-
     source = f"{d}/events.parquet"
     schema = spark.read.parquet(source).schema
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

@@ -6,15 +6,21 @@ import hashlib
 import json
 import os
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbitra.schema import SPLITS
-from arbitra.sources.shared import Store
+from arbitra.sources.shared import Store, materialise, package_on_workers
+
+#: Tasks that number lines at most; beyond it a task has several ranges.
+MOST_TASKS = 100_000
+
 
 def read_rows(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
     """JSON Lines with a fixed schema. Blank lines are skipped; a bad line fails the job, or stands in ``_corrupt_record`` if not strict."""
@@ -87,42 +93,132 @@ def merge_splits(spark: SparkSession, folder: str) -> None:
         store.delete(f"{folder}/split={split}")
 
 
-#: Bytes up to which a file is hashed as one value on an executor.
-ONE_VALUE = 1 << 30
+#: Bytes of a file that a task reads at a time.
+BLOCK = 1 << 22
+#: Bytes of a file whose lines one task numbers.
+SPLIT = 64 << 20
+
+
+def _open(path: str):
+    """A seekable stream of any file that Arrow's file systems reach: local, HDFS, object stores."""
+    system, place = fs.FileSystem.from_uri(path)
+    return system.open_input_file(place)
+
+
+def _sized(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and bytes of files, or of all files in folders; hidden ones don't count."""
+    store = Store(spark)
+    found = []
+    for path in paths:
+        found += [(f"{path.rstrip('/')}/{name}", size) for name, size in store.files(path).items()] if store.is_folder(path) else [(path, store.size(path))]
+    return spark.createDataFrame(found, "path string, bytes long")
 
 
 def stream_info(path: str) -> tuple[str, int, int]:
-    """sha256, bytes, lines of a local file of any size, block by block."""
+    """sha256, bytes, lines of a file of any size, block by block."""
     sha, size, lines = hashlib.sha256(), 0, 0
-    with open(path, "rb") as source:
-        while block := source.read(1 << 22):
+    with _open(path) as source:
+        while block := source.read(BLOCK):
             sha.update(block)
-            size, lines = size + len(block), lines + block.count(10)
+            size, lines = size + len(block), lines + block.count(b"\n")
     return sha.hexdigest(), size, lines
 
 
+INFO = "path string, sha256 string, bytes long, lines long"
+
+
 def file_info(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, sha256, bytes, lines of whole files: in parallel on the executors, local ones above ONE_VALUE streamed on the driver."""
-    schema = "path string, sha256 string, bytes long, lines long"
-    large = [p for p in paths if os.path.isfile(p) and os.path.getsize(p) > ONE_VALUE]
-    paths = [p for p in paths if p not in large]
-    streamed = spark.createDataFrame([(p, *stream_info(p)) for p in large], schema)
-    if not paths:
-        return streamed
-    content = F.col("content")
-    text = F.decode(content, "ISO-8859-1")
-    found = spark.read.format("binaryFile").load(paths).select(
-        "path",
-        F.sha2(content, 256).alias("sha256"),
-        F.col("length").alias("bytes"),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("lines"),
-    )
-    return found.unionByName(streamed) if large else found
-
-
-def numbered_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """file, line (from 1) and raw of each line of one or more JSON Lines files that isn't blank and doesn't parse."""
-    lines = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("at", "raw"))
+    """INFO of whole files, or of all files in folders: one file a task, each read in blocks on the executors, so no file is ever held as one value."""
+    package_on_workers(spark)
+
+    def run(batches):
+        for batch in batches:
+            found = [(path, *stream_info(path)) for path in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "sha256", "bytes", "lines"), row, strict=True)) for row in found], schema=pa.schema([("path", pa.string()), ("sha256", pa.string()), ("bytes", pa.int64()), ("lines", pa.int64())]))
+
+    files = _sized(spark, paths).select("path")
+    return files.repartition(max(1, files.count())).mapInArrow(run, INFO)
+
+
+def _lines(path: str, start: int, stop: int, before: int) -> Iterator[tuple[int, str]]:
+    """(number, text) of the lines that begin in bytes ``start`` to ``stop``; ``before`` newlines stand before ``start``."""
+    with _open(path) as source:
+        at, number, rest, inside = start, before + 1, b"", True
+        if start:
+            source.seek(start - 1)
+            inside = source.read(1) == b"\n"
+            number += not inside
+        while at < stop:
+            block = source.read(BLOCK)
+            if not block:
+                break
+            if not inside:
+                head, newline, block = block.partition(b"\n")
+                at += len(head) + len(newline)
+                inside = bool(newline)
+                if not inside:
+                    continue
+            parts = (rest + block).split(b"\n")
+            rest = parts.pop()
+            for part in parts:
+                if at >= stop:
+                    return
+                yield number, part.decode("utf-8", "replace")
+                number += 1
+                at += len(part) + 1
+        if rest and at < stop:
+            yield number, rest.decode("utf-8", "replace")
+
+
+def lines_of(spark: SparkSession, path: str | list[str], split: int = SPLIT) -> DataFrame:
+    """file, line (from 1) and raw of every line of one or more files, or all files in folders, of any size.
+
+    Files are cut into ranges of ``split`` bytes. Newlines are counted by range, then summed up over the ranges before; then each range
+    gives the lines that begin in it. A task holds a block and its longest line.
+    """
+    package_on_workers(spark)
+    sized = _sized(spark, [path] if isinstance(path, str) else list(path)).where("bytes > 0")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start")
+    ranges = sized.select("path", "bytes", starts).withColumn("stop", F.least(F.col("start") + split, "bytes")).drop("bytes")
+    tasks = max(1, min(MOST_TASKS, ranges.count()))
+
+    def count(batches):
+        for batch in batches:
+            found = []
+            for name, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                newlines, at = 0, start
+                with _open(name) as source:
+                    source.seek(start)
+                    while at < stop and (block := source.read(min(BLOCK, stop - at))):
+                        newlines, at = newlines + block.count(b"\n"), at + len(block)
+                found.append(newlines)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["path", "start", "stop", "newlines"])
+
+    counted = materialise(ranges.repartition(tasks).mapInArrow(count, "path string, start long, stop long, newlines long"))
+    earlier = F.sum("newlines").over(Window.partitionBy("path").orderBy("start")) - F.col("newlines")
+
+    def read(batches):
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["file", "line", "raw"])
+
+        for batch in batches:
+            for name, start, stop, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held, size = [], 0
+                for number, raw in _lines(name, start, stop, before):
+                    held.append((name, number, raw))
+                    size += len(raw)
+                    if len(held) == 4096 or size > BLOCK:
+                        yield out(held)
+                        held, size = [], 0
+                if held:
+                    yield out(held)
+
+    placed = counted.select("path", "start", "stop", earlier.alias("before")).repartition(tasks)
+    return placed.mapInArrow(read, "file string, line long, raw string")
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str], schema: T.StructType, split: int = SPLIT) -> DataFrame:
+    """file, line (from 1) and raw of each line of JSON Lines files that isn't blank and doesn't parse."""
     parsed = F.from_json("raw", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad", "allowNonNumericNumbers": "false"})
     bad = (F.trim("raw") != "") & (parsed["_bad"].isNotNull() | parsed.isNull())
-    return lines.where(bad).select(F.col("path").alias("file"), (F.col("at") + 1).alias("line"), "raw")
+    return lines_of(spark, path, split).where(bad)

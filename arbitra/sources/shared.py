@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def package_on_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package."""
+    root = str(Path(__file__).resolve().parents[2])
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+
+
 class Store:
     """Small documents and whole folders on any of Hadoop's file systems."""
 
@@ -49,6 +59,10 @@ class Store:
         system, where = self._at(path)
         return system.exists(where) and system.getFileStatus(where).isDirectory()
 
+    def size(self, path: str) -> int:
+        system, where = self._at(path)
+        return system.getFileStatus(where).getLen()
+
     def names(self, folder: str) -> list[str]:
         system, where = self._at(folder)
         return sorted(s.getPath().getName() for s in system.listStatus(where)) if system.exists(where) else []

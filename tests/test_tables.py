@@ -1,6 +1,10 @@
 """Operators that follow a chain through a whole table, against plain loops."""
 
+import hashlib
+import os
 import random
+import resource
+import tempfile
 from collections import Counter
 
 import numpy as np
@@ -9,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arbitra.operators import batching, dedup
+from arbitra.sources import files
 
 
 def fold(lengths, pairs, tokens, most, multiple, fixed):
@@ -99,3 +104,50 @@ def test_capped_duplicates_equal_the_walk(spark, seed, contents, cap):
     frame = spark.createDataFrame(rows, "row_key string, content_key string, source string, task string, src_ord int, prio string, aggregate boolean, overlength boolean")
     assert {r.row_key: r.disposition for r in dedup.capped_first_wins(frame, cap).collect()} == want
     assert dedup.capped_first_wins(frame.limit(0), cap).collect() == []
+
+
+def test_lines_keep_their_numbers_however_files_are_cut(spark, tmp_path):
+    rnd = random.Random(4)
+    texts = {"a.jsonl": ["x" * rnd.choice([0, 1, 5, 300]) + "é" for _ in range(200)], "b.jsonl": ["one"], "long.jsonl": ["y" * 5000, "", "z" * 4000, "end"]}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if name == "a.jsonl" else ""))
+    (tmp_path / "empty.jsonl").write_text("")
+    for split in (1 << 20, 700, 64):
+        got = sorted((r.file.rsplit("/", 1)[1], r.line, r.raw) for r in files.lines_of(spark, str(tmp_path), split).collect())
+        assert got == sorted((name, i + 1, line) for name, lines in texts.items() for i, line in enumerate(lines))
+
+
+@given(st.lists(st.sampled_from(["", "a", "bb", "c" * 40]), max_size=30), st.booleans(), st.integers(1, 60), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_every_line_begins_in_one_range(lines, closed, split, block):
+    with tempfile.NamedTemporaryFile("wb") as file, pytest.MonkeyPatch.context() as patch:
+        patch.setattr(files, "BLOCK", block)
+        data = ("\n".join(lines) + ("\n" if closed and lines else "")).encode()
+        file.write(data)
+        file.flush()
+        found = [x for start in range(0, len(data), split) for x in files._lines(file.name, start, min(start + split, len(data)), data[:start].count(b"\n"))]
+    plain = data.decode().split("\n")
+    assert found == [(i + 1, line) for i, line in enumerate(plain) if i < len(plain) - 1 or line]
+
+
+def test_checksums_of_whole_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BLOCK", 1000)
+    data = {f"f{i}": os.urandom(i * 1500) + b"\n" * i for i in range(4)}
+    for name, own in data.items():
+        (tmp_path / name).write_bytes(own)
+    got = {r.path.rsplit("/", 1)[1]: (r.sha256, r.bytes, r.lines) for r in files.file_info(spark, [str(tmp_path / name) for name in data]).collect()}
+    assert got == {name: (hashlib.sha256(own).hexdigest(), len(own), own.count(b"\n")) for name, own in data.items()}
+    assert sorted(r.path for r in files.file_info(spark, [str(tmp_path)]).collect()) == sorted(f"{tmp_path}/{name}" for name in data)
+
+
+def test_a_file_beyond_one_value_is_read_in_blocks(tmp_path):
+    """A sparse file of 3 GiB, with little memory."""
+    path = tmp_path / "large"
+    with open(path, "wb") as file:
+        file.write(b"a\n")
+        file.truncate(3 << 30)
+        file.seek(0, os.SEEK_END)
+        file.write(b"\n")
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert files.stream_info(str(path))[1:] == ((3 << 30) + 1, 2)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000

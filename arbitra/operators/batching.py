@@ -113,10 +113,10 @@ def plan_rows(rows: DataFrame, groups: list[str], order: list[str], pairs: int,
     """
     keys = [*groups, *([length] if by_length else []), *order]
     group = F.struct(*groups) if groups else F.struct(F.lit(0).alias("all"))
-    rows = rows.select("*", round_up(F.col(length), multiple, max_length).cast("long").alias("_width"), F.to_json(group).alias("_group"))
-    laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    rows = rows.select("*", round_up(F.col(length), multiple, max_length).cast("long").alias("_planned_width"), F.to_json(group).alias("_planned_group"))
+    laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_planned_at", F.monotonically_increasing_id())
     laid = materialise(laid)
-    narrow = laid.select("_group", "_width", "_id")
+    narrow = laid.select("_planned_group", "_planned_width", "_planned_at")
 
     def segments(batches):
         """A range's groups one after the other: (range, group, widths, id of the first pair)."""
@@ -201,10 +201,10 @@ def plan_rows(rows: DataFrame, groups: list[str], order: list[str], pairs: int,
             sizes = np.where(old, size, chain.size[start] if len(starts) else 0)
             padded = np.array([padded_count(int(s), pairs, fixed_shapes) for s in range(pairs + 1)])[sizes]
             columns = [first + at, before + nth, np.where(old, place + at, at - start), sizes, np.where(old, width, chain.width[start] if len(starts) else 0), padded]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["_own", "batch", "place", "pairs", "width", "padded"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], names=["_planned_of", "batch", "place", "pairs", "width", "padded"])
 
-    planned = narrow.mapInArrow(plan, f"_own long, {PLANNED}")
-    return laid.join(planned, F.col("_id") == F.col("_own")).drop("_id", "_own", "_width", "_group")
+    planned = narrow.mapInArrow(plan, f"_planned_of long, {PLANNED}")
+    return laid.join(planned, F.col("_planned_at") == F.col("_planned_of")).drop("_planned_at", "_planned_of", "_planned_width", "_planned_group")
 
 
 def to_pairs(rows: DataFrame, key: str = "id", candidates: str = "candidates") -> DataFrame:

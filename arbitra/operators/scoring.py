@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbitra.functions.text import format_prompt
+from arbitra.operators.batching import plan_rows
+from arbitra.sources.shared import materialise
 
 #: Most tokens a pair may ever have.
 LONGEST = 7999
@@ -62,6 +67,51 @@ def score(rows: DataFrame, load: Callable[[], Callable[[list[list[list[int]]]],
     return laid.withColumn("logits", run("input_ids"))
 
 
+DENSE = pa.schema([("_id", pa.int64()), ("_candidate", pa.int32()), ("_logit", pa.float64()), ("_seconds", pa.float64())])
+
+
+def dense_batch(ids: list[list[int]], width: int, padded: int, pad_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """ids and masks of ``padded`` rows of ``width``: the pairs filled up with ``pad_id``, then the last pair again, as a row without any mask would break attention."""
+    filled = np.full((padded, width), pad_id, np.int64)
+    mask = np.zeros((padded, width), np.int64)
+    for row, own in enumerate([*ids, *[ids[-1]] * (padded - len(ids))]):
+        filled[row, : len(own)] = own
+        mask[row, : len(own)] = 1
+    return filled, mask
+
+
+def score_dense(
+    rows: DataFrame, load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], pairs: int, tokens: int | None, max_length: int = LONGEST, multiple: int = 1, fixed_shapes: bool = False, pad_id: int = 0, clock: Callable[[], float] = time.perf_counter
+) -> DataFrame:
+    """Adds logits and seconds by a model of dense batches: (ids, mask) to one score a row.
+
+    All pairs of all rows are planned together by length, under a limit of pairs and of padded tokens; each batch is one task's call of the model, which a Python worker
+    loads once. A pair's seconds are its share of its batch's; a row has its pairs' sum. Scores go back to their rows whatever order batches end in. A row without pairs gets none.
+    """
+    rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()))
+    flat = rows.select("_id", F.posexplode("input_ids").alias("_candidate", "_ids")).withColumn("_length", F.size("_ids"))
+    planned = plan_rows(flat, [], ["_id", "_candidate"], pairs, tokens, max_length, multiple, True, fixed_shapes, "_length")
+    made: list = []
+
+    def run(table: pa.Table) -> pa.Table:
+        if not made:
+            made.append(load())
+        table = table.sort_by("place")
+        ids, mask = dense_batch(table.column("_ids").to_pylist(), table.column("width")[0].as_py(), table.column("padded")[0].as_py(), pad_id)
+        start = clock()
+        scores = np.asarray(made[0](ids, mask), np.float64).reshape(-1)
+        spent = clock() - start
+        if len(scores) != len(ids):
+            raise ValueError("the model returned another number of scores")
+        n = table.num_rows
+        return pa.Table.from_arrays([table.column("_id"), table.column("_candidate").cast(pa.int32()), pa.array(scores[:n]), pa.array(np.full(n, spent / n))], schema=DENSE)
+
+    scored = planned.groupBy("batch").applyInArrow(run, "_id long, _candidate int, _logit double, _seconds double")
+    gathered = F.sort_array(F.collect_list(F.struct("_candidate", "_logit")))
+    found = scored.groupBy(F.col("_id").alias("_own")).agg(F.transform(gathered, lambda p: p["_logit"]).alias("logits"), F.sum("_seconds").alias("seconds"))
+    return rows.join(found, F.col("_id") == F.col("_own"), "left").drop("_id", "_own")
+
+
 def bad_pair(max_length: int, vocabulary: int) -> Column:
     """Why an encoded row can't be collated, or null: counts, lengths, ids and masks."""
     ids, mask = F.col("input_ids"), F.col("attention_mask")

@@ -44,7 +44,7 @@ def calibrate(spark: SparkSession, model_dir: str, path: str, scorer: Callable[[
         raise ValueError("only calibration.jsonl may be used to calibrate")
     rows = scorer(load(spark, path)).select("logits", "target").persist()
     temperature = calibration.fit_temperature(rows)
-    losses = {r.temperature: r.log_loss for r in calibration.log_losses(rows, [1.0, temperature]).collect()}
+    losses = {r.temperature: r.log_loss for r in metrics.require_finite(calibration.log_losses(rows, [1.0, temperature]), "log_loss").collect()}
     config_path = Path(model_dir) / "model_config.json"
     config = files.load_config(config_path) if config_path.exists() else {}
     files.write_json(config_path, config | {"temperature": temperature})
@@ -68,7 +68,7 @@ def evaluate(spark: SparkSession, path: str, temperature: float, output: str, sc
     if Path(output).exists():
         raise FileExistsError(output)
     rows = scorer(load(spark, path)).select("source", "kind", "task", "target", "logits").persist()
-    stages = {name: report_document(metrics.report(rows.withColumn("probabilities", softmax(F.col("logits"), t)), SETS)) for name, t in (("uncalibrated", 1.0), ("calibrated", temperature))}
+    stages = {name: report_document(metrics.require_finite(metrics.report(rows.withColumn("probabilities", softmax(F.col("logits"), t)), SETS), "log_loss", "brier_score")) for name, t in (("uncalibrated", 1.0), ("calibrated", temperature))}
     rows.unpersist()
     result = {"temperature": temperature, "data_sha256": file_sha256(path), "stages": stages}
     files.write_json(output, result)
@@ -76,11 +76,20 @@ def evaluate(spark: SparkSession, path: str, temperature: float, output: str, sc
 
 
 def predictions(sample: DataFrame, scorer: Callable[[DataFrame], DataFrame], clock: Callable[[], float] = time.perf_counter) -> DataFrame:
-    """``sample`` with probabilities and seconds, the mean time that scoring one of its rows took; written to the shared folder, so it is scored once."""
+    """``sample`` with probabilities and seconds; written to the shared folder, so it is scored once.
+
+    Scorers that time their rows (scoring.score_dense) give seconds themselves; for others it is the mean time that a row took.
+    """
     start = clock()
     rows = materialise(scorer(sample).withColumn("probabilities", softmax(F.col("logits"))))
     spent = clock() - start
-    return rows.withColumn("seconds", F.lit(spent / max(rows.count(), 1)))
+    return rows if "seconds" in rows.columns else rows.withColumn("seconds", F.lit(spent / max(rows.count(), 1)))
+
+
+def latencies(spark: SparkSession, log: str, groups: list[str] | None = None) -> DataFrame:
+    """Count, median, 95th percentile and throughput of a written log of predictions."""
+    rows = spark.read.schema("index long, id string, probabilities array<double>, seconds double").json(log)
+    return metrics.latency_summary(rows.withColumn("all", F.lit("all")), "seconds", groups or ["all"])
 
 
 def altered(sample: DataFrame) -> dict:

@@ -211,6 +211,18 @@ def q_encode_tokenizer(spark, d):
     return rows.select("doc_id", F.array_max(F.transform("input_ids", F.size)).alias("longest"), "overlength")
 
 
+def _mean_token(ids, mask):
+    """A stand-in model of dense batches: the mean of a pair's own tokens."""
+    return (ids * mask).sum(1) / mask.sum(1)
+
+
+@query(f"SELECT doc_id, i::INT AS idx, round((1 + 3 * (10 + {_WORDS.format('text')} + 8) + 2 + 4 + 2) / (10 + {_WORDS.format('text')} + 8 + 1 + 3), 6) AS value FROM documents, (SELECT unnest(range(0, 4)) AS i)")
+def q_dense_scores(spark, d):
+    """All pairs of all documents through padded batches, put back by row and candidate."""
+    rows = scoring.encode(D.language(spark, d), scoring.LONGEST).select("doc_id", "input_ids")
+    return long_form(scoring.score_dense(rows, lambda: _mean_token, 32, 65536, scoring.LONGEST, 64), ["doc_id"], "logits")
+
+
 # --- sampling
 
 

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arbitra.operators import batching, dedup
+from arbitra.operators import batching, dedup, scoring
 from arbitra.sources import files
 
 
@@ -151,3 +151,35 @@ def test_a_file_beyond_one_value_is_read_in_blocks(tmp_path):
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     assert files.stream_info(str(path))[1:] == ((3 << 30) + 1, 2)
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def by_mask(ids, mask):
+    """A score of a pair's own tokens alone, wherever it stands and however it is filled up."""
+    assert ids.shape == mask.shape and (mask.sum(1) > 0).all()
+    return (np.where(mask == 1, ids, 0) * (1 + np.arange(ids.shape[1]) % 5)).sum(1) / mask.sum(1)
+
+
+def clock_of():
+    """Seconds that a call takes: a quarter."""
+    ticks = iter(range(10**9))
+    return lambda: next(ticks) * 0.25
+
+
+@pytest.mark.parametrize(("pairs", "tokens", "multiple", "fixed"), [(4, None, 1, False), (8, 200, 8, True), (3, 90, 4, False)])
+def test_dense_batches_give_every_pair_its_own_score(spark, pairs, tokens, multiple, fixed):
+    rnd = random.Random(pairs)
+    rows = [(f"r{i}", [[rnd.randint(1, 99) for _ in range(rnd.randint(1, 20))] for _ in range(rnd.choice([2, 3, 5]))]) for i in range(60)] + [("none", [])]
+    frame = spark.createDataFrame(rows, "id string, input_ids array<array<int>>").repartition(3)
+    got = {r.id: r for r in scoring.score_dense(frame, lambda: by_mask, pairs, tokens, 64, multiple, fixed, clock=clock_of()).collect()}
+    assert len(got) == len(rows) and got["none"].logits is None
+    for key, own in rows[:-1]:
+        alone = [float(by_mask(np.array([p]), np.ones((1, len(p)), int))[0]) for p in own]
+        assert np.allclose(got[key].logits, alone) and 0 < got[key].seconds <= 0.25 * len(own)
+    # each call took a quarter of a second, shared by its pairs
+    calls = len({(r.batch) for r in batching.plan_rows(spark.createDataFrame([(i, c, len(p)) for i, (_, ps) in enumerate(rows) for c, p in enumerate(ps)], "i int, c int, length int"), [], ["i", "c"], pairs, tokens, 64, multiple, True, fixed).collect()})
+    assert abs(sum(r.seconds for r in got.values() if r.seconds) - 0.25 * calls) < 1e-6
+
+
+def test_filled_up_batches():
+    ids, mask = scoring.dense_batch([[5, 6], [7]], 4, 4, pad_id=9)
+    assert ids.tolist() == [[5, 6, 9, 9], [7, 9, 9, 9], [7, 9, 9, 9], [7, 9, 9, 9]] and mask.tolist() == [[1, 1, 0, 0], [1, 0, 0, 0], [1, 0, 0, 0], [1, 0, 0, 0]]

@@ -389,3 +389,27 @@ def prove(rows: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
     out = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")), ("verified", pa.bool_())])
     return _per_range(tree.ranges, edges, fanout, work, out, PROOFS)
+
+
+#: The same over whole trees: every level as a list, every leaf's way up as a recursion.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, lang,
+   [CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END] AS said, n_chars,
+   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(0, 8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 7 = 0 AS tampered FROM documents),
+ e AS (SELECT *, sha256(said[1] || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || said[2]) AS leaf, CASE WHEN tampered AND n_chars IS NOT NULL THEN sha256(said[1] || strlen((n_chars + 1)::VARCHAR) || ':' || n_chars + 1 || said[2]) END AS claimed FROM d),
+ l AS (SELECT doc_id, coalesce('=' || lang, '') AS part, leaf, coalesce(claimed, leaf) AS claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM e),
+ t AS (SELECT part, 0 AS level, list(leaf ORDER BY place) AS nodes FROM l GROUP BY part
+  UNION ALL SELECT part, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM t WHERE len(nodes) > 1),
+ s AS (SELECT part, nodes[1] AS subroot, row_number() OVER (ORDER BY part) - 1 AS place FROM t WHERE len(nodes) = 1),
+ u AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM s
+  UNION ALL SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM u WHERE len(nodes) > 1),
+ levels AS MATERIALIZED (SELECT part, level, nodes FROM t WHERE len(nodes) > 1 UNION ALL SELECT s.part, u.level + h.height, u.nodes FROM s, u, (SELECT part, max(level) AS height FROM t GROUP BY part) AS h WHERE h.part = s.part AND len(u.nodes) > 1),
+ top AS (SELECT part, max(level) AS height FROM t GROUP BY part),
+ w AS (SELECT l.part, doc_id, leaf, l.place AS leaf_place, 0 AS level, l.place AS place, claimed AS folded, '' AS proof FROM l
+  UNION ALL SELECT w.part, doc_id, leaf, leaf_place, w.level + 1, spot // 2,
+   CASE WHEN spot % 2 = 1 THEN sha256(nodes[spot] || folded) ELSE sha256(folded || coalesce(nodes[spot + 2], '')) END, proof || CASE WHEN spot % 2 = 1 THEN nodes[spot] ELSE coalesce(nodes[spot + 2], '') END
+  FROM (SELECT w.*, CASE WHEN w.level = top.height THEN s.place ELSE w.place END AS spot FROM w JOIN top USING (part) JOIN s USING (part)) AS w JOIN levels ON levels.part = w.part AND levels.level = w.level),
+ f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY part, leaf_place ORDER BY level DESC) = 1)
+SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = nodes[1] AS verified FROM f JOIN s USING (part), (SELECT nodes FROM u WHERE len(nodes) = 1)"""

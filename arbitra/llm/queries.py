@@ -132,4 +132,5 @@ ORACLES: dict[str, str] = {
     "op6_url_filters": urlfilter.ORACLE,
     "op8_chat_formatting": _CHAT_SQL,
     "op11_filter_audit": audit.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }

@@ -15,7 +15,22 @@ import pyarrow.compute as pc
 #: A space after which a cut would change pre-tokens; texts that hold one are one chunk.
 UNSAFE_CUT = re.compile(r" (?:\s|\Z)")
 #: Characters of texts that are worked off together.
-SLICE = 4_000_000
+SLICE = 2_000_000
+#: Rows and bytes of a record batch's texts that are Python strings at a time.
+ROWS, BYTES = 1024, 4_000_000
+
+
+def slices(texts: pa.Array) -> Iterator[slice]:
+    """Runs of a column's texts of bounded number and size; no text is cut."""
+    start, size = 0, 0
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for i, own in enumerate(sizes):
+        if i > start and (i - start == ROWS or size + own > BYTES):
+            yield slice(start, i)
+            start, size = i, 0
+        size += own
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 def runs(texts: list[str], most: int = SLICE) -> Iterator[list[str]]:

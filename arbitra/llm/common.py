@@ -20,13 +20,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of a record batch on its way to Python, which exists outside the JVM's heap on either side, and twice while it is handed over.
+BATCH_BYTES = 8 << 20
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and make checkpoint() usable.
+    """Let Python workers import this package, keep record batches small, and make checkpoint() usable.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``, or the caller by ``setCheckpointDir``; without either
     a temporary folder serves local sessions, and anything else is an error.
     """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     path = context.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import UNSAFE_CUT, Kept, Values, chunked, runs, text_in
+from .chunks import UNSAFE_CUT, Kept, Values, chunked, runs, slices, text_in
 from .common import cut, ready, text_of, trimmed
 
 CAPACITY = 2048
@@ -35,7 +35,7 @@ BLOCK = 1 << 16
 SLACK = 1 / 128
 ROUNDS = 8
 #: Distinct chunks whose ids a Python worker keeps, and the longest chunk (in bytes) that is kept.
-KEPT_CHUNKS, KEPT_LENGTH = 400_000, 48
+KEPT_CHUNKS, KEPT_LENGTH = 200_000, 48
 
 #: How byte-level tokenizers split text before merging.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -167,9 +167,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches):
         encoder = ChunkEncoder.of(tokenizer)
         for batch in batches:
-            ids_of = batch.column(0).to_pylist()
             out = ([], [], [], [], [])
-            for doc_id, ids in zip(ids_of, encoder.arrays(batch.column(1).to_pylist()), strict=True):
+            some = (zip(batch.column(0)[s].to_pylist(), encoder.arrays(batch.column(1)[s].to_pylist()), strict=True) for s in slices(batch.column(1)))
+            for doc_id, ids in itertools.chain.from_iterable(some):
                 ids = np.append(ids, end).astype("<u4")
                 total = len(ids)
                 first = (total - 1) % capacity + 1

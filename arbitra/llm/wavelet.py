@@ -16,17 +16,16 @@ import itertools
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import slices
 from .common import ready, text_of, trimmed
 from .packing import ChunkEncoder
 
@@ -35,8 +34,6 @@ MAGIC = b"WVMX0001"
 BLOCK = 1 << 16
 #: A shard is closed by the document that brings it to this many tokens.
 SHARD_TOKENS = 1 << 22
-#: Documents and bytes of text that are encoded together.
-TOGETHER, TOGETHER_BYTES = 1024, 4_000_000
 #: Tasks that read files at most; beyond it a task reads several.
 MOST_TASKS = 100_000
 
@@ -255,19 +252,6 @@ def write_documents(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
-def slices(texts: pa.Array) -> Iterator[slice]:
-    """Runs of texts of bounded number and size."""
-    start, size = 0, 0
-    sizes = pc.binary_length(texts).to_pylist()
-    for i, own in enumerate(sizes):
-        if i > start and (i - start == TOGETHER or size + own > TOGETHER_BYTES):
-            yield slice(start, i)
-            start, size = i, 0
-        size += own
-    if start < len(sizes):
-        yield slice(start, len(sizes))
-
-
 def placed(manifest: DataFrame) -> DataFrame:
     """``manifest`` and base: the tokens before each file in the whole. One total for each partition that was written meets in the driver, whatever it holds."""
     totals = sorted((r.part, r.tokens) for r in manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect())

@@ -248,8 +248,11 @@ def keep_good(docs: DataFrame, model: GatedAttention | None, threshold: float =
 
     def run(batches):
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            text = batch.column(at).to_pylist()
             kept = [model.score(x, sizes) >= threshold for x, sizes in encode_texts([t or "" for t in text])]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.empty(0, bool)))
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    # numbers for names: mapInArrow looks names up, and some (with dots) mean something else then
+    at = docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(trimmed(run), plain.schema).toDF(*docs.columns)

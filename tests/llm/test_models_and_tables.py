@@ -390,3 +390,41 @@ def test_oracles(spark, name):
     found = queries.QUERIES[name](spark, SMALL)
     assert sorted(expected.columns) == sorted(found.columns)
     assert Counter(map(tuple, found.select(expected.columns).collect())) == Counter(expected.fetchall())
+
+
+CLASHING = ["_gone", "_hash", "_again", "hash", "row", "score", "size", "key", "value", "term", "span", "bin", "fill", "count", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark, odd, empty, tmp_path):
+    """Each stage over nulls, repeated rows, long and empty texts, no rows at all, and columns whose names are its own."""
+    spark.createDataFrame([(3, 1, 0), (4, 0, 0), (7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd, empty):
+        wide = docs.select("*", *(F.monotonically_increasing_id().alias(c) for c in CLASHING))
+        rows = wide.count()
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, wide, str(tmp_path))
+            if name != "best_fit_packing":
+                assert got.columns == wide.columns and got.count() <= rows, name
+                if name == "pii":
+                    assert got.count() == rows
+            else:
+                assert got.where("piece = 0").count() == rows
+
+
+def test_quality_scores_are_a_plain_forward_pass(spark):
+    """Every passage of a whole text on its own, one formula after the other."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_model(docs, labels)
+    w = {k: np.asarray(v, np.float64) for k, v in model.w.items()}
+    scores = {r.doc_id: r.score for r in quality.score_documents(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for doc_id in sorted(texts)[:60]:
+        (x, sizes), = quality.encode_texts([texts[doc_id]])
+        assert sizes.tolist() == [len(x)]
+        total, mixed = 0.0, 0.0
+        for row in np.asarray(x, np.float64):
+            h = np.tanh(((row - w["mean"]) / w["scale"]) @ w["W"] + w["b"])
+            gate = np.exp(float((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"]))
+            total, mixed = total + gate, mixed + gate * h
+        plain = 1 / (1 + np.exp(-(float(mixed / total @ w["c"]) + float(w["c0"][0]))))
+        assert abs(plain - scores[doc_id]) < 1e-4, doc_id

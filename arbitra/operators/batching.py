@@ -13,12 +13,20 @@ from arbitra.sources.shared import materialise
 BATCH = "array<struct<indices:array<int>,width:int,padded:int>>"
 
 
+def check_plan(pairs: int, tokens: int | None, multiple: int) -> None:
+    """Limits of batches are positive whole numbers; the tokens' may be missing."""
+    for name, value in (("pairs", pairs), ("multiple", multiple), *([("tokens", tokens)] if tokens is not None else [])):
+        if isinstance(value, bool) or not isinstance(value, int) or value < 1:
+            raise ValueError(f"{name} must be a positive whole number")
+
+
 def plan_batches(lengths: Column, pairs: int, tokens: int | None, max_length: int, multiple: int = 1, by_length: bool = True, fixed_shapes: bool = False) -> Column:
     """BATCH: consecutive pairs until the next would exceed ``pairs`` rows or ``tokens`` padded tokens.
 
     A fold over (length, index) in order; widths round up to ``multiple``, counts to powers of two with
     ``fixed_shapes``. A pair that can't fit alone fails the job.
     """
+    check_plan(pairs, tokens, multiple)
     each = F.transform(lengths, lambda n, i: F.struct(round_up(n, multiple, max_length).alias("width"), n.alias("length"), i.alias("index")))
     if by_length:
         each = F.transform(F.array_sort(F.transform(each, lambda e: F.struct(e["length"].alias("length"), e["index"].alias("index"), e["width"].alias("width")))), lambda e: F.struct(e["width"].alias("width"), e["length"].alias("length"), e["index"].alias("index")))
@@ -111,6 +119,7 @@ def plan_rows(rows: DataFrame, groups: list[str], order: list[str], pairs: int,
     which it may come in; these ways are put together over the ranges; then every range follows the chain from where it does come in.
     Each pass takes a range's pairs as arrays of numbers, whatever the group, and the driver holds ``pairs`` entries for each range at most.
     """
+    check_plan(pairs, tokens, multiple)
     keys = [*groups, *([length] if by_length else []), *order]
     group = F.struct(*groups) if groups else F.struct(F.lit(0).alias("all"))
     rows = rows.select("*", round_up(F.col(length), multiple, max_length).cast("long").alias("_planned_width"), F.to_json(group).alias("_planned_group"))

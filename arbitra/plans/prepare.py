@@ -58,7 +58,7 @@ def adapt_sources(specs: list[dict], load, settings: Settings) -> tuple[DataFram
             for split, role in spec["splits"].items():
                 raw = load(spec["dataset"], config, split)
                 if settings.scan_limit_per_split is not None:
-                    raw = sampling.prefix(raw.withColumn("_one", F.lit(1)), ["_one"], ["ord"], settings.scan_limit_per_split).drop("_one")
+                    raw = raw.orderBy("ord").limit(settings.scan_limit_per_split)
                 rows = adapters.adapt(raw, spec["dataset"], spec["adapter"], config, split, settings.max_candidates, settings.exact)
                 parts.append(rows.withColumns({"role": F.lit(role), "has_test": F.lit(has_test), "aggregate": F.lit(bool(spec.get("aggregate", False))), "src_ord": F.lit(order)}))
                 scans.append(raw.agg(F.lit(spec["dataset"]).alias("source"), F.lit(config).alias("config"), F.lit(split).alias("split"), F.count(F.lit(1)).alias("scanned")))

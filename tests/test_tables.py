@@ -183,3 +183,9 @@ def test_dense_batches_give_every_pair_its_own_score(spark, pairs, tokens, multi
 def test_filled_up_batches():
     ids, mask = scoring.dense_batch([[5, 6], [7]], 4, 4, pad_id=9)
     assert ids.tolist() == [[5, 6, 9, 9], [7, 9, 9, 9], [7, 9, 9, 9], [7, 9, 9, 9]] and mask.tolist() == [[1, 1, 0, 0], [1, 0, 0, 0], [1, 0, 0, 0], [1, 0, 0, 0]]
+
+
+@pytest.mark.parametrize("bad", [{"pairs": 0}, {"pairs": True}, {"tokens": 0}, {"tokens": 1.5}, {"multiple": -1}])
+def test_limits_of_batches_are_checked(bad):
+    with pytest.raises(ValueError, match="positive whole number"):
+        batching.check_plan(**({"pairs": 1, "tokens": None, "multiple": 1} | bad))

@@ -136,8 +136,30 @@ def file_info(spark: SparkSession, paths: list[str]) -> DataFrame:
             found = [(path, *stream_info(path)) for path in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pylist([dict(zip(("path", "sha256", "bytes", "lines"), row, strict=True)) for row in found], schema=pa.schema([("path", pa.string()), ("sha256", pa.string()), ("bytes", pa.int64()), ("lines", pa.int64())]))
 
-    files = _sized(spark, paths).select("path")
-    return files.repartition(max(1, files.count())).mapInArrow(run, INFO)
+    near = [p for p in paths if _reached(p)]
+    files = _sized(spark, near).select("path")
+    found = files.repartition(max(1, files.count())).mapInArrow(run, INFO)
+    far = _sized(spark, [p for p in paths if p not in near]).collect()
+    return found.unionByName(_values_info(spark, {r.path: r.bytes for r in far})) if far else found
+
+
+def _reached(path: str) -> bool:
+    """Whether Arrow has a file system for a path's scheme; Spark's may have more."""
+    try:
+        return fs.FileSystem.from_uri(path) is not None
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+
+
+def _values_info(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
+    """INFO of files that only Spark's readers reach, each as one value (2 GB at most); empty ones, which its reader passes over, are known without it."""
+    known = spark.createDataFrame([(p, hashlib.sha256().hexdigest(), 0, 0) for p, size in sizes.items() if not size], INFO)
+    paths = [p for p, size in sizes.items() if size]
+    if not paths:
+        return known
+    text = F.decode("content", "ISO-8859-1")
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("lines")
+    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), lines).unionByName(known)
 
 
 def _lines(path: str, start: int, stop: int, before: int) -> Iterator[tuple[int, str]]:

@@ -137,6 +137,8 @@ def test_checksums_of_whole_files(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(own)
     got = {r.path.rsplit("/", 1)[1]: (r.sha256, r.bytes, r.lines) for r in files.file_info(spark, [str(tmp_path / name) for name in data]).collect()}
     assert got == {name: (hashlib.sha256(own).hexdigest(), len(own), own.count(b"\n")) for name, own in data.items()}
+    assert {(r.sha256, r.bytes, r.lines) for r in files._values_info(spark, {str(tmp_path / name): len(own) for name, own in data.items()}).collect()} == set(got.values())
+    assert files._reached(str(tmp_path)) and not files._reached("viewfs://store/x")
     assert sorted(r.path for r in files.file_info(spark, [str(tmp_path)]).collect()) == sorted(f"{tmp_path}/{name}" for name in data)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from arbitra.functions.text import format_prompt
 from arbitra.operators.batching import plan_rows
-from arbitra.sources.shared import materialise
+from arbitra.sources.shared import materialise, small_batches
 
 #: Most tokens a pair may ever have.
 LONGEST = 7999
@@ -24,14 +24,23 @@ def whitespace_tokenizer(prompt: str, candidate: str) -> list[int]:
     return [1, *[3] * len(prompt.split()), 2, *[4] * len(candidate.split()), 2]
 
 
+def nested(rows: list[list[np.ndarray] | None]) -> pa.Array:
+    """Rows of arrays of ids as one Arrow array, without a Python number for each id; a missing row is null."""
+    pairs = [p for row in rows if row is not None for p in row]
+    ends = lambda sizes: np.cumsum([0, *sizes]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends(map(len, pairs))), pa.array(np.concatenate([np.empty(0, np.int32), *pairs])))
+    return pa.ListArray.from_arrays(pa.array(ends(0 if row is None else len(row) for row in rows)), ids, mask=pa.array([row is None for row in rows], pa.bool_()))
+
+
 def encode(rows: DataFrame, max_length: int = 1024, tokenizer: Callable[[str, str], list[int]] = whitespace_tokenizer) -> DataFrame:
-    """Adds input_ids, attention_mask, labels and overlength; nothing is cut short. One Arrow stage for the tokenizer."""
+    """Adds input_ids, attention_mask, labels and overlength; nothing is cut short. One Arrow stage for the tokenizer, whose batches hold so many bytes of text, not rows."""
     if not 1 <= max_length <= LONGEST:
         raise ValueError(f"max_length must be 1 to {LONGEST}")
+    small_batches(rows.sparkSession)
 
-    @F.pandas_udf("array<array<int>>")
-    def tokenize(prompt: pd.Series, candidates: pd.Series) -> pd.Series:
-        return pd.Series([[tokenizer(p, c) for c in cs] for p, cs in zip(prompt, candidates, strict=True)])
+    @F.arrow_udf("array<array<int>>")
+    def tokenize(prompt: pa.Array, candidates: pa.Array) -> pa.Array:
+        return nested([None if p is None or cs is None else [np.array(tokenizer(p, c), np.int32) for c in cs] for p, cs in zip(prompt.to_pylist(), candidates.to_pylist(), strict=True)])
 
     prompt = format_prompt(F.col("state"), F.col("instructions"), F.col("candidates"), F.col("kind"))
     out = rows.withColumn("input_ids", tokenize(prompt, F.col("candidates")))

@@ -33,6 +33,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a record batch on its way to Python; a batch of so many rows would grow with the rows.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds of a table at a time, however long its rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def package_on_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package."""
     root = str(Path(__file__).resolve().parents[2])

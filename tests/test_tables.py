@@ -8,9 +8,11 @@ import tempfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from arbitra.operators import batching, dedup, scoring
 from arbitra.sources import files
@@ -191,3 +193,22 @@ def test_filled_up_batches():
 def test_limits_of_batches_are_checked(bad):
     with pytest.raises(ValueError, match="positive whole number"):
         batching.check_plan(**({"pairs": 1, "tokens": None, "multiple": 1} | bad))
+
+
+def most_bytes(spark):
+    """The largest record batch of texts that a worker gets of 400 rows of 100 kB."""
+
+    @F.arrow_udf("long")
+    def held(text: pa.Array) -> pa.Array:
+        return pa.array([text.nbytes] * len(text), pa.int64())
+
+    return spark.range(0, 400, 1, 1).select(held(F.repeat(F.lit("x"), 100_000)).alias("n")).agg(F.max("n")).first()[0]
+
+
+def test_encode_bounds_the_bytes_of_a_batch(spark):
+    rows = spark.createDataFrame([("x y", "i", ["a", "b c"], [1.0, 0.0], "choice"), (None, "i", ["a"], [1.0], "choice"), ("z", "i", [], [], "choice")], "state string, instructions string, candidates array<string>, target array<double>, kind string")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = [r.input_ids for r in scoring.encode(rows).collect()]
+    prompt = "Decision type: choice\nInstructions: i\nState:\nx y\nCriteria:\n0: a\n1: b c"
+    assert got == [[scoring.whitespace_tokenizer(prompt, c) for c in ("a", "b c")], None, []]
+    assert most_bytes(spark) < 10_000_000

@@ -95,18 +95,31 @@ def score_dense(
     """Adds logits and seconds by a model of dense batches: (ids, mask) to one score a row.
 
     All pairs of all rows are planned together by length, under a limit of pairs and of padded tokens; each batch is one task's call of the model, which a Python worker
-    loads once. A pair's seconds are its share of its batch's; a row has its pairs' sum. Scores go back to their rows whatever order batches end in. A row without pairs gets none.
+    loads once. Widths round up to ``multiple``, but not beyond ``max_length``; a longer pair isn't cut, its batch is as wide as it is, and a pair wider than ``tokens`` raises that limit to its width.
+    A pair's seconds are its share of its batch's; a row has its pairs' sum. Scores go back to their rows whatever order batches end in. A row without pairs gets none.
+
+    Pairs are planned by their lengths alone; ids travel to their rows' places and then to their batches.
     """
     rows = materialise(rows.withColumn("_id", F.monotonically_increasing_id()))
-    flat = rows.select("_id", F.posexplode("input_ids").alias("_candidate", "_ids")).withColumn("_length", F.size("_ids"))
-    planned = plan_rows(flat, [], ["_id", "_candidate"], pairs, tokens, max_length, multiple, True, fixed_shapes, "_length")
+    sizes = rows.select("_id", F.posexplode(F.transform("input_ids", F.size)).alias("_candidate", "_length"))
+    longest = sizes.agg(F.max("_length")).first()[0] or 1
+    if longest > max_length:
+        max_length = longest
+    if tokens is not None:
+        tokens = max(tokens, min(max_length, -(-longest // multiple) * multiple))
+    planned = plan_rows(sizes, [], ["_id", "_candidate"], pairs, tokens, max_length, multiple, True, fixed_shapes, "_length")
+    places = planned.groupBy(F.col("_id").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("_candidate", "batch", "place", "width", "padded"))).alias("_places"))
+    met = rows.select("_id", "input_ids").join(places, F.col("_id") == F.col("_of"))
+    flat = met.select("_id", F.explode(F.arrays_zip("_places", F.col("input_ids").alias("_ids"))).alias("_")).select("_id", "_._places.*", "_._ids")
     made: list = []
 
     def run(table: pa.Table) -> pa.Table:
         if not made:
             made.append(load())
         table = table.sort_by("place")
-        ids, mask = dense_batch(table.column("_ids").to_pylist(), table.column("width")[0].as_py(), table.column("padded")[0].as_py(), pad_id)
+        held = table.column("_ids").combine_chunks()
+        own, ends = held.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *held.value_lengths().to_numpy(zero_copy_only=False)])
+        ids, mask = dense_batch([own[a:b] for a, b in zip(ends, ends[1:], strict=False)], table.column("width")[0].as_py(), table.column("padded")[0].as_py(), pad_id)
         start = clock()
         scores = np.asarray(made[0](ids, mask), np.float64).reshape(-1)
         spent = clock() - start
@@ -115,7 +128,7 @@ def score_dense(
         n = table.num_rows
         return pa.Table.from_arrays([table.column("_id"), table.column("_candidate").cast(pa.int32()), pa.array(scores[:n]), pa.array(np.full(n, spent / n))], schema=DENSE)
 
-    scored = planned.groupBy("batch").applyInArrow(run, "_id long, _candidate int, _logit double, _seconds double")
+    scored = flat.groupBy("batch").applyInArrow(run, "_id long, _candidate int, _logit double, _seconds double")
     gathered = F.sort_array(F.collect_list(F.struct("_candidate", "_logit")))
     found = scored.groupBy(F.col("_id").alias("_own")).agg(F.transform(gathered, lambda p: p["_logit"]).alias("logits"), F.sum("_seconds").alias("seconds"))
     return rows.join(found, F.col("_id") == F.col("_own"), "left").drop("_id", "_own")

@@ -212,3 +212,27 @@ def test_encode_bounds_the_bytes_of_a_batch(spark):
     prompt = "Decision type: choice\nInstructions: i\nState:\nx y\nCriteria:\n0: a\n1: b c"
     assert got == [[scoring.whitespace_tokenizer(prompt, c) for c in ("a", "b c")], None, []]
     assert most_bytes(spark) < 10_000_000
+
+
+@pytest.mark.parametrize("tokens", [None, 40, 500])
+def test_pairs_longer_than_any_width_are_scored_whole(spark, tokens):
+    """Beyond max_length, and beyond what a batch may hold: nothing is cut, nothing fails."""
+    rows = [("long", [[7] * 90 + [1], [3] * 64]), ("short", [[2, 4], [9]]), ("longer", [[5] * 133, [6]]), ("null", None)]
+    frame = spark.createDataFrame(rows, "id string, input_ids array<array<int>>")
+    got = {r.id: r.logits for r in scoring.score_dense(frame, lambda: by_mask, 3, tokens, 64, 8).collect()}
+    assert len(got) == len(rows) and got["null"] is None
+    for key, own in rows[:-1]:
+        assert np.allclose(got[key], [float(by_mask(np.array([p]), np.ones((1, len(p)), int))[0]) for p in own])
+
+
+def test_dense_scores_of_long_documents_match_their_sql(spark, tmp_path):
+    import duckdb
+
+    from arbitra.plans import queries
+
+    text = {1: "w " * 9000, 2: "", 3: "one two\nthree", 4: "x " * 70_000}
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in text.items()], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(tables.sql(queries.ORACLES["q_dense_scores"]).fetchall())
+    assert sorted((r.doc_id, r.idx, r.value) for r in queries.q_dense_scores(spark, str(tmp_path)).collect()) == want

@@ -56,12 +56,17 @@ def words_of(text: str) -> list[bytes]:
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of some texts, each token's place among them, and each text's number of tokens."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat = lists.flatten()
+    encoded = lists.flatten().dictionary_encode()
+    words, place, sizes = encoded.dictionary.cast(pa.binary()), encoded.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64)
     # blanks at either end split off nothing
-    words = pc.greater(pc.binary_length(flat), 0)
-    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-    encoded = flat.filter(words).dictionary_encode()
-    return encoded.dictionary.cast(pa.binary()), encoded.indices.to_numpy().astype(np.int64), np.bincount(row[words.to_numpy(zero_copy_only=False)], minlength=len(lists))
+    nothing = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)
+    if len(nothing):
+        blank = place == nothing[0]
+        sizes -= np.bincount(np.repeat(np.arange(len(lists)), sizes)[blank], minlength=len(lists))
+        place = place[~blank]
+        place -= place > nothing[0]
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words, place, sizes
 
 
 def slices(texts: pa.Array):
@@ -251,10 +256,10 @@ class WindowNetwork:
         self.seen: dict[str, np.ndarray] = {}
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.b + self.E[0][context[:, 0]]
+        total = self.b + self.E[0].take(context[:, 0], axis=0)
         for p in range(1, context.shape[1]):
-            total += self.E[p][context[:, p]]
-        return np.tanh(total)
+            total += self.E[p].take(context[:, p], axis=0)
+        return np.tanh(total, out=total)
 
     @staticmethod
     def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +274,7 @@ class WindowNetwork:
         """Conditional log-probability of each target. With ``learn``, also one step of AdaGrad at that rate."""
         group = target % CLASSES
         order = np.argsort(group.astype(np.uint8), kind="stable")
-        context, group, member = context[order], group[order], (target // CLASSES)[order]
+        context, group, member = context.take(order, axis=0), group.take(order), (target // CLASSES).take(order)
         h = self._hidden(context)
         line = np.arange(len(order))
         logits = self.C @ h.T
@@ -312,10 +317,16 @@ class WindowNetwork:
         order = np.argsort(ids.astype(np.uint16), kind="stable")
         ids = ids[order]
         starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        grad, rows = np.add.reduceat(dh[order], starts, axis=0), ids[starts]
-        seen = self.seen.setdefault(f"E{place}", np.full(self.E[place].shape, 1e-6, np.float32))
-        seen[rows] += grad * grad
-        self.E[place][rows] -= learn * grad / np.sqrt(seen[rows])
+        grad, rows = np.add.reduceat(dh.take(order, axis=0), starts, axis=0), ids[starts]
+        if f"E{place}" not in self.seen:
+            self.seen[f"E{place}"] = np.full(self.E[place].shape, 1e-6, np.float32)
+        seen = self.seen[f"E{place}"]
+        own = seen.take(rows, axis=0)
+        own += grad * grad
+        seen[rows] = own
+        grad *= learn
+        grad /= np.sqrt(own, out=own)
+        self.E[place][rows] -= grad
 
 
 def _batches(rows):
@@ -416,7 +427,8 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, id_column: str
                 done = 0
                 for held in _batches(words.rows()):
                     context, target, row = windows(held)
-                    found = [net.log_probabilities(context[i : i + BATCH], target[i : i + BATCH]) for i in range(0, len(target), BATCH)]
+                    # runs of one size, so none is a small rest
+                    found = [net.log_probabilities(c, t) for c, t in zip(*(np.array_split(x, max(1, round(len(target) / BATCH))) for x in (context, target)), strict=True) if len(t)]
                     if found:
                         sums[done : done + len(held)] += np.bincount(row, np.concatenate(found), len(held))
                     done += len(held)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -428,3 +429,12 @@ def test_quality_scores_are_a_plain_forward_pass(spark):
             total, mixed = total + gate, mixed + gate * h
         plain = 1 / (1 + np.exp(-(float(mixed / total @ w["c"]) + float(w["c0"][0]))))
         assert abs(plain - scores[doc_id]) < 1e-4, doc_id
+
+
+def test_words_are_split_as_python_does():
+    """Blanks at either end, empty texts, and no text at all; empty runs aren't words."""
+    for texts in ([], [""], ["", " a b  A ", "x", "  ", "é É\tb", "a"], ["b", "a b"]):
+        words, place, sizes = lm.split_words(pa.array(texts, pa.string()))
+        plain = [lm.words_of(t) for t in texts]
+        assert [words[i].as_py() for i in place] == [w for own in plain for w in own] and sizes.tolist() == [len(own) for own in plain]
+        assert len(set(words.to_pylist())) == len(words)

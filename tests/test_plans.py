@@ -119,3 +119,30 @@ def test_queries_match_their_sql(spark, name):
     assert len(left) == len(right)
     for a, b in zip(left, right, strict=True):
         assert all(math.isclose(x, y, abs_tol=2e-6) if isinstance(x, float) and isinstance(y, float) else x == y for x, y in zip(a, b, strict=True))
+
+
+def test_a_preparation_whose_cap_binds_is_the_plain_loop(spark, monkeypatch):
+    """The SQL has no cap, so where one binds a loop over its sampled rows says what comes out."""
+    from collections import Counter
+
+    import duckdb
+
+    from arbitra.plans import queries
+
+    folder, cap = "/root/testdata/sf0.001", 1
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    sampled = tables.sql(queries._PREPARED + " SELECT id, source, split, task, content_key, overlength, conflict FROM z ORDER BY rank DESC, src_ord, prio, id").fetchall()
+    seen, used, want, kept = set(), Counter(), {}, Counter()
+    for key, source, split, task, content, long, conflict in sampled:
+        capped = split == "train" and source[-1] in "15"
+        want[key] = "group_partition_conflict" if conflict else "duplicate_content" if content in seen else "task_cap" if capped and used[source, task] >= cap else "overlength" if long else "written"
+        if want[key] == "written":
+            seen.add(content)
+            kept[source, split, task] += 1
+            used[source, task] += capped
+    monkeypatch.setattr(queries, "MAX_TASK", cap)
+    prepared = queries._prepared(spark, folder)
+    assert {r.id: r.disposition for r in prepared.dispositions.select("id", "disposition").collect()} == want and "task_cap" in want.values()
+    assert {(r.source, r.split, r.task): r.n for r in prepared.retained.collect()} == kept
+    assert sum(r.n for r in prepared.audit.where("disposition = 'dropped:task_cap'").collect()) == list(want.values()).count("task_cap")

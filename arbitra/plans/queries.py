@@ -330,7 +330,8 @@ def _prepared(spark, d):
     return prep.prepare(rows, settings)
 
 
-#: No task of these tables reaches its cap (q_capped_documents has caps that bind), so places by content decide.
+#: No task up to sf0.1 reaches its cap (q_capped_documents has caps that bind), so places by content decide. Where one does, as over 1 GB of different texts,
+#: this SQL, which has no cap, isn't what the queries give (README, Open).
 _PREPARED = f"""WITH {D.SPLIT_ROWS}, e AS (SELECT *, substr(source, 4)::INT AS src_ord, 10 + {_WORDS.format('text')} + 8 + 1 + 3 > {MAX_WORDS} AS overlength FROM r),
  pool AS (SELECT * FROM e WHERE NOT ({_OVERLAP})),
  sample AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY source, split ORDER BY prio, id) <= CASE WHEN split = 'train' THEN {MAX_TRAIN} ELSE {MAX_EVAL} END),
